@@ -196,8 +196,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DecisionLis
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     text = id_and_text(docs).join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
-    passing = statistics(text, keep=("quality",)).where(~base_failed())  # the list decides on no others
-    got = passing.select("doc_id", "kept_quality", *FEATURES).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample).toPandas()
+    judged = statistics(text, keep=("quality",)).withColumn("failed", base_failed())
+    got = judged.select("doc_id", "kept_quality", "failed", *FEATURES).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample).toPandas()
+    got = got[~got["failed"]]  # the list decides on no others
     x = {f: got[f].to_numpy(np.int64) for f in FEATURES}
     return fit_rows(x, got["kept_quality"].to_numpy() == 0)
 
@@ -206,3 +207,11 @@ def judge(docs: DataFrame, rules: DecisionList, keep: tuple[str, ...] = ()) -> D
     """The statistics, base_failed, rule (first that holds, 0 for none) and kept of every document."""
     out = statistics(docs, keep)
     return out.withColumn("base_failed", base_failed()).withColumn("rule", rules.column()).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+
+
+def keep_only(docs: DataFrame, rules: DecisionList) -> DataFrame:
+    """The documents that base rule and list keep, unchanged."""
+    held = [c for c in docs.columns if c != "doc_id"]
+    out = judge(docs, rules, tuple(held)).withColumn("_here", F.monotonically_increasing_id())
+    # A filter on _here can't move below the statistics, where every use of a column would compute it again.
+    return out.where(F.col("kept") & (F.col("_here") >= 0)).select(*[F.col("doc_id") if c == "doc_id" else F.col(f"kept_{c}").alias(c) for c in docs.columns])
