@@ -16,6 +16,7 @@ import os
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ CAPACITY = 2048
 #: Rows that one bucket of a length is meant to hold, and the least number of buckets.
 BUCKET_ROWS, LEAST_BUCKETS = 200_000, 256
 #: Words whose ids a Python worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
 _TAIL = ".,!?;:|"
 
 
@@ -43,36 +44,62 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self._forget()
 
-    def _fresh(self, words: list[str]) -> list[np.ndarray]:
-        parts, todo = [], {}
+    def _forget(self) -> None:
+        """place: number of each known word or part of one; its ids are flat[first[number]:][:size[number]]."""
+        self.place: dict[str, int] = {}
+        self.flat, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _append(self, words: list[str], flat: np.ndarray, size: np.ndarray) -> None:
+        self.place.update(zip(words, range(len(self.size), len(self.size) + len(words))))
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
+        self.flat = np.concatenate([self.flat, flat])
+        self.size = np.concatenate([self.size, size])
+
+    def _gather(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of numbered words in turn, and where each begins, and the end."""
+        n = self.size[number]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat(self.first[number] - upto[:-1], n)
+        at += np.arange(upto[-1])
+        return self.flat[at], upto
+
+    def _learn(self, words: list[str]) -> None:
+        """A closing run of punctuation is apart if a letter or digit is before it; A-Z are lower-cased by the tokenizer as well."""
+        whole, cut, bodies, tails = [], [], [], []
         for w in words:
             body = w.rstrip(_TAIL)
-            both = (body, w[len(body) :]) if body and body != w and body[-1].isalnum() and "<|" not in w else (w,)
-            parts.append(both)
-            todo.update(dict.fromkeys(x for x in both if x not in self.known))
-        new = list(todo)
-        encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        fresh = {w: np.array(e.ids, np.uint32) for w, e in zip(new, encoded)}
-        out = [np.concatenate([fresh[x] if x in fresh else self.known[x] for x in p]) if len(p) > 1 else fresh[p[0]] if p[0] in fresh else self.known[p[0]] for p in parts]
-        if len(self.known) + len(fresh) > CACHE_WORDS:
-            self.known.clear()
-        if len(fresh) <= CACHE_WORDS:
-            self.known.update(fresh)
-        return out
+            if "<|" in w or not body or not body[-1].isalnum() or not (body.isascii() or body != w):
+                whole.append(w)
+            else:
+                cut.append(w)
+                bodies.append(body.lower() if body.isascii() else body)
+                tails.append(w[len(body) :])
+        place = self.place
+        new = list({x for x in chain(whole, bodies, tails) if x and x not in place})
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        size = np.fromiter(map(len, encoded), np.int64, len(new))
+        self._append(new, np.fromiter(chain.from_iterable(encoded), np.uint32, int(size.sum())), size)
+        place.setdefault("", len(self.size))
+        if place[""] == len(self.size):
+            self._append([""], np.zeros(0, np.uint32), np.zeros(1, np.int64))
+        at = [i for i, w in enumerate(cut) if w not in place]
+        both = np.fromiter((place[x] for i in at for x in (bodies[i], tails[i])), np.int64, 2 * len(at))
+        flat, upto = self._gather(both)
+        self._append([cut[i] for i in at], flat, upto[2::2] - upto[:-2:2] if at else np.zeros(0, np.int64))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in turn, and where each text's ids begin, and the end."""
         codes, ends, distinct = split_words(texts)
-        per_word = self._fresh(distinct.to_pylist())
-        size = np.fromiter(map(len, per_word), np.int64, len(per_word))
-        flat = np.concatenate(per_word) if per_word else np.zeros(0, np.uint32)
-        first = np.cumsum(size) - size
-        n = size[codes]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        at = np.repeat(first[codes] - upto[:-1], n) + np.arange(upto[-1])
-        return flat[at], upto[ends]
+        words = distinct.to_pylist()
+        if len(self.place) + len(words) > CACHE_WORDS:
+            self._forget()
+        if new := [w for w in words if w not in self.place]:
+            self._learn(new)
+        flat, upto = self._gather(np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))[codes])
+        return flat, upto[ends]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, closing_id: int = 0, keep_ids: bool = False) -> DataFrame:
@@ -81,7 +108,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, closing_id
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = WordEncoder(tokenizer), np.array([closing_id], "<u4")
-        for batch in slices(batches):
+        for batch in slices(batches, max_bytes=8 << 20):
             ids, upto = encoder.encode(batch.column("text"))
             rows: list[tuple] = []
             kept = []
