@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, media, near_dedup, packing, pii, quality
+from . import line_dedup, media, near_dedup, packing, pii, quality, substring_dedup
 from .common import documents
 
 
@@ -20,6 +20,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(documents(spark, sf_dir))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read(media.store(documents(spark, sf_dir)))
 
@@ -39,7 +43,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_pii, op5_media, op8_quality_rules, op9_near_dedup, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_pii, op3_substring_dedup, op5_media, op8_quality_rules, op9_near_dedup, op10_line_dedup)}
 
 _OP10 = """
 WITH lines AS (
