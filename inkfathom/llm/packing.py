@@ -24,20 +24,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text, slices, split_words, table
+from .idstore import IdStore
 
 CAPACITY = 2048
 #: Rows that one bucket of a length is meant to hold, and the least number of buckets.
 BUCKET_ROWS, LEAST_BUCKETS = 200_000, 256
-#: Words whose ids a Python worker remembers.
-CACHE_WORDS = 1_200_000
-_TAIL = ".,!?;:|"
+#: Parts of texts whose ids a Python worker remembers.
+CACHE_PARTS = 1_200_000
 
 
 class WordEncoder:
     """Ids of texts, exactly as the tokenizer gives them for the whole text.
 
-    The tokenizer's pre-tokens never span white space, so a text's ids are those of its words in turn; each distinct
-    word of a batch is encoded once. A closing run of punctuation after a letter or digit is a pre-token of its own.
+    The tokenizer lower-cases, and its pre-tokens span neither white space nor the place between a letter or digit and
+    punctuation other than an apostrophe. So texts are cut there, and each distinct part of a batch is encoded once;
+    parts met before are remembered. Texts near a special token's opening are cut at white space alone.
     """
 
     def __init__(self, path: str):
@@ -45,61 +46,38 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._forget()
-
-    def _forget(self) -> None:
-        """place: number of each known word or part of one; its ids are flat[first[number]:][:size[number]]."""
-        self.place: dict[str, int] = {}
-        self.flat, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _append(self, words: list[str], flat: np.ndarray, size: np.ndarray) -> None:
-        self.place.update(zip(words, range(len(self.size), len(self.size) + len(words))))
-        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
-        self.flat = np.concatenate([self.flat, flat])
-        self.size = np.concatenate([self.size, size])
-
-    def _gather(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of numbered words in turn, and where each begins, and the end."""
-        n = self.size[number]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        at = np.repeat(self.first[number] - upto[:-1], n)
-        at += np.arange(upto[-1])
-        return self.flat[at], upto
-
-    def _learn(self, words: list[str]) -> None:
-        """A closing run of punctuation is apart if a letter or digit is before it; A-Z are lower-cased by the tokenizer as well."""
-        whole, cut, bodies, tails = [], [], [], []
-        for w in words:
-            body = w.rstrip(_TAIL)
-            if "<|" in w or not body or not body[-1].isalnum() or not (body.isascii() or body != w):
-                whole.append(w)
-            else:
-                cut.append(w)
-                bodies.append(body.lower() if body.isascii() else body)
-                tails.append(w[len(body) :])
-        place = self.place
-        new = list({x for x in chain(whole, bodies, tails) if x and x not in place})
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        size = np.fromiter(map(len, encoded), np.int64, len(new))
-        self._append(new, np.fromiter(chain.from_iterable(encoded), np.uint32, int(size.sum())), size)
-        place.setdefault("", len(self.size))
-        if place[""] == len(self.size):
-            self._append([""], np.zeros(0, np.uint32), np.zeros(1, np.int64))
-        at = [i for i, w in enumerate(cut) if w not in place]
-        both = np.fromiter((place[x] for i in at for x in (bodies[i], tails[i])), np.int64, 2 * len(at))
-        flat, upto = self._gather(both)
-        self._append([cut[i] for i in at], flat, upto[2::2] - upto[:-2:2] if at else np.zeros(0, np.int64))
+        self.store = IdStore(self._learn, CACHE_PARTS)
+
+    def _learn(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum())), size
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in turn, and where each text's ids begin, and the end."""
-        codes, ends, distinct = split_words(texts)
-        words = distinct.to_pylist()
-        if len(self.place) + len(words) > CACHE_WORDS:
-            self._forget()
-        if new := [w for w in words if w not in self.place]:
-            self._learn(new)
-        flat, upto = self._gather(np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))[codes])
-        return flat, upto[ends]
+        codes, ends, distinct = split_words(*_parted(texts))
+        ids, upto = self.store.gather(self.store.numbers(distinct.to_pylist())[codes])
+        return ids.view(np.uint32), upto[ends]
+
+
+def _parted(texts: pa.Array) -> tuple[pa.Array, bool]:
+    """The texts with a space before punctuation that follows a letter or digit, and whether they may be lower-cased."""
+    texts = pa.array(texts.to_pylist(), pa.large_string()).fill_null("")
+    _, offsets, data = texts.buffers()
+    raw = data.to_pybytes() if data is not None else b""
+    if b"<|" in raw:
+        return texts, False
+    raw = np.frombuffer(raw, np.uint8)
+    at = np.flatnonzero(_PUNCTUATION[raw[1:]]) + 1
+    at = at[_ALNUM[raw[at - 1]]]
+    old = np.frombuffer(offsets, np.int64)[: len(texts) + 1]
+    new = old + np.searchsorted(at, old, "left")
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(new.tobytes()), pa.py_buffer(np.insert(raw, at, 32).tobytes())), True
+
+
+_PUNCTUATION, _ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+_PUNCTUATION[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
+_ALNUM[[c for c in range(128) if chr(c).isalnum()]] = True
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, closing_id: int = 0, keep_ids: bool = False) -> DataFrame:
