@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, media, near_dedup, packing, pii, quality, substring_dedup
+from . import chat, line_dedup, media, near_dedup, packing, pii, quality, sentencepiece_codec, substring_dedup, token_counts
 from .common import documents
 
 
@@ -24,10 +24,22 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read(media.store(documents(spark, sf_dir)))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), keep_ids=False)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     rules = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -43,7 +55,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_pii, op3_substring_dedup, op5_media, op8_quality_rules, op9_near_dedup, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_pii, op3_substring_dedup, op4_chat, op5_media, op6_token_counts, op7_sentencepiece, op8_quality_rules, op9_near_dedup, op10_line_dedup)}
 
 _OP10 = """
 WITH lines AS (
@@ -59,4 +71,19 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM judged GROUP BY doc_id
 """
 
-ORACLES: dict[str, str] = {"op10_line_dedup": _OP10}
+_OP4 = """
+WITH calls AS (
+  SELECT conv_id, 'turn-' || turn AS call_id, min({'turn': turn, 'message': coalesce(text, '')}) AS one, count(*) AS n_copies
+  FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
+), results AS (
+  SELECT conv_id, 'turn-' || (turn - 1) AS call_id, min(coalesce(text, '')) AS content, count(*) AS n_results
+  FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
+)
+SELECT conv_id, call_id, one.turn AS turn, 'respond' AS name, n_copies, 0 AS level, n_results IS NOT NULL AS answered, coalesce(n_results, 0) AS n_results,
+       length(one.message) BETWEEN 1 AND 100000 AND one.turn >= 0 AS valid,
+       concat_ws('; ', CASE WHEN length(one.message) < 1 THEN 'message: too short' END, CASE WHEN length(one.message) > 100000 THEN 'message: too long' END, CASE WHEN one.turn < 0 THEN 'turn: too small' END) AS errors,
+       '{"arguments":{"message":' || to_json(one.message) || ',"turn":' || one.turn || '},"content":' || coalesce(to_json(content), 'null') || ',"id":"' || call_id || '","name":"respond"}' AS line
+FROM calls LEFT JOIN results USING (conv_id, call_id)
+"""
+
+ORACLES: dict[str, str] = {"op4_chat": _OP4, "op10_line_dedup": _OP10}
