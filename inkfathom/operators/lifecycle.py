@@ -12,9 +12,9 @@ DIAGRAM = {"hlines": 14, "vlines": 8, "saturation": 0.30}
 RETENTION = 604_800
 
 
-def verdict(undecoded: Column, decoded: Column, chars: Column, has_code: Column, confidence: Column) -> Column:
+def verdict(undecoded: Column, decoded: Column, chars: Column, confidence: Column) -> Column:
     """status_reason of an extraction; null if it is ok. undecoded, decoded: whether there is such a code."""
-    return F.when(undecoded & ~decoded, "qr_undecodable").when((chars < LEAST_CHARS) & ~decoded & ~F.coalesce(has_code, F.lit(False)), "no_text").when((confidence < LEAST_CONFIDENCE) & ~decoded, "low_confidence")
+    return F.when(undecoded & ~decoded, "qr_undecodable").when((chars < LEAST_CHARS) & ~decoded, "no_text").when((confidence < LEAST_CONFIDENCE) & ~decoded, "low_confidence")
 
 
 def mean_confidence(lines: Column) -> Column:
