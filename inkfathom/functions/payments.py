@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,8 +41,8 @@ def parse(payload: str | None) -> dict:
 def payment(payload: Column) -> Column:
     """struct(valid, amount, merchant_name, merchant_city)."""
 
-    def run(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in frames:
-            yield pd.DataFrame([parse(x) for x in s], columns=["valid", *FIELDS.values()])
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            yield pa.array([parse(x) for x in b.to_pylist()], pa.struct([("valid", pa.bool_()), *((f, pa.string()) for f in FIELDS.values())]))
 
-    return F.pandas_udf(run, SCHEMA)(payload)
+    return F.arrow_udf(run, SCHEMA)(payload)

@@ -32,7 +32,7 @@ def scored_terms(rows: DataFrame, id_col: str = "id", text_col: str = "text", ex
         tf = tf.join(excluded.select("term").distinct(), "term", "left_anti")
     n = rows.select(F.count("*").alias("n"))  # one row
     df = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).where((F.col("df") >= LEAST_DF) & (F.col("df") <= F.greatest(F.lit(float(LEAST_DF)), MOST_SHARE * F.col("n"))))
-    scored = tf.join(df, "term").withColumn("weight", F.col("tf") * F.log(F.col("n") / F.col("df"))).drop("n")
+    scored = tf.join(df, "term").withColumn("weight", F.round(F.col("tf") * F.log(F.col("n") / F.col("df")), 9)).drop("n")
     order = Window.partitionBy(id_col).orderBy(F.desc("weight"), "term")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP)
 
