@@ -7,14 +7,16 @@ from collections.abc import Callable
 import numpy as np
 
 #: Segments remembered at most; a batch with more than fit starts afresh.
-SEGMENTS = 800_000
+SEGMENTS = 400_000
+#: Segments given to learn() at once: what it makes on the way is large.
+AT_ONCE = 16_384
 
 
 class IdStore:
     """Numbers distinct segments and keeps their ids in one flat array. learn(new segments) gives a list of ids for each."""
 
-    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = SEGMENTS):
-        self.learn, self.most = learn, most
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = SEGMENTS, at_once: int = AT_ONCE):
+        self.learn, self.most, self.at_once = learn, most, at_once
         self._forget()
 
     def _forget(self) -> None:
@@ -24,9 +26,11 @@ class IdStore:
     def numbers(self, segments: list[str]) -> np.ndarray:
         if len(self.place) + len(segments) > self.most:
             self._forget()
-        if new := [s for s in segments if s not in self.place]:
-            flat, size = self.learn(new)
-            self.place.update(zip(new, range(len(self.size), len(self.size) + len(new))))
+        new = [s for s in segments if s not in self.place]
+        for at in range(0, len(new), self.at_once):
+            some = new[at : at + self.at_once]
+            flat, size = self.learn(some)
+            self.place.update(zip(some, range(len(self.size), len(self.size) + len(some))))
             self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
             self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
         return np.fromiter(map(self.place.__getitem__, segments), np.int64, len(segments))

@@ -52,7 +52,7 @@ class TrieCounter:
         self.maybe = np.zeros(1 << _FILTER_BITS, bool)
         self.maybe[self._low(self.hashes)] = True
         self.powers = np.cumprod(np.concatenate([[1], np.full(max(TRIE_DEPTH, self.longest) + 1, _BASE)]).astype(np.uint64))
-        self.store = IdStore(self._learn)
+        self.store = IdStore(self._learn, 800_000, 1 << 17)  # the more words a trie has, the more they share
 
     @staticmethod
     def _hash(piece: str) -> int:
