@@ -86,4 +86,25 @@ SELECT conv_id, call_id, one.turn AS turn, 'respond' AS name, n_copies, 0 AS lev
 FROM calls LEFT JOIN results USING (conv_id, call_id)
 """
 
-ORACLES: dict[str, str] = {"op4_chat": _OP4, "op10_line_dedup": _OP10}
+_OP3 = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+windows AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) AS n FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+lost AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM windows WHERE n > 1),
+words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT w.doc_id, count(l.p) AS n_removed, string_agg(w.x, ' ' ORDER BY w.p) FILTER (l.p IS NULL) AS kept FROM words w LEFT JOIN lost l ON l.doc_id = w.doc_id AND l.p = w.p GROUP BY w.doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+_OP9 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE CAST([] AS VARCHAR[]) END) AS s FROM d),
+c AS (SELECT min(doc_id) AS id, s, len(s) AS n, count(*) AS class_size FROM s WHERE len(s) > 0 GROUP BY s),
+g AS (SELECT id, n, unnest(s) AS g FROM c),
+e AS (SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON a.g = b.g AND a.id <> b.id GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r AS (SELECT id AS a, id AS b FROM c UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+m AS (SELECT a AS id, min(b) AS component_id FROM r GROUP BY a)
+SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(component_id, s.doc_id) AS component_id, s.doc_id = coalesce(component_id, s.doc_id) AS kept, coalesce(class_size, 1) AS class_size
+FROM s LEFT JOIN c ON c.s = s.s LEFT JOIN m USING (id)
+"""
+
+ORACLES: dict[str, str] = {"op3_substring_dedup": _OP3, "op4_chat": _OP4, "op9_near_dedup": _OP9, "op10_line_dedup": _OP10}
