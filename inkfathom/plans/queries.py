@@ -157,7 +157,7 @@ _SESSIONS = f"""{_CAPTURES}, gaps AS (
   FROM captures WHERE captured_at IS NOT NULL WINDOW w AS (PARTITION BY coalesce(source_app, '') ORDER BY captured_at, id)
 ), runs AS (SELECT *, sum(starts) OVER (PARTITION BY src ORDER BY captured_at, id) AS run FROM gaps),
 sess AS (
-  SELECT id, source_app, captured_at, event_type, value, first_value(id) OVER w AS session, row_number() OVER w AS part, count(*) OVER (PARTITION BY src, run) AS size FROM runs WINDOW w AS (PARTITION BY src, run ORDER BY captured_at, id)
+  SELECT id, source_app, captured_at, event_type, value, first_value(id) OVER w AS session, CAST(row_number() OVER w AS INTEGER) AS part, count(*) OVER (PARTITION BY src, run) AS size FROM runs WINDOW w AS (PARTITION BY src, run ORDER BY captured_at, id)
 )"""
 
 
@@ -199,7 +199,7 @@ _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS)
 @query(f"""WITH tf AS (SELECT id, term, count(*) AS tf FROM ({_WORDS}) WHERE term NOT IN ({_STOP}) GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2 AND count(*) <= greatest(2.0, 0.25 * (SELECT n FROM n))),
 scored AS (SELECT id, term, tf, df, round(tf * ln(n / df), 9) AS weight FROM tf JOIN df USING (term), n)
-SELECT * FROM (SELECT id, term, tf, df, round(weight, 6) AS weight, row_number() OVER (PARTITION BY id ORDER BY weight DESC, term) AS rank FROM scored) WHERE rank <= 5""")
+SELECT * FROM (SELECT id, term, tf, df, round(weight, 6) AS weight, CAST(row_number() OVER (PARTITION BY id ORDER BY weight DESC, term) AS INTEGER) AS rank FROM scored) WHERE rank <= 5""")
 def key_terms_without_redaction(spark, sf_dir):
     return key_terms.scored_terms(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")).withColumn("weight", F.round("weight", 6))
 
@@ -233,7 +233,7 @@ def duplicate_groups(spark, sf_dir):
 
 @query(f"""WITH {_ITEMS}, g AS (SELECT text, min(id) AS root, count(*) AS size FROM items GROUP BY text HAVING count(*) > 1 AND text IS NOT NULL),
 s AS (SELECT id, root, size, captured_at, round(least(coalesce(n_chars, 0) / 300, 4.0) + 2 * coalesce(quality, 0), 3) AS score FROM items JOIN g USING (text))
-SELECT id, root, size, row_number() OVER (PARTITION BY root ORDER BY score DESC, captured_at DESC NULLS LAST, id) AS rank FROM s""")
+SELECT id, root, size, CAST(row_number() OVER (PARTITION BY root ORDER BY score DESC, captured_at DESC NULLS LAST, id) AS INTEGER) AS rank FROM s""")
 def copies_ranked(spark, sf_dir):
     rows = items(spark, sf_dir).withColumn("score", duplicates.score(F.lit(0), F.lit(0), F.col("n_chars"), F.col("quality"), F.lit(None)))
     return duplicates.groups(rows, duplicates.code_links(rows.where("text is not null").select("id", F.col("text").alias("payload"))))
@@ -419,7 +419,7 @@ def text_search(spark, sf_dir):
     return search.search(read(spark, sf_dir, "documents"), "tion the", "doc_id").withColumn("score", F.round("score", 6))
 
 
-@query(f"SELECT term, count(*) AS docs, sum(tf) AS n FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
+@query(f"SELECT term, count(*) AS docs, CAST(sum(tf) AS BIGINT) AS n FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
 def postings(spark, sf_dir):
     return search.postings(read(spark, sf_dir, "documents"), "doc_id").groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("n"))
 
