@@ -6,7 +6,7 @@ needs no look at the exact table, and a key whose last reference goes is deleted
 more hold, the smallest doc_id keeps its lines. Deleting documents deletes their references, so the next document gets
 its lines back: insert and delete in any order give what the remaining documents would give alone.
 
-Null text counts as empty, which is one empty line. Rows that repeat a doc_id count as one document. An empty table gives
+Null text counts as empty, which is one empty line. Rows without a doc_id keep all lines. Rows that repeat a doc_id count as one document. An empty table gives
 an empty index and result; other columns are kept by `apply` and cannot clash.
 """
 

@@ -122,7 +122,8 @@ def spans(docs: DataFrame) -> DataFrame:
     extra = hits.select("doc_id", "_row", F.struct(F.when(F.col("remove"), 5).otherwise(4).alias("kind"), "start", "end", F.col("term").alias("value")).alias("s"))
     extra = extra.groupBy("doc_id", "_row").agg(F.sort_array(F.collect_list("s")).alias("_extra"))
     none = F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>")
-    return base.join(extra, ["doc_id", "_row"], "left").withColumn("_extra", F.coalesce("_extra", none))
+    same = base["doc_id"].eqNullSafe(extra["doc_id"]) & (base["_row"] == extra["_row"])
+    return base.join(extra, same, "left").select(base["doc_id"], base["_row"], "_base", "_extra").withColumn("_extra", F.coalesce("_extra", none))
 
 
 def disclosing(all_rows: DataFrame, some: DataFrame, found: DataFrame) -> DataFrame:
@@ -161,13 +162,15 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """docs with the same columns, the text's spans replaced by MASKS; of spans that overlap, the earlier and longer counts."""
     found = spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     found = found.where(F.size("_base") + F.size("_extra") > 0).groupBy(F.col("doc_id").alias("_pii_id"), F.col("_row").alias("_pii_row")).agg(F.first(F.concat("_base", "_extra")).alias("_spans"))
-    out = docs.join(found, (docs[id_col].cast("long") == found["_pii_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == found["_pii_row"]), "left")
+    rows = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].alias("_text"), F.struct(*[docs[c] for c in docs.columns]).alias("_whole"))
+    out = rows.join(found, F.col("_id").eqNullSafe(F.col("_pii_id")) & (F.xxhash64(F.coalesce("_text", F.lit(""))) == F.col("_pii_row")), "left")
     by_place = F.array_sort("_spans", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
     out = out.withColumn("_spans", by_place)
     zero = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<from:int,to:int,next:int,kind:int>>").alias("out"))
     keep = lambda a, s: F.when(s["start"] < a["end"], a).otherwise(F.struct(s["end"].alias("end"), F.concat(a["out"], F.array(F.struct(a["end"].alias("from"), s["start"].alias("to"), s["end"].alias("next"), s["kind"].alias("kind")))).alias("out")))
     out = out.withColumn("_cuts", F.aggregate("_spans", zero, keep, lambda a: a["out"]))
     mask = lambda k: reduce(lambda c, i: c.when(k == i, MASKS[KINDS[i]]), range(1, len(KINDS)), F.when(k == 0, MASKS[KINDS[0]]))
-    pieces = F.transform("_cuts", lambda c: F.concat(F.substring(F.col(text_col), c["from"] + 1, c["to"] - c["from"]), mask(c["kind"])))
-    clean = F.concat(F.array_join(pieces, ""), F.substring(F.col(text_col), F.element_at("_cuts", -1)["next"] + 1, F.length(text_col)))
-    return out.withColumn(text_col, F.when(F.size("_cuts") > 0, clean).otherwise(F.col(text_col))).select(*docs.columns)
+    pieces = F.transform("_cuts", lambda c: F.concat(F.substring("_text", c["from"] + 1, c["to"] - c["from"]), mask(c["kind"])))
+    clean = F.concat(F.array_join(pieces, ""), F.substring("_text", F.element_at("_cuts", -1)["next"] + 1, F.length("_text")))
+    clean = F.when(F.size("_cuts") > 0, clean).otherwise(F.col("_text"))
+    return out.select(*[clean.alias(c) if c == text_col else F.col("_whole")[c].alias(c) for c in docs.columns])
