@@ -51,7 +51,7 @@ def ranks(spark: SparkSession, path: str) -> DataFrame:
 
 def rules_text(spark: SparkSession, path: str) -> str:
     """A rules file; rules are configuration, of a size for the driver."""
-    return spark.read.option("wholetext", "true").text(path).head()["value"]
+    return spark.read.text(path, wholetext=True).head()["value"]
 
 
 # The marks of a note's own part.
@@ -60,7 +60,7 @@ FRONT, TEXT_BLOCK = r"(?s)\A---\n(.*?)\n---\n?(.*)\z", r"(?s)```(?:text)?\n(.*?)
 
 def notes(spark: SparkSession, path: str) -> DataFrame:
     """path, front (map of keys and raw values), body, text (the block of text) of Markdown notes."""
-    raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     front = F.regexp_extract("value", FRONT, 1)
     pairs = F.filter(F.transform(F.split(front, "\n"), lambda x: F.struct(F.trim(F.regexp_extract(x, r"^([^:\s][^:]*):", 1)).alias("key"), F.trim(F.regexp_replace(x, r"^[^:]*:", "")).alias("value"))), lambda p: p["key"] != "")
     body = F.when(F.col("value").rlike(FRONT), F.regexp_extract("value", FRONT, 2)).otherwise(F.col("value"))
