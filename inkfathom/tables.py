@@ -19,7 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def table(df: DataFrame, what: str) -> DataFrame:
+def table(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
+    """Writes df to the shared folder and reads it back: later stages don't recompute it, and a lost executor loses nothing."""
     path = f"{shared_dir(df.sparkSession)}/tables/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
