@@ -223,6 +223,7 @@ class LineIndex:
     def dropped(self) -> DataFrame:
         """doc_id, key_a, key_b of the lines that documents lose to a smaller doc_id."""
         owners = self.refs.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last")
+        owners = table(owners, "line-owners")  # both sides of the join are exchanged then, and a key that many documents hold can be split
         return self.refs.join(owners, ["key_a", "key_b"]).where("owner < doc_id").select("doc_id", "key_a", "key_b")
 
     def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
