@@ -29,7 +29,7 @@ WORDS, PER_CENT = 5, 85
 RETAINED, KEYED, SMALL = 128, 16, 24
 #: Estimates so far below the threshold count as possible: about 4.5 standard deviations of a sketch of RETAINED values.
 SLACK = 0.14
-BLOCK, CHUNK = 256, 4096
+BLOCK, CHUNK = 256, 512
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
