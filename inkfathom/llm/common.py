@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,6 +11,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkfathom.tables import shared_dir, table
+
+__all__ = ["documents", "gram_hashes", "id_and_text", "mixed", "shared_dir", "signed", "slices", "split_words", "table", "word_hashes", "words_column"]
+
 #: White space that separates words: space and bytes 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
 _TO_SPACE = bytes.maketrans(b"\t\n\v\f\r", b"     ")
@@ -21,24 +23,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="inkfathom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def table(df: DataFrame, what: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: later stages don't recompute it, and a lost executor loses nothing."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

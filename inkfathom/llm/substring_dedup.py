@@ -275,18 +275,20 @@ def _by_window(regions: DataFrame) -> DataFrame:
 
     windows = table(regions.mapInArrow(cut, "one long, two long, doc long, start int"), "hot-windows")
     least = windows.groupBy("one", "two").agg(F.min(F.struct("doc", "start")).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    least = table(least, "hot-least")  # so that both sides of the join are exchanged, and a window that is everywhere can be split
     return windows.join(least, ["one", "two"]).where(F.struct("doc", "start") != F.col("least")).select("doc", "start", F.lit(1).alias("windows"))
 
 
 def repeated_intervals(rows: DataFrame) -> DataFrame:
     """doc, start, windows: runs of windows of rows (doc, text) that occur earlier too, by doc and then start."""
     wanted = table(candidates(rows), "regions")
-    regions = table(_with_words(rows, wanted), "region-words")
+    regions = table(_with_words(rows, wanted), "region-words", "zstd")
     distinct = regions.groupBy("mini", "content").agg(F.min(F.struct("doc", "start", "windows", "periodic", "words")).alias("one"), F.count("*").alias("copies"))
-    distinct = table(distinct.select("mini", "content", "copies", "one.*"), "distinct-regions")
+    distinct = table(distinct.select("mini", "content", "copies", "one.*"), "distinct-regions", "zstd")
     first = distinct.where("copies > 1").select("mini", "content", F.struct("doc", "start").alias("first"))
     copies = regions.select("mini", "content", "doc", "start", "windows").join(first, ["mini", "content"]).where(F.struct("doc", "start") != F.col("first")).select("doc", "start", "windows")
     per_mini = distinct.groupBy("mini").agg(F.count("*").alias("n"), F.max("periodic").alias("any")).where("n > 1 or any")
+    per_mini = table(per_mini, "minimizers")  # as above
     several = distinct.select("mini", "doc", "start", "windows", "words").join(per_mini, "mini")
     shards = several.where(F.col("n") <= HOT).drop("n", "any").repartition("mini").sortWithinPartitions("mini")
     found = _in_shards(shards).union(_by_window(several.where(F.col("n") > HOT).drop("n", "any"))).union(copies)
