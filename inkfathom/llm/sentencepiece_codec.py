@@ -14,11 +14,13 @@ are not read.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -33,6 +35,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 _PART = "\x1f"
+#: Segments that a Python worker remembers, and encodes at once; threads of a worker.
+SEGMENTS, AT_ONCE, THREADS = 250_000, 4_096, 2
 
 
 def _varint(raw: bytes, at: int) -> tuple[int, int]:
@@ -135,7 +139,7 @@ class Codec:
     def __init__(self, path: str, verify: bool = True):
         self.model = Model.read(path)
         self.tokenizer = self.model.tokenizer()
-        self.store = IdStore(self._learn)
+        self.store = IdStore(self._learn, SEGMENTS, AT_ONCE)
         self.reference = None
         if verify:
             import sentencepiece
@@ -175,15 +179,22 @@ class Codec:
         return [(x[skip:] if x[:1] == b" " else x).decode("utf-8", "replace") for x in (raw[a:b] for a, b in zip(cuts, cuts[1:]))]
 
 
+@lru_cache(2)
+def codec(path: str, verify: bool) -> Codec:
+    """One codec for all tasks of a Python worker."""
+    os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
+    return Codec(path, verify)
+
+
 def encode(docs: DataFrame, path: str, verify: bool = True, keep_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (little-endian unsigned 32-bit ids), round_trip, parity (and ids) of docs(doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, verify)
-        for batch in slices(batches):
+        own = codec(path, verify)
+        for batch in slices(batches, max_bytes=2 << 20):
             texts = batch.column("text").to_pylist()
-            ids, ends, parity = codec.encode(texts)
-            back = codec.decode(ids, ends)
+            ids, ends, parity = own.encode(texts)
+            back = own.decode(ids, ends)
             raw = ids.astype("<u4")
             columns = [
                 batch.column("doc_id"),
@@ -203,11 +214,11 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     """doc_id, text of rows(doc_id, ids); null ids count as none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, False)
+        own = codec(path, False)
         for batch in batches:
             ids = [x or [] for x in batch.column("ids").to_pylist()]
             flat = np.fromiter(chain.from_iterable(ids), np.int64)
-            texts = codec.decode(flat, np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64))
+            texts = own.decode(flat, np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return rows.select(rows["doc_id"].cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
