@@ -16,6 +16,7 @@ import os
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -30,7 +31,7 @@ CAPACITY = 2048
 #: Rows that one bucket of a length is meant to hold, and the least number of buckets.
 BUCKET_ROWS, LEAST_BUCKETS = 200_000, 256
 #: Parts of texts whose ids a Python worker remembers.
-CACHE_PARTS = 1_200_000
+CACHE_PARTS = 800_000
 
 
 class WordEncoder:
@@ -60,6 +61,12 @@ class WordEncoder:
         return ids.view(np.uint32), upto[ends]
 
 
+@lru_cache(2)
+def encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks of a Python worker."""
+    return WordEncoder(path)
+
+
 def _parted(texts: pa.Array) -> tuple[pa.Array, bool]:
     """The texts with a space before punctuation that follows a letter or digit, and whether they may be lower-cased."""
     texts = pa.array(texts.to_pylist(), pa.large_string()).fill_null("")
@@ -85,9 +92,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, closing_id
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder(tokenizer), np.array([closing_id], "<u4")
+        own_encoder, end = encoder(tokenizer), np.array([closing_id], "<u4")
         for batch in slices(batches, max_bytes=8 << 20):
-            ids, upto = encoder.encode(batch.column("text"))
+            ids, upto = own_encoder.encode(batch.column("text"))
             rows: list[tuple] = []
             kept = []
             for k, doc in enumerate(batch.column("doc_id").to_pylist()):
