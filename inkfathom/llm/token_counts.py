@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -148,14 +149,20 @@ class TrieCounter:
         return upto[ends[1:]] - upto[ends[:-1]], np.diff(ends)
 
 
+@lru_cache(2)
+def counter(path: str) -> TrieCounter:
+    """One counter for all tasks of a Python worker."""
+    return TrieCounter(Model.read(path))
+
+
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, n_pretokens, n_bytes of docs(doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TrieCounter(Model.read(path))
+        own = counter(path)
         for batch in slices(batches, max_bytes=8 << 20):
             texts = batch.column("text").to_pylist()
-            tokens, pretokens = counter.counts(texts)
+            tokens, pretokens = own.counts(texts)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tokens), pa.array(pretokens.astype(np.int64)), pa.array([len((t or "").encode()) for t in texts], pa.int64())], names=["doc_id", "n_tokens", "n_pretokens", "n_bytes"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, n_tokens long, n_pretokens long, n_bytes long")
