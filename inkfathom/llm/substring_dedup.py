@@ -29,6 +29,8 @@ from .common import gram_hashes, id_and_text, mixed, signed, slices, split_words
 WINDOW, GRAM = 20, 6
 #: Windows of a region at most; words of a shard, about; regions of a minimizer in shards, at most.
 REGION, SHARD_WORDS, HOT = 64, 250_000, 400
+#: Bytes of text that a Python worker takes at a time: its arrays are many times as large.
+SLICE = 2 << 20
 
 
 def _regions(ends: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -69,7 +71,7 @@ def candidates(rows: DataFrame) -> DataFrame:
     schema = "mini long, salt long, doc long, start int, windows int"
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, max_bytes=SLICE):
             codes, ends, distinct = split_words(batch.column("text"))
             first, windows, mini, periodic = _regions(ends, word_hashes(distinct)[codes])
             row = np.searchsorted(ends, first, "right") - 1
@@ -101,7 +103,7 @@ def _with_words(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     per_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("start", "windows", "mini")).alias("regions"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, max_bytes=SLICE // 2):
             codes, ends, distinct = split_words(batch.column("text"))
             regions = batch.column("regions")
             flat = regions.flatten()
@@ -130,8 +132,8 @@ class FMIndex:
     def __init__(self, codes: np.ndarray, depth: int = WINDOW):
         n = self.n = len(codes)
         rank, width = codes.astype(np.int64), 1
-        ranks = {1: rank}
         while width < depth:  # prefix doubling
+            half = rank
             after = np.zeros(n, np.int64)
             after[: n - width] = rank[width:] + 1
             key = rank * (n + 2) + after
@@ -139,13 +141,12 @@ class FMIndex:
             new = np.zeros(n, np.int64)
             new[order[1:]] = np.cumsum(key[order[1:]] != key[order[:-1]])
             rank, width = new, 2 * width
-            ranks[width] = rank
         self.suffixes = np.argsort(rank, kind="stable")
         # Blocks of suffixes that agree in `depth` words.
-        half = width // 2
+        rest = depth - width // 2
         tail = np.full(n, -1, np.int64)
-        tail[: n - (depth - half)] = ranks[half][depth - half :]
-        a, b = ranks[half][self.suffixes], tail[self.suffixes]
+        tail[: n - rest] = half[rest:]
+        a, b = half[self.suffixes], tail[self.suffixes]
         first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if n else np.zeros(0, bool)
         self.starts = np.flatnonzero(first)
         self.block = np.cumsum(first) - 1
@@ -263,7 +264,7 @@ def _by_window(regions: DataFrame) -> DataFrame:
     """The same, for minimizers with very many regions: each window by its hash."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "words"):
+        for batch in slices(batches, "words", SLICE // 2):
             codes, ends, distinct = split_words(batch.column("words"))
             h = word_hashes(distinct)[codes]
             n = np.maximum(np.diff(ends) - WINDOW + 1, 0)
@@ -311,7 +312,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     joined = rows.join(per_doc, "doc", "left").select("doc_id", "text", "gone")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, max_bytes=SLICE):
             codes, ends, distinct = split_words(batch.column("text"))
             out, n_words, n_removed, removed = [], [], [], []
             gone = batch.column("gone").to_pylist()
