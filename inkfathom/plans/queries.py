@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from inkfathom.functions import code_text, payments, redaction
 from inkfathom.functions import text as T
 from inkfathom.functions.wordlists import STOP_WORDS
-from inkfathom.operators import duplicates, key_terms, lifecycle, links, records, rules, search, sequences, sessions
+from inkfathom.operators import ask, duplicates, key_terms, lifecycle, links, pixels, records, rules, search, sequences, sessions
 from inkfathom.streaming import ingest
 from inkfathom.tables import shared_dir
 
@@ -449,6 +449,24 @@ def ask_ranking(spark, sf_dir):
     return read(spark, sf_dir, "events").where("value >= 90 and event_type = 'click'").select(F.col("event_id").alias("id"), "value").orderBy(F.desc("value"), "id").limit(10)
 
 
+def _longer_is_better():
+    return lambda states, q: [{"score": float(len(x))} for x in states]
+
+
+@query("""SELECT doc_id AS id, CAST(length('app: ' || source || chr(10) || 'category (rules): ' || lang || chr(10) || 'qr: none' || chr(10) || 'domains: none' || chr(10) || 'terms: none' || chr(10) || '---' || chr(10) || substr(coalesce(text, ''), 1, 600)) AS DOUBLE) AS value FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL ORDER BY value DESC, id LIMIT 10""")
+def asked_of_a_model(spark, sf_dir):
+    none = F.array().cast("array<string>")
+    notes = read(spark, sf_dir, "documents").where("source is not null and lang is not null").select(F.col("doc_id").alias("id"), ask.state_text(F.col("source"), F.col("lang"), none, none, none, F.col("text")).alias("state"))
+    return ask.ranked(ask.answers(notes, {"type": "score", "instructions": "how long", "criteria": ["length"]}, _longer_is_better, "length")).select("id", "value")
+
+
+@query("""SELECT conv_id, round(round(sum(CASE WHEN (turn + 1) / 20.0 BETWEEN 0.045 AND 0.96 THEN 0.5 * length(text) / 10000.0 ELSE 0 END) / 0.915, 4), 2) AS coverage, CAST(count(*) FILTER ((turn + 1) / 20.0 > 0.96) AS INTEGER) AS bottom FROM conversations WHERE text IS NOT NULL GROUP BY conv_id""")
+def covered_by_text(spark, sf_dir):
+    box = F.struct(F.lit(0.1).alias("x"), ((F.col("turn") + 1) / 20.0).cast("double").alias("y"), F.lit(0.5).alias("w"), (F.length("text") / 10000).alias("h"))
+    c = read(spark, sf_dir, "conversations").where("text is not null").groupBy("conv_id").agg(F.collect_list(F.struct("text", F.lit(0.9).alias("conf"), box.alias("box"))).alias("lines"))
+    return c.select("conv_id", F.round(pixels.text_coverage(F.col("lines")), 2).alias("coverage"), pixels.bar_lines(F.col("lines"))["bottom"].alias("bottom"))
+
+
 # ---- sequences and streams ----
 @query()
 def scroll_sequences(spark, sf_dir):

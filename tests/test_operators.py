@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from inkfathom.functions import code_text, payments, redaction
 from inkfathom.functions import text as T
-from inkfathom.operators import duplicates, graph, key_terms, lifecycle, links, records, rules, search, sequences, sessions
+from inkfathom.operators import ask, duplicates, graph, key_terms, lifecycle, links, pixels, records, rules, search, sequences, sessions
 from inkfathom.sources import files, sinks
 from inkfathom.streaming import ingest
 
@@ -380,3 +380,31 @@ def test_streamed_sessions_are_as_in_batch(spark, tmp_path):
     q = ingest.session_counts(stream).writeStream.format("memory").queryName("closed").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.source_app, str(r["first"]), r["size"]) for r in spark.sql("select * from closed").collect()} == whole
+
+
+# ---- models and pictures ----
+def test_ask_keeps_answers(spark):
+    q = ask.question('{"type":"choice","instructions":"which","criteria":["a","b"]}')
+    with pytest.raises(ValueError):
+        ask.question('{"type":"choice","instructions":"which"}')
+    notes = spark.createDataFrame([(1, "x"), (2, "yy"), (3, "zzz")], "id int, state string")
+    load = lambda: lambda states, q: [{"choice": "ab"[len(x) % 2], "confidence": len(x) / 10} for x in states]
+    cache = spark.createDataFrame([(1, ask.question_id(q), "m", "choice", 0.9, "b", 0.9), (1, "other", "m", "choice", 0.0, "a", 0.0)], f"id int, question string, model string, {ask.ANSWER}")
+    got = ask.answers(notes, q, load, "m", cache)
+    assert [(r.id, r.choice) for r in ask.ranked(got, choice="b").collect()] == [(1, "b"), (3, "b")] and got.count() == 3
+    assert [r.id for r in ask.ranked(got, least=0.2, top=2).collect()] == [1, 3]
+
+
+def test_pictures(spark):
+    row = [*range(9), *range(9, 0, -1)] * 4
+    assert column(spark, [row, row[:5]], pixels.difference_hash, "array<int>") == ["00ff00ff00ff00ff", None]
+    e = [[0] * 10 for _ in range(6)]
+    e[2] = [255] * 10
+    for y in e:
+        y[3] = 255
+    import numpy as np
+
+    assert pixels._has_run(np.array(e) > 60, 8) == 1 and pixels._has_run((np.array(e) > 60).T, 6) == 1
+    got = column(spark, [[0] * 179_999 + [50], [1]], pixels.edge_measures, "array<int>")
+    assert (got[0].hlines, got[0].vlines, got[0].edges) == (0, 0, 0.0) and got[1] is None
+    assert column(spark, [[1, 1, 90]], pixels.grey_levels, "array<int>") == [2] and column(spark, [[1, 90, 90]], pixels.colourful, "array<int>") == [0.6667]
