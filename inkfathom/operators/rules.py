@@ -112,13 +112,13 @@ def is_camera(app: Column, file_name: Column) -> Column:
     return F.coalesce(app == "com.apple.camera", F.lit(False)) | ((F.coalesce(app, F.lit("")) == "") & F.coalesce(F.regexp_extract(file_name, r"([^/]*)$", 1).rlike(CAMERA), F.lit(False)))
 
 
-def kind(first: Column, item: dict[str, Column], camera: Column, set_by: Column, set_kind: Column) -> Column:
+def kind(first: Column, item: dict[str, Column], camera: Column, set_by: Column, set_kind: Column, callers: tuple[str, ...] = ("llm", "user")) -> Column:
     """struct(kind, why): a caller's kind, then code and receipts, pictures, camera photos with text, the app's kind, a screenshot."""
     pair = lambda k, w: F.struct(k.alias("kind"), w.alias("why"))
     visual = is_visual(item | {"kind": first["kind"]})
     percent = F.format_string("visual: text covers %d%% of the image", F.bround(F.coalesce(item["text_coverage"], F.lit(0.0)) * 100).cast("int"))
     return (
-        F.when(set_by.isin("llm", "user", "laya") & set_kind.isin(*KINDS), pair(set_kind, F.concat(F.lit("set by "), set_by)))
+        F.when(set_by.isin(*callers) & set_kind.isin(*KINDS), pair(set_kind, F.concat(F.lit("set by "), set_by)))
         .when(first["kind"].isin("code", "receipt"), first)
         .when(visual, pair(F.lit("photo"), percent))
         .when(camera, pair(F.lit("slide"), F.lit("camera photo with text")))

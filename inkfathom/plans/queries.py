@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from inkfathom.functions import code_text, payments, redaction
 from inkfathom.functions import text as T
 from inkfathom.functions.wordlists import STOP_WORDS
-from inkfathom.operators import ask, duplicates, key_terms, lifecycle, links, pixels, records, rules, search, sequences, sessions
+from inkfathom.operators import ask, duplicates, key_terms, layout, lifecycle, links, pixels, records, rules, search, sequences, sessions
 from inkfathom.streaming import ingest
 from inkfathom.tables import shared_dir
 
@@ -390,6 +390,16 @@ def program_texts(spark, sf_dir):
     return d.select("doc_id", "code.lang", "code.score", F.array_join(code_text.imports(F.col("text"), F.col("code.lang")), ",").alias("imports"))
 
 
+@query("SELECT conv_id AS id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS line_no, repeat(' ', CAST(4 * (turn % 3) AS INTEGER)) || 'line' || turn || ' = call(x)' AS text FROM conversations WHERE conv_id % 2 = 0 QUALIFY count(*) OVER (PARTITION BY conv_id, turn) = 1")
+def program_layout(spark, sf_dir):
+    """Each turn as a line of program text on a screen, indented by up to two units of four characters."""
+    c = read(spark, sf_dir, "conversations").where("conv_id % 2 = 0")
+    text = F.concat(F.lit("line"), "turn", F.lit(" = call (x)"))
+    x = (F.col("turn") % 3) * 0.04 + 0.1
+    boxes = c.groupBy("conv_id", "turn").agg(F.count("*").alias("n")).where("n = 1").select(F.col("conv_id").alias("id"), F.col("turn").alias("line_no"), text.alias("text"), x.cast("double").alias("x"), (F.col("turn") * 0.02).cast("double").alias("y"), (F.length(text) * 0.01).cast("double").alias("w"), F.lit(0.015).alias("h"))
+    return layout.program_lines(boxes)
+
+
 # ---- lifecycle ----
 @query(f"""WITH {_ITEMS}, d AS (SELECT id, CASE WHEN id % 11 = 0 AND NOT has_secrets THEN 'attach' WHEN status <> 'ok' THEN 'hold' WHEN has_secrets THEN 'quarantine' WHEN n_chars < 300 AND id % 3 = 0 THEN 'attach' ELSE 'quarantine' END AS outcome,
 CASE WHEN id % 11 = 0 AND NOT has_secrets THEN 'kept on request' WHEN status <> 'ok' THEN 'low_confidence' WHEN has_secrets THEN 'contains secrets' WHEN n_chars < 300 AND id % 3 = 0 THEN 'visual' ELSE 'content captured in the note' END AS cause FROM items)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from inkfathom.functions import code_text, payments, redaction
 from inkfathom.functions import text as T
-from inkfathom.operators import ask, duplicates, graph, key_terms, lifecycle, links, pixels, records, rules, search, sequences, sessions
+from inkfathom.operators import ask, duplicates, graph, key_terms, layout, lifecycle, links, pixels, records, rules, search, sequences, sessions
 from inkfathom.sources import files, sinks
 from inkfathom.streaming import ingest
 
@@ -408,3 +408,11 @@ def test_pictures(spark):
     got = column(spark, [[0] * 179_999 + [50], [1]], pixels.edge_measures, "array<int>")
     assert (got[0].hlines, got[0].vlines, got[0].edges) == (0, 0, 0.0) and got[1] is None
     assert column(spark, [[1, 1, 90]], pixels.grey_levels, "array<int>") == [2] and column(spark, [[1, 90, 90]], pixels.colourful, "array<int>") == [0.6667]
+
+
+def test_layout():
+    box = lambda t, x, y: {"text": t, "x": x, "y": y, "w": 0.01 * len(t), "h": 0.015}
+    rows = [box("def f(a):", 0.1, 0.1), box("return", 0.14, 0.12), box("a + b", 0.22, 0.121), box("# done", 0.1, 0.14)]
+    assert layout.arrange(rows) == ["def f(a):", "    return  a + b", "# done"]
+    assert layout.arrange([box(str(n), 0.02, r["y"]) for n, r in enumerate(rows[:2] + rows[3:], 7)] + rows) == ["def f(a):", "    return  a + b", "# done"]
+    assert layout.arrange([box("a", 0.1, 0.1), box("b", 0.2, 0.1)]) == ["a b"] and layout.arrange([]) == []
