@@ -57,7 +57,10 @@ class Rule:
     def why(self) -> Column:
         """The reason that the rule matches, null if it does not."""
         quote = lambda s: F.concat(F.lit("'"), F.trim(s), F.lit("'"))
-        found = lambda p: F.when(F.col("text").rlike("(?iU)" + p), F.regexp_extract("text", "(?iU)" + p, 0))
+        # A lower-case pattern over the lower-case text is several times as fast as one that minds no case.
+        plain = lambda p: not re.search(r"(?<!\\)[A-Z]", p)
+        has = lambda p: F.lower("text").rlike("(?U)" + p) if plain(p) else F.col("text").rlike("(?iU)" + p)
+        found = lambda p: F.when(has(p), F.regexp_extract("text", "(?iU)" + p, 0))
         checks = []
         if self.code_langs:
             hit = F.col("lang").isNotNull() if "*" in self.code_langs else F.col("lang").isin(*self.code_langs)
@@ -82,7 +85,7 @@ class Rule:
         right = F.array_compact(F.array(*checks))
         ok = F.size(right) == len(checks) if self.mode == "all" else F.size(right) > 0
         for p in self.also:
-            ok = ok & F.col("text").rlike("(?iU)" + p)
+            ok = ok & has(p)
         more = [F.concat(F.lit("and "), quote(F.regexp_extract("text", "(?iU)" + p, 0))) for p in self.also]
         return F.when(ok, F.array_join(F.concat(right, F.array(*more)) if more else right, "; "))
 
@@ -96,7 +99,8 @@ def load(toml: str | None = None) -> tuple[list[Rule], list[Rule]]:
 
 def classify(rules: Iterable[Rule]) -> Column:
     """struct(kind, why) of the first rule that matches; null if none does."""
-    return F.coalesce(*[F.when(w.isNotNull(), F.struct(F.lit(r.name).alias("kind"), w.alias("why"))) for r in rules if (w := r.why()) is not None])
+    whys = F.array(*[F.struct(F.lit(r.name).alias("kind"), r.why().alias("why")) for r in rules])
+    return F.get(F.filter(whys, lambda x: x["why"].isNotNull()), F.lit(0))
 
 
 def topics(rules: Iterable[Rule]) -> Column:
