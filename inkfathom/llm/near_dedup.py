@@ -29,7 +29,7 @@ WORDS, PER_CENT = 5, 85
 RETAINED, KEYED, SMALL = 128, 16, 24
 #: Estimates so far below the threshold count as possible: about 4.5 standard deviations of a sketch of RETAINED values.
 SLACK = 0.14
-BLOCK, CHUNK = 256, 512
+BLOCK, CHUNK = 512, 1024
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -199,7 +199,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     hot = members.where(F.col("m") > SMALL)
     weight = hot.groupBy("digest").agg(F.sum("m").alias("weight"))
     centres = hot.join(weight, "digest").groupBy("key").agg(F.max(F.struct("weight", "digest", "n")).alias("c")).select("key", F.col("c.digest").alias("centre"), F.col("c.n").alias("n_b"))
-    hot = table(hot.join(centres, "key"), "hot-lists")
+    hot = table(hot.join(table(centres, "centres"), "key"), "hot-lists")  # a table, so that both sides are exchanged and a long list can be split
     star = hot.where((F.col("digest") != F.col("centre")) & (100 * F.least("n", "n_b") >= PER_CENT * F.greatest("n", "n_b")))
     star = star.select(F.least("digest", "centre").alias("a"), F.greatest("digest", "centre").alias("b"))
     pairs = pairs.union(star).distinct()
