@@ -224,11 +224,20 @@ def benchmark_containment(spark, sf_dir):
     return both.select("item_id", "doc_id", "n_both", duplicates.decide(F.col("n_both"), F.col("nb"), F.col("nd"), F.lit(64)).alias("why")).where("why is not null")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_ITEMS}, s AS (SELECT id, captured_at, round(least(coalesce(n_chars, 0) / 300, 4.0) + 2 * coalesce(quality, 0), 3) AS score, {_TOKENS} AS t FROM items),
+g AS (SELECT id, len(t) AS n, unnest(t) AS t FROM s WHERE len(t) >= 10), p AS (SELECT a.id AS a, b.id AS b, count(*) AS n_both, min(a.n) AS na, min(b.n) AS nb FROM g a JOIN g b ON a.t = b.t AND a.id < b.id GROUP BY a.id, b.id),
+l AS (SELECT a, b FROM p WHERE n_both / (na + nb - n_both) >= 0.8 OR n_both / least(na, nb) >= 0.85), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT DISTINCT a, a AS b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), m AS (SELECT a AS id, min(b) AS root FROM r GROUP BY a)
+SELECT id, root, CAST(row_number() OVER (PARTITION BY root ORDER BY score DESC, captured_at DESC NULLS LAST, id) AS INTEGER) AS rank, count(*) OVER (PARTITION BY root) AS size FROM m JOIN s USING (id)""")
 def duplicate_groups(spark, sf_dir):
     rows = duplicates.with_tokens(items(spark, sf_dir).withColumn("dhash", F.lit(None).cast("string")))
     rows = rows.withColumn("score", duplicates.score(F.lit(0), F.lit(0), F.col("n_chars"), F.col("quality"), F.lit(None)))
-    return duplicates.groups(rows, duplicates.links(rows, duplicates.candidates(rows)))
+    return duplicates.groups(rows, duplicates.links(rows, duplicates.exact_candidates(rows)))
+
+
+@query()
+def minhash_signatures(spark, sf_dir):
+    return duplicates.with_tokens(read(spark, sf_dir, "documents")).select("doc_id", duplicates.minhash(F.col("tokens")).alias("signature"))
 
 
 @query(f"""WITH {_ITEMS}, g AS (SELECT text, min(id) AS root, count(*) AS size FROM items GROUP BY text HAVING count(*) > 1 AND text IS NOT NULL),

@@ -114,6 +114,8 @@ def test_duplicate_groups(spark):
     df = duplicates.with_tokens(spark.createDataFrame([(k, v, None) for k, v in texts.items()], "id string, text string, dhash string"))
     edges = duplicates.links(df, duplicates.candidates(df))
     assert {(r.a, r.b, r.why) for r in edges.collect()} >= {("a", "d", "text"), ("c", "g", "text")}
+    exact = duplicates.links(df, duplicates.exact_candidates(df))
+    assert {(r.a, r.b, r.why) for r in exact.collect()} == {("a", "d", "text"), ("a", "b", "contained"), ("b", "d", "contained"), ("c", "g", "text")}
     ranked = df.withColumns({"score": F.when(F.col("id") == "b", 9.0).otherwise(1.0), "captured_at": F.lit(None).cast("timestamp_ntz")})
     got = {r.id: (r.root, r.rank, r.size) for r in duplicates.groups(ranked, edges).collect()}
     assert got == {"b": ("a", 1, 3), "a": ("a", 2, 3), "d": ("a", 3, 3), "c": ("c", 1, 2), "g": ("c", 2, 2)}
