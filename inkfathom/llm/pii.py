@@ -1,14 +1,15 @@
 """Information-theoretic sanitisation: personal data by pattern, and the terms that the corpus shows to reveal it.
 
 Base spans are emails, addresses of hosts, payment cards and phone numbers. Each distinct value is a protected entity e,
-of a kind k. A term t (a run of letters) within `CONTEXT` code points of e is evidence; over all documents, with c() the
-number of documents holding something and c(t, e) the number of distinct contexts of e with t,
+of a kind k. A term t (a run of letters) within `CONTEXT` code points of e is evidence; with c() the number of documents that
+hold something, and c(t, e) of those that hold t in a context of e, so that repeated wording counts alike everywhere,
 
     PMI(t; e) = log N c(t, e) / (c(t) c(e))   discloses e if it is at least   IC(k) = log N / c(k),
 
 that is, if the term tells more of the entity than its kind would: c(t, e) c(k) >= c(t) c(e), in whole numbers. Such a
 term is generalised in the contexts of e; if it occurs nowhere but with e, so that PMI reaches IC(e), it is removed. One
-context is no evidence (`SUPPORT`). Everything is built-in expressions, joins and sums; no text is shuffled for spans.
+document is no evidence (`SUPPORT`). Everything is built-in expressions, joins and sums; only texts with entities are
+shuffled, so that copies are worked on once.
 
 Null and empty texts have no spans; equal texts in one document id are judged row by row; an empty table gives an empty
 result. Other columns are kept by `sanitise` and cannot clash.
@@ -31,8 +32,6 @@ _CARD = r"[0-9](?:[\x20-]?+[0-9]){12,}+"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 CONTEXT, SUPPORT, LEAST_LETTERS = 160, 2, 4
-#: Contexts are one if they agree in so many code points on either side of the entity: copies of a text are no evidence of their own.
-NEAR = 24
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalise": "[TERM]", "remove": ""}
 _NOT_LETTERS = r"[^\p{L}]+"
 
@@ -95,19 +94,17 @@ def _terms(side: Column, offset: Column, open_start: Column, open_end: Column) -
 
 
 def evidence(rows: DataFrame) -> DataFrame:
-    """doc_id, _row, kind, value, context, term, start, end: each occurrence of a term in a context of an entity; rows has doc_id, _row, _text and _base."""
-    spans = rows.where(F.size("_base") > 0).select("doc_id", "_row", "_text", "_base", F.explode("_base").alias("s"))
+    """_row, n_docs, kind, value, term, start, end: each occurrence of a term in a context of an entity; rows has _row, _text, _base and n_docs."""
+    spans = rows.where(F.size("_base") > 0).select("_row", "n_docs", "_text", "_base", F.explode("_base").alias("s"))
     low = F.greatest(F.col("s.start") - CONTEXT, F.lit(0))
     one = spans.select(
-        "doc_id", "_row", "_base", F.col("s.kind").alias("kind"), F.lower("s.value").alias("value"), F.col("s.end").alias("_end"), low.alias("_low"),
+        "_row", "n_docs", "_base", F.col("s.kind").alias("kind"), F.lower("s.value").alias("value"), F.col("s.end").alias("_end"), low.alias("_low"),
         F.substring("_text", low + 1, F.col("s.start") - low).alias("_before"),
         F.substring("_text", F.col("s.end") + 1, F.lit(CONTEXT)).alias("_after"),
     )
-    near = F.lower(F.substring("_before", -NEAR, NEAR)), F.lower(F.substring("_after", 1, NEAR))
-    one = one.withColumn("context", F.xxhash64(*near))
     sides = F.concat(_terms(F.col("_before"), F.col("_low"), F.col("_low") > 0, F.lit(True)), _terms(F.col("_after"), F.col("_end"), F.lit(True), F.length("_after") == CONTEXT))
     terms = one.withColumn("t", F.explode(sides)).where(~F.exists("_base", lambda b: (b["start"] < F.col("t.end")) & (F.col("t.start") < b["end"])))
-    return terms.select("doc_id", "_row", "kind", "value", "context", "t.term", "t.start", "t.end")
+    return terms.select("_row", "n_docs", "kind", "value", "t.term", "t.start", "t.end")
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -115,24 +112,24 @@ def spans(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("_text")).withColumn("_row", F.xxhash64("_text"))
     based = with_base_spans(rows)
     base = table(based.select("doc_id", "_row", "_base"), "pii-base")
-    some = table(based.where(F.size("_base") > 0), "pii-texts")  # the texts with entities only
+    copies = based.where(F.size("_base") > 0).groupBy("_row").agg(F.first("_text").alias("_text"), F.first("_base").alias("_base"), F.count("*").alias("n_docs"))
+    some = table(copies, "pii-texts")  # the distinct texts with entities only
     found = table(evidence(some), "pii-evidence")
-    over = disclosing(rows, some, found)
-    hits = found.join(over, ["kind", "value", "term"]).groupBy("doc_id", "_row", "start", "end").agg(F.max("remove").alias("remove"), F.first("term").alias("term"))
-    extra = hits.select("doc_id", "_row", F.struct(F.when(F.col("remove"), 5).otherwise(4).alias("kind"), "start", "end", F.col("term").alias("value")).alias("s"))
-    extra = extra.groupBy("doc_id", "_row").agg(F.sort_array(F.collect_list("s")).alias("_extra"))
+    over = table(disclosing(rows, some, found), "pii-disclosing")
+    hits = found.join(over, ["kind", "value", "term"]).groupBy("_row", "start", "end").agg(F.max("remove").alias("remove"), F.first("term").alias("term"))
+    extra = hits.select("_row", F.struct(F.when(F.col("remove"), 5).otherwise(4).alias("kind"), "start", "end", F.col("term").alias("value")).alias("s"))
+    extra = table(extra.groupBy("_row").agg(F.sort_array(F.collect_list("s")).alias("_extra")), "pii-terms")  # a table, so that a text with many copies can be split
     none = F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>")
-    same = base["doc_id"].eqNullSafe(extra["doc_id"]) & (base["_row"] == extra["_row"])
-    return base.join(extra, same, "left").select(base["doc_id"], base["_row"], "_base", "_extra").withColumn("_extra", F.coalesce("_extra", none))
+    return base.join(extra, "_row", "left").select("doc_id", "_row", "_base", F.coalesce("_extra", none).alias("_extra"))
 
 
 def disclosing(all_rows: DataFrame, some: DataFrame, found: DataFrame) -> DataFrame:
-    """kind, value, term, remove: the pairs over the threshold. all_rows has every _text, some those with _base, found is evidence() of it."""
-    pairs = found.groupBy("kind", "value", "term", "context").agg(F.count("*").alias("n")).groupBy("kind", "value", "term").agg(F.count("*").alias("c_te")).where(F.col("c_te") >= SUPPORT)
+    """kind, value, term, remove: the pairs over the threshold, all four counts in documents. all_rows has every _text, some the distinct ones with _base and n_docs, found is evidence() of it."""
+    pairs = found.select("_row", "n_docs", "kind", "value", "term").distinct().groupBy("kind", "value", "term").agg(F.sum("n_docs").alias("c_te")).where(F.col("c_te") >= SUPPORT)
     entity = F.transform("_base", lambda s: F.struct(s["kind"].alias("kind"), F.lower(s["value"]).alias("value")))
-    c_e = some.select(F.explode(F.array_distinct(entity)).alias("e")).groupBy("e.kind", "e.value").agg(F.count("*").alias("c_e"))
+    c_e = some.select("n_docs", F.explode(F.array_distinct(entity)).alias("e")).groupBy("e.kind", "e.value").agg(F.sum("n_docs").alias("c_e"))
     kinds = F.array_distinct(F.transform("_base", lambda s: s["kind"]))
-    c_k = some.select(F.explode(kinds).alias("kind")).groupBy("kind").agg(F.count("*").alias("c_k"))  # four rows at most
+    c_k = some.select("n_docs", F.explode(kinds).alias("kind")).groupBy("kind").agg(F.sum("n_docs").alias("c_k"))  # four rows at most
     words = all_rows.select(F.explode(F.array_distinct(F.split(F.lower("_text"), _NOT_LETTERS))).alias("term")).where(F.length("term") >= LEAST_LETTERS)
     c_t = words.groupBy("term").agg(F.count("*").alias("c_t"))
     known = pairs.join(c_e, ["kind", "value"]).join(F.broadcast(c_k), "kind").join(c_t, "term")

@@ -118,6 +118,16 @@ def test_pii_discloses_by_evidence(spark):
     assert clean[0].text == near[0].replace("zebrafish", "").replace("z@q.com", "[EMAIL]") and clean[9].text == filler[5] and clean[0].key == "k"
 
 
+def test_pii_counts_repeated_wording(spark):
+    signed = [f"point {chr(97 + i)}{chr(98 + i)}xyz of the long plan is open and waits. Best wishes to you all from Quagmire at q@corp.com, our usual footer follows" for i in range(12)]
+    texts = [*signed, "mail another@site.org for the plan", "only Marmalade wrote m@site.org today"]
+    got = {r.doc_id: r for r in pii.report(rows(spark, texts)).collect()}
+    for i in range(12):
+        at = texts[i].index("Quagmire")
+        assert f"remove:{at}:{at + 8}" in got[i].spans.split(",")
+    assert all(got[i].n_remove == 0 and got[i].n_generalise == 0 for i in (12, 13))  # one document is no evidence
+
+
 # ---- 3: passages ----
 def brute_passages(texts):
     seen, out = set(), {}
