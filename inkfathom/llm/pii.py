@@ -1,15 +1,15 @@
 """Information-theoretic sanitisation: personal data by pattern, and the terms that the corpus shows to reveal it.
 
 Base spans are emails, addresses of hosts, payment cards and phone numbers. Each distinct value is a protected entity e,
-of a kind k. A term t (a run of letters) within `CONTEXT` code points of e is evidence; with c() the number of documents that
-hold something, and c(t, e) of those that hold t in a context of e, so that repeated wording counts alike everywhere,
+of a kind k. A term t (a run of letters, of any length) anywhere in a document of e is evidence; with c() the number of documents
+that hold something and c(t, e) of those that hold both, so that repeated wording counts alike everywhere,
 
     PMI(t; e) = log N c(t, e) / (c(t) c(e))   discloses e if it is at least   IC(k) = log N / c(k),
 
 that is, if the term tells more of the entity than its kind would: c(t, e) c(k) >= c(t) c(e), in whole numbers. Such a
-term is generalised in the contexts of e; if it occurs nowhere but with e, so that PMI reaches IC(e), it is removed. One
-document is no evidence (`SUPPORT`). Everything is built-in expressions, joins and sums; only texts with entities are
-shuffled, so that copies are worked on once.
+term is generalised wherever it stands in the documents of e; if it occurs nowhere but with e, so that PMI reaches IC(e), it is removed. One
+document is no evidence (`SUPPORT`). Letters within base spans are no terms. Everything is built-in expressions, joins and sums;
+only texts with entities are shuffled, so that copies are worked on once.
 
 Null and empty texts have no spans; equal texts in one document id are judged row by row; an empty table gives an empty
 result. Other columns are kept by `sanitise` and cannot clash.
@@ -31,9 +31,10 @@ _IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}+"
 _CARD = r"[0-9](?:[\x20-]?+[0-9]){12,}+"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-CONTEXT, SUPPORT, LEAST_LETTERS = 160, 2, 4
+SUPPORT = 2
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalise": "[TERM]", "remove": ""}
 _NOT_LETTERS = r"[^\p{L}]+"
+_SPANS = "array<struct<kind:int,start:int,end:int,value:string>>"
 
 
 def _luhn(digits: Column) -> Column:
@@ -58,7 +59,7 @@ def with_base_spans(rows: DataFrame, text: str = "_text", out: str = "_base") ->
     none = F.array().cast("array<string>")
     rows = rows.withColumns({f"_m_{k}": F.when(guard & F.col(text).isNotNull(), F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none) for k, (p, guard) in patterns.items()})
     rows = rows.withColumns({f"_p_{k}": F.when(F.size(f"_m_{k}") > 0, F.transform(F.split(text, p, -1), lambda x: F.length(x))) for k, (p, _) in patterns.items()})
-    empty = F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>")
+    empty = F.array().cast(_SPANS)
 
     def spans(number: int, kind: str) -> Column:
         zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), empty.alias("out"))
@@ -76,35 +77,50 @@ def with_base_spans(rows: DataFrame, text: str = "_text", out: str = "_base") ->
     return rows.drop(*[f"_{x}_{k}" for x in "mp" for k in patterns])
 
 
-def _terms(side: Column, offset: Column, open_start: Column, open_end: Column) -> Column:
-    """(term, start, end) of the runs of letters in a piece of text at offset; one cut by an open edge is left out."""
-    parts, gaps = F.split(side, _NOT_LETTERS, -1), F.split(side, r"\p{L}+", -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<term:string,start:int,end:int>>").alias("out"))
-    runs = F.filter(parts, lambda p: p != "")
-    between = F.transform(gaps, lambda g: F.length(g))
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text."""
+    runs = F.array_distinct(F.split(text, _NOT_LETTERS))
+    return F.array_distinct(F.transform(F.filter(runs, lambda t: t != ""), lambda t: F.lower(t)))
 
-    def step(a: Column, t: Column) -> Column:
-        start = a["at"] + F.get(between, F.size(a["out"]))
-        one = F.struct(F.lower(t).alias("term"), start.alias("start"), (start + F.length(t)).alias("end"))
-        return F.struct((start + F.length(t)).alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
 
-    found = F.aggregate(runs, zero, step, lambda a: a["out"])
-    inside = F.filter(found, lambda x: (F.length(x["term"]) >= LEAST_LETTERS) & ~(open_start & (x["start"] == 0)) & ~(open_end & (x["end"] == F.length(side))))
-    return F.transform(inside, lambda x: F.struct(x["term"].alias("term"), (x["start"] + offset).alias("start"), (x["end"] + offset).alias("end")))
+def _outside(text: str, base: str) -> Column:
+    """The text with blanks in place of base spans, so that places stay."""
+    by_start = F.array_sort(base, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
+    def step(a: Column, s: Column) -> Column:
+        start = F.greatest(s["start"], a["at"])  # spans of two kinds may overlap
+        pieces = F.array(F.substring(F.col(text), a["at"] + 1, start - a["at"]), F.repeat(F.lit(" "), s["end"] - start))
+        return F.when(s["end"] <= a["at"], a).otherwise(F.struct(s["end"].alias("at"), F.concat(a["out"], pieces).alias("out")))
 
-def evidence(rows: DataFrame) -> DataFrame:
-    """_row, n_docs, kind, value, term, start, end: each occurrence of a term in a context of an entity; rows has _row, _text, _base and n_docs."""
-    spans = rows.where(F.size("_base") > 0).select("_row", "n_docs", "_text", "_base", F.explode("_base").alias("s"))
-    low = F.greatest(F.col("s.start") - CONTEXT, F.lit(0))
-    one = spans.select(
-        "_row", "n_docs", "_base", F.col("s.kind").alias("kind"), F.lower("s.value").alias("value"), F.col("s.end").alias("_end"), low.alias("_low"),
-        F.substring("_text", low + 1, F.col("s.start") - low).alias("_before"),
-        F.substring("_text", F.col("s.end") + 1, F.lit(CONTEXT)).alias("_after"),
-    )
-    sides = F.concat(_terms(F.col("_before"), F.col("_low"), F.col("_low") > 0, F.lit(True)), _terms(F.col("_after"), F.col("_end"), F.lit(True), F.length("_after") == CONTEXT))
-    terms = one.withColumn("t", F.explode(sides)).where(~F.exists("_base", lambda b: (b["start"] < F.col("t.end")) & (F.col("t.start") < b["end"])))
-    return terms.select("_row", "n_docs", "kind", "value", "t.term", "t.start", "t.end")
+    return F.aggregate(by_start, zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col(text), a["at"] + 1, F.length(text))))
+
+
+def _places(text: Column, over: Column) -> Column:
+    """The runs of letters that are keys of the map over (term to remove), as _base, kinds 4 and 5."""
+    runs = F.filter(F.split(text, _NOT_LETTERS, -1), lambda t: t != "")
+    gaps = F.split(text, r"\p{L}+", -1)
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        start = a["at"] + x["gap"]
+        end, remove = start + F.length(x["run"]), F.element_at(over, F.lower(x["run"]))
+        one = F.struct(F.when(remove, 5).otherwise(4).alias("kind"), start.alias("start"), end.alias("end"), F.lower(x["run"]).alias("value"))
+        return F.struct(end.alias("at"), F.when(remove.isNotNull(), F.concat(a["out"], F.array(one))).otherwise(a["out"]).alias("out"))
+
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(runs)), runs, lambda g, t: F.struct(F.length(g).alias("gap"), t.alias("run")))
+    return F.aggregate(pairs, zero, step, lambda a: a["out"])
+
+
+def _entities() -> Column:
+    """The distinct (kind, value) of _base."""
+    return F.array_distinct(F.transform("_base", lambda s: F.struct(s["kind"].alias("kind"), F.lower(s["value"]).alias("value"))))
+
+
+def evidence(texts: DataFrame) -> DataFrame:
+    """_row, n_docs, kind, value, term: each term of a text with each entity of it; texts has distinct _row, n_docs, _base and _rest."""
+    one = texts.select("_row", "n_docs", _entities().alias("e"), F.explode(_terms(F.col("_rest"))).alias("term"))
+    return one.select("_row", "n_docs", F.explode("e").alias("e"), "term").select("_row", "n_docs", "e.kind", "e.value", "term")
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -113,25 +129,28 @@ def spans(docs: DataFrame) -> DataFrame:
     based = with_base_spans(rows)
     base = table(based.select("doc_id", "_row", "_base"), "pii-base")
     copies = based.where(F.size("_base") > 0).groupBy("_row").agg(F.first("_text").alias("_text"), F.first("_base").alias("_base"), F.count("*").alias("n_docs"))
-    some = table(copies, "pii-texts")  # the distinct texts with entities only
-    found = table(evidence(some), "pii-evidence")
+    some = table(copies.withColumn("_rest", _outside("_text", "_base")), "pii-texts")  # the distinct texts with entities only
+    found = evidence(some)
     over = table(disclosing(rows, some, found), "pii-disclosing")
-    hits = found.join(over, ["kind", "value", "term"]).groupBy("_row", "start", "end").agg(F.max("remove").alias("remove"), F.first("term").alias("term"))
-    extra = hits.select("_row", F.struct(F.when(F.col("remove"), 5).otherwise(4).alias("kind"), "start", "end", F.col("term").alias("value")).alias("s"))
-    extra = table(extra.groupBy("_row").agg(F.sort_array(F.collect_list("s")).alias("_extra")), "pii-terms")  # a table, so that a text with many copies can be split
-    none = F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>")
+    hits = found.join(over, ["kind", "value", "term"]).groupBy("_row", "term").agg(F.max("remove").alias("remove"))
+    hits = hits.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "remove"))).alias("_over"))
+    extra = some.select("_row", "_rest").join(hits, "_row").select("_row", _places(F.col("_rest"), F.col("_over")).alias("_extra"))
+    extra = table(extra, "pii-terms")  # a table, so that a text with many copies can be split
+    none = F.array().cast(_SPANS)
     return base.join(extra, "_row", "left").select("doc_id", "_row", "_base", F.coalesce("_extra", none).alias("_extra"))
 
 
 def disclosing(all_rows: DataFrame, some: DataFrame, found: DataFrame) -> DataFrame:
-    """kind, value, term, remove: the pairs over the threshold, all four counts in documents. all_rows has every _text, some the distinct ones with _base and n_docs, found is evidence() of it."""
-    pairs = found.select("_row", "n_docs", "kind", "value", "term").distinct().groupBy("kind", "value", "term").agg(F.sum("n_docs").alias("c_te")).where(F.col("c_te") >= SUPPORT)
-    entity = F.transform("_base", lambda s: F.struct(s["kind"].alias("kind"), F.lower(s["value"]).alias("value")))
-    c_e = some.select("n_docs", F.explode(F.array_distinct(entity)).alias("e")).groupBy("e.kind", "e.value").agg(F.sum("n_docs").alias("c_e"))
+    """kind, value, term, remove: the pairs over the threshold, all four counts in documents. all_rows has every _text, some the distinct ones with _base, n_docs and _rest, found is evidence() of it."""
+    pairs = found.groupBy("kind", "value", "term").agg(F.sum("n_docs").alias("c_te")).where(F.col("c_te") >= SUPPORT)
+    c_e = some.select("n_docs", F.explode(_entities()).alias("e")).groupBy("e.kind", "e.value").agg(F.sum("n_docs").alias("c_e"))
     kinds = F.array_distinct(F.transform("_base", lambda s: s["kind"]))
     c_k = some.select("n_docs", F.explode(kinds).alias("kind")).groupBy("kind").agg(F.sum("n_docs").alias("c_k"))  # four rows at most
-    words = all_rows.select(F.explode(F.array_distinct(F.split(F.lower("_text"), _NOT_LETTERS))).alias("term")).where(F.length("term") >= LEAST_LETTERS)
-    c_t = words.groupBy("term").agg(F.count("*").alias("c_t"))
+    # Terms of whole texts, less those that only base spans hold.
+    words = all_rows.select(F.explode(_terms(F.col("_text"))).alias("term"), F.lit(1).cast("long").alias("n"))
+    within = some.select(F.explode(F.array_except(_terms(F.col("_text")), _terms(F.col("_rest")))).alias("term"), (-F.col("n_docs")).alias("n"))
+    beside = some.select(F.explode(F.array_except(_terms(F.col("_rest")), _terms(F.col("_text")))).alias("term"), F.col("n_docs").alias("n"))
+    c_t = words.union(within).union(beside).groupBy("term").agg(F.sum("n").alias("c_t"))
     known = pairs.join(c_e, ["kind", "value"]).join(F.broadcast(c_k), "kind").join(c_t, "term")
     return known.where(F.col("c_te") * F.col("c_k") >= F.col("c_t") * F.col("c_e")).select("kind", "value", "term", (F.col("c_te") >= F.col("c_t")).alias("remove"))
 

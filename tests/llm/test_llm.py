@@ -128,6 +128,18 @@ def test_pii_counts_repeated_wording(spark):
     assert all(got[i].n_remove == 0 and got[i].n_generalise == 0 for i in (12, 13))  # one document is no evidence
 
 
+def test_pii_looks_at_whole_documents(spark):
+    apart = " ".join(["again and again"] * 20)
+    texts = [f"Zebulon Li {apart} wrote from z@q.com {apart} ask Zebulon or 李明, not me{i}" for i in (1, 2)]
+    texts += [f"{apart} mail other{i}@site.org" for i in range(4)] + ["plain words of not me"] * 6
+    got = {r.doc_id: r for r in pii.report(rows(spark, texts)).collect()}
+    for i in (0, 1):
+        places = [m.span() for m in re.finditer("Zebulon|Li|李明", texts[i])]
+        assert len(places) == 4 and {f"remove:{a}:{b}" for a, b in places} <= set(got[i].spans.split(","))
+    clean = {r.doc_id: r.text for r in pii.sanitise(rows(spark, texts)).collect()}
+    assert not re.search("Zebulon|Li|李明", clean[0]) and "[EMAIL]" in clean[0] and clean[2] == texts[2].replace("other0@site.org", "[EMAIL]") and clean[9] == texts[9]
+
+
 # ---- 3: passages ----
 def brute_passages(texts):
     seen, out = set(), {}
