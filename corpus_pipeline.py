@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from inkfathom.llm import line_dedup, near_dedup, packing, pii, quality
 from inkfathom.llm.common import documents, table
 
+#: Per cent of common shingles from which documents are near-duplicates.
+SIMILAR = 80
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -34,7 +36,7 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component: its smallest doc_id."""
-    kept = near_dedup.dedup(docs).where("kept").select("doc_id").distinct()
+    kept = near_dedup.dedup(docs, SIMILAR).where("kept").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
 
 

@@ -2,8 +2,8 @@
 
 A document's set is its distinct shingles of `WORDS` words, A-Z lower-cased; a shorter one has its whole sequence as one
 shingle. Documents with equal sets are one class from the start. A class keeps the `RETAINED` smallest hashes of its set
-(its sketch). Inverted lists hold the classes with two successive retained values among the `KEYED` smallest in common;
-for a pair at the threshold that none of these agree has a chance of about 4 in a million. Lists of at most `SMALL`
+(its sketch). Inverted lists hold the classes with two successive retained values among the `keyed()` smallest in common;
+for a pair at the threshold that none of these agree has a chance of at most `MISSED`. Lists of at most `SMALL`
 classes give all their pairs; of a longer list, each class is paired with the most central one. The union sketch
 estimates each pair's similarity, and what may reach the threshold is decided on the full sets. Whatever in a longer
 list is not in its centre's component by then is compared with the whole list, in blocks, on full sets; only the links
@@ -15,7 +15,9 @@ are one class. Components are found by alternating star contraction over tables;
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +28,40 @@ from pyspark.sql import functions as F
 from .common import gram_hashes, id_and_text, mixed, slices, split_words, table, word_hashes
 
 WORDS, PER_CENT = 5, 85
-RETAINED, KEYED, SMALL = 128, 16, 24
-#: Estimates so far below the threshold count as possible: about 4.5 standard deviations of a sketch of RETAINED values.
-SLACK = 0.14
+RETAINED, SMALL = 128, 24
+MISSED = 2.5e-7
+#: Estimates so many standard deviations of a sketch of RETAINED values below the threshold count as possible.
+DEVIATIONS = 4.5
 BLOCK, CHUNK = 512, 1024
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
+@cache
+def keyed(per_cent: int) -> int:
+    """How many of the smallest hashes two sets at the threshold need, to have two successive ones in common but for a chance of MISSED."""
+
+    def missed(k: int) -> float:
+        share, lost = per_cent / 100, 0.0
+        now = {(0, 0, False): 1.0}  # values so far of one and of the other, whether both had the last one
+        while now:
+            following: dict[tuple[int, int, bool], float] = {}
+            for (a, b, last), p in now.items():
+                for q, x, y in ((share, a + 1, b + 1), ((1 - share) / 2, a + 1, b), ((1 - share) / 2, a, b + 1)):
+                    both = x > a and y > b
+                    if max(x, y) > k:
+                        lost += p * q
+                    elif not (both and last):
+                        following[x, y, both] = following.get((x, y, both), 0.0) + p * q
+            now = following
+        return lost
+
+    return next((k for k in range(2, RETAINED) if missed(k) <= MISSED), RETAINED)
+
+
+def slack(per_cent: int) -> float:
+    return DEVIATIONS * math.sqrt(per_cent / 100 * (1 - per_cent / 100) / RETAINED)
+
+
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     """The sorted distinct 64-bit shingle hashes of each text."""
     codes, ends, distinct = split_words(texts, lower=True)
@@ -49,14 +78,15 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     """doc_id, n_shingles, digest (of the set), sketch, keys of every row."""
+    n_keyed = keyed(per_cent)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = shingle_sets(batch.column("text"))
             sketch = [s[:RETAINED] for s in sets]
-            keys = [mixed(s[: KEYED - 1][: max(len(s) - 1, 0)] * np.uint64(31) + s[1:KEYED]).view(np.int64) if len(s) > 1 else np.zeros(0, np.int64) for s in sketch]
+            keys = [mixed(s[: n_keyed - 1][: max(len(s) - 1, 0)] * np.uint64(31) + s[1:n_keyed]).view(np.int64) if len(s) > 1 else np.zeros(0, np.int64) for s in sketch]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -81,32 +111,34 @@ def estimate(a: np.ndarray, b: np.ndarray) -> float:
     return len(both) / len(union)
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
+def similar(a: np.ndarray, b: np.ndarray, per_cent: int = PER_CENT) -> bool:
     """Whether two sets reach the threshold, exactly."""
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PER_CENT * (len(a) + len(b) - both)
+    return 100 * both >= per_cent * (len(a) + len(b) - both)
+
 
+def _estimated(pairs: DataFrame, per_cent: int) -> DataFrame:
+    least = per_cent / 100 - slack(per_cent)
 
-def _estimated(pairs: DataFrame) -> DataFrame:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sides = [[np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("sketch_a", "sketch_b")]
-            keep = pa.array([estimate(x, y) >= PER_CENT / 100 - SLACK for x, y in zip(*sides)], pa.bool_())
+            keep = pa.array([estimate(x, y) >= least for x, y in zip(*sides)], pa.bool_())
             yield batch.select(["a", "b"]).filter(keep)
 
     return pairs.mapInArrow(judge, "a binary, b binary")
 
 
-def _confirmed(pairs: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, per_cent: int) -> DataFrame:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text_b"):
-            keep = [similar(x, y) for x, y in zip(shingle_sets(batch.column("text_a")), shingle_sets(batch.column("text_b")))]
+            keep = [similar(x, y, per_cent) for x, y in zip(shingle_sets(batch.column("text_a")), shingle_sets(batch.column("text_b")))]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.mapInArrow(judge, "a binary, b binary")
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
+def _blocks(rows: DataFrame, per_cent: int) -> DataFrame:
     """Links between components from rows (task, side, digest, label, text), sorted: side 0 is a block, side 1 is compared with it."""
 
     def counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -152,7 +184,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
                 if left:
                     both = counts(left, right)
                     size = np.array([[len(s)] for s in left]) + np.array([len(s) for s in right])
-                    for i, j in zip(*np.nonzero(100 * both >= PER_CENT * (size - both))):
+                    for i, j in zip(*np.nonzero(100 * both >= per_cent * (size - both))):
                         x, y = find(block[i][3]), find(fresh[j][3])
                         if x != y:
                             root[x] = y
@@ -182,11 +214,11 @@ def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select(F.col("v"), F.col("v")).distinct())
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and class_size (rows with the same set) of every row."""
+def dedup(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept and class_size (rows with the same set) of every row; per_cent is the similarity of near-duplicates."""
     spark = docs.sparkSession
     rows = id_and_text(docs)
-    signs = table(signatures(docs), "signatures")
+    signs = table(signatures(docs, per_cent), "signatures")
     some = signs.where("n_shingles > 0")
     members = some.select("digest", "n_shingles", F.explode("keys").alias("key")).groupBy("key", "digest").agg(F.max("n_shingles").alias("n"))
     lists = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
@@ -194,13 +226,13 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     # Pairs: all of small lists, and each with the most central class of long ones.
     other = members.where(F.col("m") <= SMALL).select("key", F.col("digest").alias("b"), F.col("n").alias("n_b"))
-    close = (100 * F.least("n", "n_b") >= PER_CENT * F.greatest("n", "n_b")) & (F.col("digest") < F.col("b"))
+    close = (100 * F.least("n", "n_b") >= per_cent * F.greatest("n", "n_b")) & (F.col("digest") < F.col("b"))
     pairs = members.where(F.col("m") <= SMALL).join(other, "key").where(close).select(F.col("digest").alias("a"), "b")
     hot = members.where(F.col("m") > SMALL)
     weight = hot.groupBy("digest").agg(F.sum("m").alias("weight"))
     centres = hot.join(weight, "digest").groupBy("key").agg(F.max(F.struct("weight", "digest", "n")).alias("c")).select("key", F.col("c.digest").alias("centre"), F.col("c.n").alias("n_b"))
     hot = table(hot.join(table(centres, "centres"), "key"), "hot-lists")  # a table, so that both sides are exchanged and a long list can be split
-    star = hot.where((F.col("digest") != F.col("centre")) & (100 * F.least("n", "n_b") >= PER_CENT * F.greatest("n", "n_b")))
+    star = hot.where((F.col("digest") != F.col("centre")) & (100 * F.least("n", "n_b") >= per_cent * F.greatest("n", "n_b")))
     star = star.select(F.least("digest", "centre").alias("a"), F.greatest("digest", "centre").alias("b"))
     pairs = pairs.union(star).distinct()
 
@@ -208,12 +240,12 @@ def dedup(docs: DataFrame) -> DataFrame:
     first = some.groupBy("digest").agg(F.min(F.struct("doc_id", "sketch")).alias("one")).select("digest", "one.*")
     sketches = table(first.join(wanted, "digest"), "sketches")
     side = lambda df, s, what: df.select(F.col("digest").alias(s), F.col(what).alias(f"{what}_{s}"))
-    likely = table(_estimated(pairs.join(side(sketches, "a", "sketch"), "a").join(side(sketches, "b", "sketch"), "b").select("a", "b", "sketch_a", "sketch_b")), "likely")
+    likely = table(_estimated(pairs.join(side(sketches, "a", "sketch"), "a").join(side(sketches, "b", "sketch"), "b").select("a", "b", "sketch_a", "sketch_b"), per_cent), "likely")
 
     needed = likely.select(F.col("a").alias("digest")).union(likely.select("b")).union(hot.select("digest")).distinct()
     texts = sketches.select("digest", "doc_id").join(needed, "digest").join(rows, "doc_id")
     texts = table(_one_text(texts), "texts")
-    links = table(_confirmed(likely.join(side(texts, "a", "text"), "a").join(side(texts, "b", "text"), "b").select("a", "b", "text_a", "text_b")), "links")
+    links = table(_confirmed(likely.join(side(texts, "a", "text"), "a").join(side(texts, "b", "text"), "b").select("a", "b", "text_a", "text_b"), per_cent), "links")
 
     # Long lists that are not one component yet: what is outside the centre's, block by block, against all.
     labels = table(components(links, spark), "labels")
@@ -232,7 +264,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     seen = F.when(F.col("out") & (F.col("block") == 0), none).otherwise(seen)
     dealt = work.select("digest", "label", F.explode(F.concat(F.coalesce(held, none), seen)).alias("t")).select("digest", "label", F.xxhash64("t.task").alias("task"), "t.side")
     dealt = dealt.join(texts, "digest").select("task", "side", "digest", "label", "text").repartition("task").sortWithinPartitions("task", "side")
-    more = table(_blocks(dealt), "more-links")
+    more = table(_blocks(dealt, per_cent), "more-links")
 
     every = components(links.union(more), spark)
     smallest = some.join(every, some["digest"] == every["node"], "left").groupBy(F.coalesce("label", "digest").alias("label")).agg(F.min("doc_id").alias("component_id"))

@@ -367,6 +367,20 @@ def test_near_duplicates(spark, monkeypatch, small):
     assert all(r.kept == (r.component_id == i) for i, r in got.items())
 
 
+def test_near_duplicates_of_the_pipeline(spark):
+    import corpus_pipeline
+
+    r = random.Random(9)
+    texts = []
+    for _ in range(20):
+        w = [f"v{r.randint(0, 10**6)}" for _ in range(104)]
+        texts += [" ".join(w), " ".join([*w[:-10], *["changed", *map(str, range(9))]])]  # 90 of 110 shingles: 0.82
+    df = rows(spark, texts).selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "1L as n_chars")
+    assert {x.doc_id for x in corpus_pipeline.near_duplicates(spark, df, "").collect()} == set(range(0, 40, 2))
+    assert all(x.kept for x in near_dedup.dedup(df).collect())
+    assert (near_dedup.keyed(85), near_dedup.keyed(80)) == (16, 19)
+
+
 # ---- 10: lines ----
 def brute_lines(texts):
     strip = " \t\n\x0b\x0c\r"
