@@ -489,13 +489,16 @@ def covered_by_text(spark, sf_dir):
 # ---- sequences and streams ----
 @query()
 def scroll_sequences(spark, sf_dir):
-    """Long texts in lines of eight words, seen through screens of twelve lines that move by eight."""
-    d = read(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", "lang", F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+").alias("w"))
-    d = d.withColumn("all_lines", F.transform(F.sequence(F.lit(0), F.greatest((F.size("w") / 8).cast("int") - 1, F.lit(0))), lambda i: F.array_join(F.slice("w", i * 8 + 1, 8), " ")))
-    shots = d.where(F.size("all_lines") >= 20).select("doc_id", "lang", "all_lines", F.explode(F.sequence(F.lit(0), F.least(((F.size("all_lines") - 12) / 8).cast("int"), F.lit(9)))).alias("k"))
-    at = F.timestamp_add("SECOND", F.col("doc_id").cast("int") * 1000 + F.col("k") * 20, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
-    lines = F.filter(F.slice("all_lines", F.col("k") * 8 + 1, 12), lambda x: F.length(F.regexp_replace(x, "[^0-9a-z]", "")) >= 4)
-    rows = shots.select((F.col("doc_id") * 10 + F.col("k")).alias("id"), F.col("lang").alias("app"), at.alias("captured_at"), F.lit(None).cast("string").alias("group_id"), lines.alias("lines"))
+    """Texts in lines of eight words, seen through screens of twelve lines that move by eight; what is left at the end is a screen if it has as many new lines as a link takes, or else part of the last. head is id/screen."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    d = d.select(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text"), F.xxhash64("text"))).alias("item"), F.split(F.lower("text"), r"\s+").alias("w"))
+    d = d.withColumn("all_lines", F.transform(F.sequence(F.lit(0), F.ceil(F.size("w") / 8).cast("int") - 1), lambda i: F.array_join(F.slice("w", i * 8 + 1, 8), " ")))
+    last = F.greatest(F.floor((F.size("all_lines") - 12 + 8 - sequences.LEAST_NEW) / 8).cast("int"), F.lit(0))
+    shots = d.withColumn("last", last).select("item", "all_lines", "last", F.explode(F.sequence(F.lit(0), "last")).alias("k"))
+    at = F.timestamp_add("SECOND", F.col("k") * 20, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    seen = F.slice("all_lines", F.col("k") * 8 + 1, F.when(F.col("k") == F.col("last"), F.size("all_lines")).otherwise(12))
+    lines = F.filter(seen, lambda x: F.length(F.regexp_replace(x, "[^0-9a-z]", "")) >= 4)
+    rows = shots.select(F.concat_ws("/", "item", "k").alias("id"), F.col("item").alias("app"), at.alias("captured_at"), F.lit(None).cast("string").alias("group_id"), lines.alias("lines"))
     return sequences.sequences(rows).select("head", "size", F.length("text").alias("chars"))
 
 

@@ -309,6 +309,19 @@ def test_sequences(spark):
     assert got["y"].members == ["y", "z"] and set(got) == {"a", "y"}
 
 
+def test_scroll_sequences_read_whole_texts(spark, tmp_path):
+    from inkfathom.plans.queries import QUERIES
+
+    sizes = {1: 2003, 2: 8 * 22, 3: 8 * 15 - 5, 4: 8 * 14, 5: 3, 400_000_000_000: 8 * 100 + 1}
+    texts = {i: [f"word{i % 97}n{k}" for k in range(n)] for i, n in sizes.items()}
+    data = [(i, " ".join(w), None if i == 2 else "en") for i, w in texts.items()] + [(None, " ".join(texts[1]), "en"), (7, None, "en")]
+    spark.createDataFrame(data, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["head"]: r for r in QUERIES["scroll_sequences"](spark, str(tmp_path)).collect()}
+    assert {h.split("/")[0] for h in got if not h.startswith("text")} == {"1", "2", "3", "400000000000"} and len(got) == 5
+    for i in (1, 2, 3, 400_000_000_000):  # the others are one screen, which is no sequence
+        assert got[f"{i}/0"].chars == len(" ".join(texts[i]))
+
+
 # ---- records, sources, sinks, streams ----
 def test_records(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "id int, v string, added_at int")
