@@ -35,9 +35,10 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component: its smallest doc_id."""
+    """One document of each near-duplicate component: its smallest doc_id; and all documents without one."""
     kept = near_dedup.dedup(docs, SIMILAR).where("kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    docs = docs.select(*COLUMNS)
+    return docs.join(kept, "doc_id", "left_semi").union(docs.where("doc_id is null"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

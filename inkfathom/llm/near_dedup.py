@@ -10,7 +10,7 @@ list is not in its centre's component by then is compared with the whole list, i
 that join components leave a block. So hot lists lose no link and never make all their pairs as rows.
 
 Null, empty and white-space texts have an empty set, no links and their own doc_id as component. Rows that repeat a text
-are one class. Components are found by alternating star contraction over tables; nothing is collected.
+are one class. A row without id links nothing by itself and is neither kept nor not; its class links as its ids do. Components are found by alternating star contraction over tables; nothing is collected.
 """
 
 from __future__ import annotations
@@ -237,7 +237,7 @@ def dedup(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     pairs = pairs.union(star).distinct()
 
     wanted = members.select("digest").distinct()
-    first = some.groupBy("digest").agg(F.min(F.struct("doc_id", "sketch")).alias("one")).select("digest", "one.*")
+    first = some.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))  # the least id that is there
     sketches = table(first.join(wanted, "digest"), "sketches")
     side = lambda df, s, what: df.select(F.col("digest").alias(s), F.col(what).alias(f"{what}_{s}"))
     likely = table(_estimated(pairs.join(side(sketches, "a", "sketch"), "a").join(side(sketches, "b", "sketch"), "b").select("a", "b", "sketch_a", "sketch_b"), per_cent), "likely")

@@ -462,6 +462,18 @@ def test_null_ids(spark):
     assert pii.sanitise(df).count() == 3 and media.read(media.store(df)).count() == 3
 
 
+def test_null_ids_lose_no_links(spark):
+    import corpus_pipeline
+
+    base = [f"v{i}" for i in range(100)]
+    data = [(1, " ".join(base)), (2, " ".join([*base, "end"])), (None, " ".join([*base, "end"])), (None, "other words that nobody else has"), (3, "few words of its own here")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = near_dedup.dedup(df).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.class_size) for r in got) == [(0, 0, 1), (0, 1, 2), (1, 1, 1), (2, 1, 2), (3, 3, 1)]
+    stage = corpus_pipeline.near_duplicates(spark, df.selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "1L as n_chars"), "").collect()
+    assert sorted(r.doc_id or 0 for r in stage) == [0, 0, 1, 3]
+
+
 def test_pipeline_matches_its_parts(spark, tmp_path):
     import corpus_pipeline
 
