@@ -1,8 +1,9 @@
-"""Reversible line dedup: cuckoo filters by shard, backed by exact reference tables.
+"""Reversible line dedup: exact reference tables, indexed by cuckoo filters by shard.
 
 A line's key is the line without white space at both ends, A-Z lower-cased; keys shorter than `least` code points are
-never dropped. `refs` holds one row for each key and document. A shard of keys has a cuckoo filter: a key it has not seen
-needs no look at the exact table, and a key whose last reference goes is deleted from it. Of a key that two documents or
+never dropped. `refs` holds one row for each key and document. A shard of keys has a cuckoo filter that serves as an index
+only: insert and delete keep it up to date, and a key whose last reference goes is deleted from it, but what is dropped is
+decided by grouping the exact table alone, which insert also reads as a whole. Of a key that two documents or
 more hold, the smallest doc_id keeps its lines. Deleting documents deletes their references, so the next document gets
 its lines back: insert and delete in any order give what the remaining documents would give alone.
 
