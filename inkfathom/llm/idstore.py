@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 
@@ -12,6 +14,20 @@ SEGMENTS = 400_000
 AT_ONCE = 16_384
 
 
+@contextmanager
+def parallel(threads: bool) -> Iterator[None]:
+    """Whether the tokenizers library uses its threads, for the calls within only: workers are shared by operators."""
+    before = os.environ.get("TOKENIZERS_PARALLELISM")
+    os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads else "false"
+    try:
+        yield
+    finally:
+        if before is None:
+            del os.environ["TOKENIZERS_PARALLELISM"]
+        else:
+            os.environ["TOKENIZERS_PARALLELISM"] = before
+
+
 class IdStore:
     """Numbers distinct segments and keeps their ids in one flat array. learn(new segments) gives a list of ids for each."""
 

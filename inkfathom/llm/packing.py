@@ -6,13 +6,13 @@ triple sums finds what fills the gap exactly, as often as the counts allow; what
 pattern takes ranges of ranks within its lengths, so a piece finds its sequence from its length and its rank. Ranks are
 counted within salted buckets of a length, so that a length shared by a third of all pieces is still ranked by many tasks.
 
-Null and empty texts become the closing id alone; equal documents are packed each for itself; an empty table gives an
-empty result; other columns of the input are not read.
+Null and empty texts become the closing id alone; very long texts are cut into pieces of `capacity`, whole; equal documents
+and rows that repeat an id are packed each for itself, ties in rank by bucket, id and piece; rows without id are packed as
+others; an empty table gives an empty result; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text, slices, split_words, table
-from .idstore import IdStore
+from .idstore import IdStore, parallel
 
 CAPACITY = 2048
 #: Rows that one bucket of a length is meant to hold, and the least number of buckets.
@@ -43,14 +43,14 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.store = IdStore(self._learn, CACHE_PARTS)
 
     def _learn(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        with parallel(False):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum())), size
 

@@ -1,15 +1,20 @@
 """SentencePiece models on the tokenizers library: parse the model file, rebuild the tokenizer, encode, decode, verify.
 
 The protobuf is read field by field. Pieces with their scores become a Unigram model, or, where the trainer made a BPE
-model, merges in the order of scores (each split of a piece into two pieces is a merge of its rank). The normaliser must
-be `identity`; the metaspace marker, the dummy prefix and byte fallback are as the model says.
-
-No piece has a marker after another character, and characters without a piece never merge, so a text's ids are those of
-its segments (spaces and what follows them, and line ends) in turn; each distinct segment of a batch is encoded once, in
-multithreaded batches, and compared with the reference library, whose ids count: `parity` tells whether all agreed. Decoding joins the bytes of pieces.
-
-Null and empty texts have no ids; every other string round-trips, but that a marker becomes a space; an empty table gives an empty result; other columns
-are not read.
+model, merges in the order of scores: each split of a piece into two pieces is a merge of its rank, and of pieces with
+one score the longer go first, which is how the reference, going from the left, comes to merge runs of spaces. The
+normaliser (character map, extra white space, dummy prefix, metaspace marker) and byte fallback are the library's own
+parts, as the model says.
+
+Where no piece has a marker or a line end beside another character, as here, a normalised text's ids are those of its
+segments (markers and what follows them, and line ends) in turn; each distinct segment of a batch is encoded once, in
+multithreaded batches, and remembered. Else every text is one segment. The ids are the rebuilt tokenizer's; the reference
+library only verifies: it encodes every whole text, and `parity` tells whether its ids are the same. Decoding joins the
+bytes of pieces.
+
+Null and empty texts have no ids; every other string round-trips with an identity normaliser, but that a marker becomes a
+space; texts of any length are encoded whole, ties and repeated rows get equal rows, null ids stay null; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import id_and_text, slices
-from .idstore import IdStore, ragged
+from .idstore import IdStore, parallel, ragged
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -37,6 +42,8 @@ UNIGRAM, BPE = 1, 2
 _PART = "\x1f"
 #: Segments that a Python worker remembers, and encodes at once; threads of a worker.
 SEGMENTS, AT_ONCE, THREADS = 700_000, 8_192, 2
+#: Texts that the reference library verifies at once.
+VERIFIED = 64
 
 
 def _varint(raw: bytes, at: int) -> tuple[int, int]:
@@ -74,7 +81,8 @@ class Model:
     model_type: int = UNIGRAM
     byte_fallback: bool = False
     dummy_prefix: bool = True
-    normalizer: str = "identity"
+    squeeze: bool = True
+    charsmap: bytes = b""
 
     @classmethod
     def read(cls, path: str) -> Model:
@@ -92,55 +100,75 @@ class Model:
                 out.model_type, out.byte_fallback = own.get(3, UNIGRAM), bool(own.get(35, 0))
             elif number == 3:  # the normaliser's
                 own = dict(_fields(value))
-                out.normalizer, out.dummy_prefix = own.get(1, b"").decode(), bool(own.get(3, 1))
-                if out.normalizer != "identity" or own.get(2) or own.get(4, 1):
-                    raise ValueError("only models with the identity normaliser that keep white space are supported")
+                out.charsmap, out.dummy_prefix, out.squeeze = own.get(2, b""), bool(own.get(3, 1)), bool(own.get(4, 1))
+                if not own.get(5, 1):
+                    raise ValueError("models that do not mark white space are not supported")
         return out
 
-    def tokenizer(self):
-        """A tokenizer of the tokenizers library for segments whose spaces are markers already."""
-        from tokenizers import Tokenizer, models
+    def normalizer(self):
+        """The normaliser, of the library's parts: what a text is before it is encoded."""
+        from tokenizers import Regex, normalizers
+
+        parts = [normalizers.Precompiled(self.charsmap)] if self.charsmap else []
+        if self.squeeze:
+            parts += [normalizers.Replace(Regex("^[ ▁]+|[ ▁]+$"), ""), normalizers.Replace(Regex("[ ▁]{2,}"), " ")]
+        if self.dummy_prefix:
+            parts.append(normalizers.Prepend(MARK))
+        return normalizers.Sequence([*parts, normalizers.Replace(" ", MARK)])
+
+    def tokenizer(self, normalize: bool = True):
+        """A tokenizer of the tokenizers library for whole texts, or for segments that are normalised already."""
+        from tokenizers import Tokenizer, decoders, models
 
         if self.model_type == UNIGRAM:
-            return Tokenizer(models.Unigram(list(zip(self.pieces, self.scores)), unk_id=self.kinds.index(UNKNOWN), byte_fallback=self.byte_fallback))
-        usable = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k in (NORMAL, USER_DEFINED)}
-        merges = []
-        for p, i in usable.items():
-            merges += [(-self.scores[i], usable[p[:k]], usable[p[k:]], p[:k], p[k:]) for k in range(1, len(p)) if p[:k] in usable and p[k:] in usable]
-        merges.sort()
-        return Tokenizer(models.BPE({p: i for i, p in enumerate(self.pieces)}, [m[3:] for m in merges], unk_token=self.pieces[self.kinds.index(UNKNOWN)], byte_fallback=self.byte_fallback, fuse_unk=True))
+            out = Tokenizer(models.Unigram(list(zip(self.pieces, self.scores)), unk_id=self.kinds.index(UNKNOWN), byte_fallback=self.byte_fallback))
+        else:
+            usable = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k in (NORMAL, USER_DEFINED)}
+            merges = []
+            for p, i in usable.items():
+                merges += [(-self.scores[i], -len(p), -k, p[:k], p[k:]) for k in range(1, len(p)) if p[:k] in usable and p[k:] in usable]
+            merges.sort()
+            out = Tokenizer(models.BPE({p: i for i, p in enumerate(self.pieces)}, [m[3:] for m in merges], unk_token=self.pieces[self.kinds.index(UNKNOWN)], byte_fallback=self.byte_fallback, fuse_unk=True))
+        if normalize:
+            out.normalizer = self.normalizer()
+            strip = [decoders.Strip(" ", 1, 0)] if self.dummy_prefix else []
+            out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *strip])
+        return out
+
+    def splits(self) -> bool:
+        """Whether no piece has a marker after another character, or a line end beside one."""
+        return all(MARK not in p.lstrip(MARK) and ("\n" not in p or p == "\n") for p in self.pieces)
 
     def piece_bytes(self) -> list[bytes]:
         """What each id adds to a decoded text."""
         return [bytes([int(p[3:5], 16)]) if k == BYTE else b" \xe2\x81\x87 " if k == UNKNOWN else b"" if k == CONTROL else p.replace(MARK, " ").encode() for p, k in zip(self.pieces, self.kinds)]
 
 
-def split_segments(texts: list[str | None], dummy_prefix: bool = True) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Segments of each text, as (code of each, first of each text and the end, distinct segments by code)."""
-    parted = []
-    for t in texts:
-        t = (t or "").replace(MARK, " ")  # the library takes a marker in a text for a space
-        if t and dummy_prefix:
-            t = " " + t
-        if _PART in t:
-            t = re.sub(_PART, _PART + "\x00", t)  # told apart below: a separator of the text itself
-        t = t.replace(" ", _PART + " ") if "  " not in t else re.sub("( +)", _PART + r"\1", t)
-        parted.append(t.replace("\n", f"{_PART}\n{_PART}"))
-    lists = pc.split_pattern(pa.array(parted, pa.large_string()), _PART)
+def marked(text: str | None, dummy_prefix: bool = True) -> str:
+    """A text as an identity normaliser leaves it: markers in place of spaces."""
+    return ((MARK if dummy_prefix else "") + text).replace(" ", MARK) if text else ""
+
+
+def split_segments(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Segments of each marked text, as (code of each, first of each text and the end, distinct segments by code)."""
+    if any(_PART in t for t in texts):  # rare: a text has the separator itself
+        lists = pa.array([re.findall(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+", t) for t in texts], pa.large_list(pa.large_string()))
+    else:
+        parted = [re.sub(f"({MARK}+)", _PART + r"\1", t) if MARK + MARK in t else t.replace(MARK, _PART + MARK) for t in texts]
+        lists = pc.split_pattern(pa.array([t.replace("\n", f"{_PART}\n{_PART}") for t in parted], pa.large_string()), _PART)
     flat, ends = lists.values, np.asarray(lists.offsets)
     full = pc.greater(pc.binary_length(flat), 0)
     before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
     coded = flat.filter(full).dictionary_encode()
-    distinct = [_PART + s[1:] if s[0] == "\x00" else s for s in coded.dictionary.to_pylist()]
-    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), before[ends].astype(np.int64), distinct
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), before[ends].astype(np.int64), coded.dictionary.to_pylist()
 
 
 class Codec:
     def __init__(self, path: str, verify: bool = True):
         self.model = Model.read(path)
-        self.tokenizer = self.model.tokenizer()
+        self.tokenizer, self.normalizer = self.model.tokenizer(normalize=False), self.model.normalizer()
         self.store = IdStore(self._learn, SEGMENTS, AT_ONCE)
-        self.reference = None
+        self.splits, self.reference = self.model.splits(), None
         if verify:
             import sentencepiece
 
@@ -151,25 +179,35 @@ class Codec:
         self.bytes_first = np.cumsum(self.bytes_size) - self.bytes_size
 
     def _learn(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of each segment, with a last value that tells whether the reference library has the same."""
-        own = [e.ids for e in self.tokenizer.encode_batch_fast([s.replace(" ", MARK) for s in segments], add_special_tokens=False)]
-        if self.reference:  # a line end before it keeps the dummy prefix off
-            skip = len(self.reference.encode("\n"))
-            theirs = [b[skip:] for b in self.reference.encode(["\n" + s for s in segments], num_threads=1)]
-            same, own = [a == b for a, b in zip(own, theirs)], theirs  # runs of spaces whose pieces have equal scores can differ: the reference decides
-        else:
-            same = [True] * len(own)
-        size = np.fromiter(map(len, own), np.int64, len(own)) + 1
-        return np.fromiter(chain.from_iterable(chain(a, (s,)) for a, s in zip(own, same)), np.int32, int(size.sum())), size
+        """The ids of each segment."""
+        with parallel(True):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum())), size
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids in turn, where each text's begin and the end, and whether each text's segments agree with the reference."""
-        codes, ends, distinct = split_segments(texts, self.model.dummy_prefix)
-        number = self.store.numbers(distinct)[codes]
-        first, size = self.store.first[number], self.store.size[number]
-        ids, upto = ragged(self.store.flat, first, size - 1)
-        wrong = np.concatenate([[0], np.cumsum(self.store.flat[first + size - 1] == 0)])
-        return ids, upto[ends], wrong[ends[1:]] == wrong[ends[:-1]]
+        """All ids in turn, where each text's begin and the end, and whether the reference library gives the same for the whole text."""
+        whole = [self.normalizer.normalize_str(t or "") for t in texts]
+        if self.splits:
+            codes, ends, distinct = split_segments(whole)
+        else:
+            distinct = list(dict.fromkeys(whole))
+            place = {t: i for i, t in enumerate(distinct)}
+            codes, ends = np.array([place[t] for t in whole], np.int64), np.arange(len(whole) + 1)
+        ids, upto = self.store.gather(self.store.numbers(distinct)[codes])
+        bounds = upto[ends]
+        return ids, bounds, self._parity(texts, ids, bounds)
+
+    def _parity(self, texts: list[str | None], ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        if self.reference is None:
+            return np.ones(len(texts), bool)
+        out = np.zeros(len(texts), bool)
+        for at in range(0, len(texts), VERIFIED):
+            theirs = self.reference.encode([t or "" for t in texts[at : at + VERIFIED]], num_threads=THREADS)
+            for k, other in enumerate(theirs, at):
+                own = ids[bounds[k] : bounds[k + 1]]
+                out[k] = len(own) == len(other) and bool((own == np.fromiter(other, np.int32, len(other))).all())
+        return out
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
         """The text of each run of ids."""

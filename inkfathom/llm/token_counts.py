@@ -6,8 +6,9 @@ that many pre-tokens share is scored once. The counts at terminal nodes are kept
 
 Piece scores are those of the model file if it is a unigram model; of a BPE model they are ranks, from which a Zipf law
 gives log probabilities: -log(rank + 1). A character without a piece costs the least score less `PENALTY` and gives
-a token for each of its bytes (byte fallback), else one unknown token. Null and empty texts have none. An empty table
-gives an empty result; other columns are not read.
+a token for each of its bytes (byte fallback), else one unknown token. Null and empty texts have none; pre-tokens of any
+length go through the trie; of segmentations with one score the one with the shorter last piece counts; repeated rows get
+equal rows and null ids stay null. An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ from pyspark.sql import DataFrame
 
 from .common import id_and_text, slices
 from .idstore import IdStore
-from .sentencepiece_codec import MARK, NORMAL, UNIGRAM, USER_DEFINED, Model, split_segments
+from .sentencepiece_codec import NORMAL, UNIGRAM, USER_DEFINED, Model, marked, split_segments
 
 PENALTY = 10.0
-#: Pre-tokens of more characters than this are scored one by one.
-TRIE_DEPTH = 40
+#: Words from which on a level of the trie is worth an array.
+FEW = 8
 _BASE = np.uint64(0x100000001B3 * 31 + 2)
 _FILTER_BITS = 20
 
@@ -52,7 +53,7 @@ class TrieCounter:
             raise ValueError("two pieces share a hash")
         self.maybe = np.zeros(1 << _FILTER_BITS, bool)
         self.maybe[self._low(self.hashes)] = True
-        self.powers = np.cumprod(np.concatenate([[1], np.full(max(TRIE_DEPTH, self.longest) + 1, _BASE)]).astype(np.uint64))
+        self.powers = np.cumprod(np.concatenate([[1], np.full(self.longest + 1, _BASE)]).astype(np.uint64))
         self.store = IdStore(self._learn, 800_000, 1 << 17)  # the more words a trie has, the more they share
 
     @staticmethod
@@ -69,81 +70,96 @@ class TrieCounter:
     def _unknown_tokens(self, character: np.ndarray) -> np.ndarray:
         return 1 + (character > 0x7F) + (character > 0x7FF) + (character > 0xFFFF) if self.bytes else np.ones(len(character), np.int64)
 
-    def single(self, word: str) -> int:
-        """The count of one pre-token, by plain forward scores."""
-        best = [(0.0, 0)] + [(-math.inf, 0)] * len(word)
-        for end in range(1, len(word) + 1):
-            for n in range(1, min(self.longest, end) + 1):
-                s = self.pieces.get(word[end - n : end])
-                if s is not None and best[end - n][0] + s > best[end][0]:
-                    best[end] = (best[end - n][0] + s, best[end - n][1] + 1)
-            if word[end - 1] not in self.pieces and best[end - 1][0] + self.unknown > best[end][0]:
-                best[end] = (best[end - 1][0] + self.unknown, best[end - 1][1] + int(self._unknown_tokens(np.array([ord(word[end - 1])]))[0]))
-        return best[-1][1]
-
     def _trie(self, words: list[str]) -> np.ndarray:
-        """Counts of sorted distinct words of at most TRIE_DEPTH characters."""
+        """Counts of sorted distinct words: level by level of their trie, each node once, and a word's own rest alone.
+
+        Only the last `longest` levels are kept, for words that are that long. Where few words are left, none of them has a
+        prefix to share any more: the forward scores of each go on from its last node.
+        """
         n = len(words)
         size = np.fromiter(map(len, words), np.int64, n)
-        depth = int(size.max())
         flat = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        chars = np.zeros((n, depth), np.uint32)
-        chars[np.arange(depth) < size[:, None]] = flat
-        fresh = np.ones(n, bool)
-        node = np.zeros((n, depth + 1), np.int32)  # of each word's prefix of each length
-        prefix = np.zeros((n, depth + 1), np.uint64)  # its hash
-        score, tokens = [np.zeros(1)], [np.zeros(1, np.int32)]
-        fresh[1:] = False
-        for d in range(1, depth + 1):
+        begin = np.cumsum(size) - size
+        out = np.zeros(n, np.int32)
+        live = np.arange(n)
+        fresh = np.zeros(n, bool)  # whether a word's node differs from that of the word before it
+        before = np.zeros(n, np.uint32)
+        # Of each of the last levels: hash of the prefix and node of each live word, and score and tokens of each node.
+        levels = [(np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros(1), np.zeros(1, np.int32))]
+        d = 0
+        while len(live):
+            d += 1
+            there = size[live] >= d
+            if not there.all():
+                # A word that goes leaves its successor on its own: they share no deeper node.
+                gap = np.concatenate([[False], ~there[:-1]])
+                fresh = (fresh | gap)[there]
+                live = live[there]
+                levels = [(p[there], node[there], s, t) for p, node, s, t in levels]
+                before = before[: len(live)]
+            if len(live) <= FEW:
+                self._rest(words, live, d - 1, levels, out)
+                break
+            chars = flat[begin[live] + d - 1]
+            fresh = fresh.copy()
+            fresh[1:] |= chars[1:] != chars[:-1]
+            fresh[:1] = True
+            first = np.flatnonzero(fresh)  # the first word that has a node stands for it
             with np.errstate(over="ignore"):
-                prefix[:, d] = prefix[:, d - 1] * _BASE + chars[:, d - 1] + np.uint64(1)
-            fresh[1:] |= (chars[1:, d - 1] != chars[:-1, d - 1]) | (size[:-1] < d)
-            own = fresh & (size >= d)
-            node[:, d] = np.cumsum(own) - 1
-            first = np.flatnonzero(own)  # the first word that has a node stands for it
+                prefix = levels[-1][0] * _BASE + chars + np.uint64(1)
             best, count = np.full(len(first), -np.inf), np.zeros(len(first), np.int32)
             alone = np.zeros(len(first), bool)
             for length in range(1, min(self.longest, d) + 1):
+                old_prefix, old_node, score, tokens = levels[-length]
                 with np.errstate(over="ignore"):
-                    h = prefix[first, d] - prefix[first, d - length] * self.powers[length]
+                    h = prefix[first] - old_prefix[first] * self.powers[length]
                 hit = np.flatnonzero(self.maybe[self._low(h)])
                 at = np.minimum(np.searchsorted(self.hashes, h[hit]), len(self.hashes) - 1)
                 right = self.hashes[at] == h[hit]
                 hit, at = hit[right], at[right]
                 if length == 1:
                     alone[hit] = True
-                before = node[first[hit], d - length]
-                s = score[d - length][before] + self.scores[at]
+                parent = old_node[first[hit]]
+                s = score[parent] + self.scores[at]
                 better = s > best[hit]
-                best[hit[better]], count[hit[better]] = s[better], tokens[d - length][before[better]] + 1
-            before = node[first, d - 1]
-            s = score[d - 1][before] + self.unknown
+                best[hit[better]], count[hit[better]] = s[better], tokens[parent[better]] + 1
+            _, old_node, score, tokens = levels[-1]
+            parent = old_node[first]
+            s = score[parent] + self.unknown
             better = ~alone & (s > best)
             best[better] = s[better]
-            count[better] = tokens[d - 1][before[better]] + self._unknown_tokens(chars[first[better], d - 1])
-            score.append(best)
-            tokens.append(count)
-        out = np.zeros(n, np.int32)
-        for d in range(1, depth + 1):
-            end = size == d
-            out[end] = tokens[d][node[end, d]]
+            count[better] = tokens[parent[better]] + self._unknown_tokens(chars[first[better]])
+            node = np.cumsum(fresh) - 1
+            levels = [*levels[-self.longest + 1 :], (prefix, node, best, count)] if self.longest > 1 else [(prefix, node, best, count)]
+            end = size[live] == d
+            out[live[end]] = count[node[end]]
         return out
 
-    def _learn(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        words = [s.replace(" ", MARK) for s in segments]
+    def _rest(self, words: list[str], live: np.ndarray, depth: int, levels: list, out: np.ndarray) -> None:
+        """Counts of the live words, by plain forward scores from depth on."""
+        for k, word in enumerate(live):
+            text = words[word]
+            best = [(float(s[node[k]]), int(t[node[k]])) for _, node, s, t in levels]  # of the last prefixes, the longest last
+            for end in range(depth + 1, len(text) + 1):
+                now = (-math.inf, 0)
+                for n in range(1, min(self.longest, end, len(best)) + 1):
+                    s = self.pieces.get(text[end - n : end])
+                    if s is not None and best[-n][0] + s > now[0]:
+                        now = (best[-n][0] + s, best[-n][1] + 1)
+                if text[end - 1] not in self.pieces and best[-1][0] + self.unknown > now[0]:
+                    now = (best[-1][0] + self.unknown, best[-1][1] + int(self._unknown_tokens(np.array([ord(text[end - 1])]))[0]))
+                best = [*best[-self.longest + 1 :], now] if self.longest > 1 else [now]
+            out[word] = best[-1][1]
+
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         order = sorted(range(len(words)), key=words.__getitem__)
-        short = [i for i in order if len(words[i]) <= TRIE_DEPTH]
         out = np.zeros(len(words), np.int32)
-        if short:
-            out[short] = self._trie([words[i] for i in short])
-        for i in order:
-            if len(words[i]) > TRIE_DEPTH:
-                out[i] = self.single(words[i])
+        out[order] = self._trie([words[i] for i in order])
         return out, np.ones(len(words), np.int64)
 
     def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Number of tokens and of pre-tokens of each text."""
-        codes, ends, distinct = split_segments(texts)
+        codes, ends, distinct = split_segments([marked(t) for t in texts])
         number = self.store.numbers(distinct)[codes]
         upto = np.concatenate([[0], np.cumsum(self.store.flat[self.store.first[number]], dtype=np.int64)])
         return upto[ends[1:]] - upto[ends[:-1]], np.diff(ends)

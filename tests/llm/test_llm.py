@@ -247,45 +247,89 @@ def test_media_columns(spark):
 
 
 # ---- 6, 7: token counts and SentencePiece ----
+def odd_texts():
+    r = random.Random(3)
+    parts = ["a", "b", " ", "  ", "\n", "\x00", "\x1f", "é", "中", "▁", "the", " the", "\U0001f600", "\t", "-", "--", "ha", "."]
+    any_code = lambda: chr(r.choice([r.randint(1, 0xD7FF), r.randint(0xE000, 0x10FFFF)]))
+    out = ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(800)] + ["".join(any_code() for _ in range(30)) for _ in range(400)]
+    return [*out, *[" " * n for n in range(1, 120)], *[x * n for x in ("-", "ha", ".", "aa") for n in range(1, 40)], "a\n\x00b", "a\x1fb \x1f\x00", "<s> </s> <0x0A>", "x" + " " * 50 + "word"]
+
+
 def test_codec_has_parity(spark):
+    """Ids of the rebuilt tokenizer against the reference library, on whole texts."""
     import sentencepiece
 
     s = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    texts = [*TEXTS, "a\x1fb \x1f\x00", " " * 50, "  two  spaces   three \n\n x", "<s> </s> <0x0A>"]
+    texts = [*TEXTS, *odd_texts()]
     got = {r.doc_id: r for r in sentencepiece_codec.encode(rows(spark, texts), PIECES).collect()}
     for i, t in enumerate(texts):
         ids = s.encode(t or "")
-        assert got[i].ids == ids and got[i].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes()) and got[i].round_trip == ("▁" not in (t or "")), t
-    back = {r.doc_id: r.text for r in sentencepiece_codec.decode(spark.createDataFrame([(i, got[i].ids) for i in got] + [(99, None)], "doc_id long, ids array<int>"), PIECES).collect()}
-    assert all(back[i] == (t or "").replace("▁", " ") for i, t in enumerate(texts)) and back[99] == ""
+        assert got[i].ids == ids and got[i].parity and got[i].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes()) and got[i].round_trip == ("▁" not in (t or "")), t
+    back = {r.doc_id: r.text for r in sentencepiece_codec.decode(spark.createDataFrame([(i, got[i].ids) for i in got] + [(99_999, None)], "doc_id long, ids array<int>"), PIECES).collect()}
+    assert all(back[i] == (t or "").replace("▁", " ") for i, t in enumerate(texts)) and back[99_999] == ""
 
 
-def test_unigram_models_are_rebuilt(tmp_path):
-    def field(n, raw):
-        return bytes([n << 3 | 2, len(raw)]) + raw
+def test_codec_is_the_library_s_tokenizer():
+    codec = sentencepiece_codec.Codec(PIECES, verify=False)
+    whole, texts = codec.model.tokenizer(), [t or "" for t in [*TEXTS[:4], *TEXTS[7:], *odd_texts()]]
+    ids, ends, _ = codec.encode(texts)
+    for t, a, b in zip(texts, ends, ends[1:]):
+        own = ids[a:b]
+        assert whole.encode(t, add_special_tokens=False).ids == own.tolist()
+        assert whole.decode(own.tolist(), skip_special_tokens=False) == codec.decode(own, np.array([0, b - a]))[0]
 
+
+def test_parity_is_not_assumed(monkeypatch):
+    codec = sentencepiece_codec.Codec(PIECES)
+    monkeypatch.setattr(codec, "tokenizer", sentencepiece_codec.Model(codec.model.pieces, [-x for x in codec.model.scores], codec.model.kinds, sentencepiece_codec.BPE, True).tokenizer(normalize=False))
+    assert not codec.encode(["the cat sat on another mat"])[2].all()
+
+
+def unigram_model(path, squeeze, pieces):
     import struct
 
-    pieces = [("<unk>", 0.0, 2), ("▁", -2.0, 1), ("a", -1.5, 1), ("ab", -1.2, 1), ("▁ab", -1.0, 1), ("b", -3.0, 1)]
+    def field(n, raw):
+        return bytes([n << 3 | 2, len(raw)]) + raw
+
     raw = b"".join(field(1, field(1, p.encode()) + b"\x15" + struct.pack("<f", s) + b"\x18" + bytes([k])) for p, s, k in pieces)
-    raw += field(2, b"\x18\x01") + field(3, field(1, b"identity") + b"\x18\x01\x20\x00")
-    (tmp_path / "m").write_bytes(raw)
-    model = sentencepiece_codec.Model.read(str(tmp_path / "m"))
-    assert model.pieces == [p for p, _, _ in pieces] and model.tokenizer().encode("▁abab").ids == [4, 3]
-    assert token_counts.TrieCounter(model).counts(["abab", "b z", None])[0].tolist() == [2, 4, 0]
+    raw += field(2, b"\x18\x01") + field(3, field(1, b"identity") + b"\x18\x01" + (b"" if squeeze else b"\x20\x00"))
+    path.write_bytes(raw)
+    return str(path)
+
+
+@pytest.mark.parametrize("squeeze", [False, True])
+@pytest.mark.parametrize("inner", [False, True])
+def test_unigram_models_are_rebuilt(tmp_path, squeeze, inner):
+    import sentencepiece
+
+    pieces = [("<unk>", 0.0, 2), ("▁", -2.0, 1), ("a", -1.5, 1), ("ab", -1.2, 1), ("▁ab", -1.0, 1), ("b", -3.0, 1)] + [("b▁a", -0.5, 1)] * inner
+    path = unigram_model(tmp_path / "m", squeeze, pieces)
+    model = sentencepiece_codec.Model.read(path)
+    assert model.pieces == [p for p, _, _ in pieces] and model.squeeze == squeeze and model.splits() != inner
+    codec, reference = sentencepiece_codec.Codec(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["abab", "ab  ab", "  ab ba ", "", " ", "b a b", "ab\nb a", "a" * 30]
+    ids, ends, parity = codec.encode(texts)
+    assert parity.all() and [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [reference.encode(t) for t in texts]
+    if not squeeze and not inner:
+        assert codec.encode(["abab"])[0].tolist() == [4, 3] and token_counts.TrieCounter(model).counts(["abab", "b z", None])[0].tolist() == [2, 4, 0]
 
 
-def test_token_counts_share_a_trie(spark):
+@pytest.mark.parametrize("few", [8, 0, 1000])
+def test_token_counts_share_a_trie(spark, monkeypatch, few):
     from tokenizers import Tokenizer, models
 
+    monkeypatch.setattr(token_counts, "FEW", few)
     m = sentencepiece_codec.Model.read(PIECES)
     u = Tokenizer(models.Unigram(list(zip(m.pieces, token_counts.unigram_scores(m))), unk_id=0, byte_fallback=True))
-    texts = [t for t in TEXTS if "<" not in (t or "")] + ["x" * 100]
-    got = {r.doc_id: r for r in token_counts.token_counts(rows(spark, texts), PIECES).collect()}
+    texts = [t for t in [*TEXTS, *odd_texts()] if "<" not in (t or "")] + ["x" * 100, "ab" * 300, "ab" * 300 + "c"]
+    counter = token_counts.TrieCounter(m)
+    tokens, pretokens = counter.counts(texts)
     for i, t in enumerate(texts):
-        codes, _, distinct = sentencepiece_codec.split_segments([t])
-        size = [len(u.encode(s.replace(" ", "▁")).ids) for s in distinct]
-        assert got[i].n_tokens == sum(size[c] for c in codes) and got[i].n_pretokens == len(codes), t
+        codes, _, distinct = sentencepiece_codec.split_segments([sentencepiece_codec.marked(t)])
+        size = [len(u.encode(s).ids) for s in distinct]
+        assert tokens[i] == sum(size[c] for c in codes) and pretokens[i] == len(codes), t
+    got = {r.doc_id: r for r in token_counts.token_counts(rows(spark, texts), PIECES).collect()}
+    assert [got[i].n_tokens for i in range(len(texts))] == tokens.tolist() and got[0].n_bytes == 0
 
 
 # ---- 8: quality ----
