@@ -282,7 +282,7 @@ def test_codec_is_the_library_s_tokenizer():
 def test_parity_is_not_assumed(monkeypatch):
     codec = sentencepiece_codec.Codec(PIECES)
     monkeypatch.setattr(codec, "tokenizer", sentencepiece_codec.Model(codec.model.pieces, [-x for x in codec.model.scores], codec.model.kinds, sentencepiece_codec.BPE, True).tokenizer(normalize=False))
-    assert not codec.encode(["the cat sat on another mat"])[2].all()
+    assert not codec.encode(["unbelievably counterintuitive transmogrification of xylophonists " * 3])[2].any()
 
 
 def unigram_model(path, squeeze, pieces):
