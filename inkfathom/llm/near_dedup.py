@@ -10,7 +10,11 @@ list is not in its centre's component by then is compared with the whole list, i
 that join components leave a block. So hot lists lose no link and never make all their pairs as rows.
 
 Null, empty and white-space texts have an empty set, no links and their own doc_id as component. Rows that repeat a text
-are one class. A row without id links nothing by itself and is neither kept nor not; its class links as its ids do. Components are found by alternating star contraction over tables; nothing is collected.
+are one class, of any size; a text of any length has its whole set. Rows are told apart by id and a hash of their text, so
+rows that repeat an id with other texts each have their own links. A row without id links as others do, but names no
+component: component_id is the least id that is there, null if none is. `first` marks one row of each component (but for
+rows that repeat id and text): that with the least id, ids that are null last, ties by the hash. Components are found by
+alternating star contraction over tables; nothing is collected. An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,9 +26,11 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkfathom.operators.graph import components
+
 from .common import gram_hashes, id_and_text, mixed, slices, split_words, table, word_hashes
 
 WORDS, PER_CENT = 5, 85
@@ -78,8 +84,13 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
+def marked(docs: DataFrame) -> DataFrame:
+    """doc_id, text, mark: with doc_id, what tells rows apart."""
+    return id_and_text(docs).withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
 def signatures(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set), sketch, keys of every row."""
+    """doc_id, mark (hash of the text), n_shingles, digest (of the set), sketch, keys of every row."""
     n_keyed = keyed(per_cent)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,15 +101,16 @@ def signatures(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("mark"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()),
                     pa.array([s.tobytes() for s in sketch], pa.binary()),
                     pa.array(keys, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "digest", "sketch", "keys"],
+                names=["doc_id", "mark", "n_shingles", "digest", "sketch", "keys"],
             )
 
-    return id_and_text(docs).mapInArrow(sign, "doc_id long, n_shingles long, digest binary, sketch binary, keys array<long>")
+    return marked(docs).mapInArrow(sign, "doc_id long, mark long, n_shingles long, digest binary, sketch binary, keys array<long>")
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> float:
@@ -195,29 +207,9 @@ def _blocks(rows: DataFrame, per_cent: int) -> DataFrame:
     return rows.mapInArrow(compare, "a binary, b binary")
 
 
-def components(edges: DataFrame, spark: SparkSession) -> DataFrame:
-    """node, label (the smallest node of its component) of all nodes of edges (a, b), by alternating star contraction."""
-    now = table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
-    print_of = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before = print_of(now)
-    while before[0]:
-        ways = now.union(now.select("v", "u")).toDF("u", "v")
-        least = ways.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = ways.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down).where("u <> v").distinct()
-        now = table(small, "cc")
-        after = print_of(now)
-        if after == before:
-            break
-        before = after
-    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select(F.col("v"), F.col("v")).distinct())
-
-
 def dedup(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and class_size (rows with the same set) of every row; per_cent is the similarity of near-duplicates."""
-    spark = docs.sparkSession
-    rows = id_and_text(docs)
+    """doc_id, n_shingles, component_id, kept, class_size (rows with the same set), mark and first of every row; per_cent is the similarity of near-duplicates."""
+    rows = marked(docs)
     signs = table(signatures(docs, per_cent), "signatures")
     some = signs.where("n_shingles > 0")
     members = some.select("digest", "n_shingles", F.explode("keys").alias("key")).groupBy("key", "digest").agg(F.max("n_shingles").alias("n"))
@@ -237,18 +229,18 @@ def dedup(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     pairs = pairs.union(star).distinct()
 
     wanted = members.select("digest").distinct()
-    first = some.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))  # the least id that is there
-    sketches = table(first.join(wanted, "digest"), "sketches")
+    sketches = table(some.groupBy("digest").agg(_least().alias("one"), F.first("sketch").alias("sketch")).join(wanted, "digest").select("digest", "one.doc_id", "one.mark", "sketch"), "sketches")
     side = lambda df, s, what: df.select(F.col("digest").alias(s), F.col(what).alias(f"{what}_{s}"))
     likely = table(_estimated(pairs.join(side(sketches, "a", "sketch"), "a").join(side(sketches, "b", "sketch"), "b").select("a", "b", "sketch_a", "sketch_b"), per_cent), "likely")
 
     needed = likely.select(F.col("a").alias("digest")).union(likely.select("b")).union(hot.select("digest")).distinct()
-    texts = sketches.select("digest", "doc_id").join(needed, "digest").join(rows, "doc_id")
+    named = sketches.select("digest", F.col("doc_id").alias("its_id"), F.col("mark").alias("its_mark")).join(needed, "digest")
+    texts = named.join(rows, F.col("its_id").eqNullSafe(F.col("doc_id")) & (F.col("its_mark") == F.col("mark")))
     texts = table(_one_text(texts), "texts")
     links = table(_confirmed(likely.join(side(texts, "a", "text"), "a").join(side(texts, "b", "text"), "b").select("a", "b", "text_a", "text_b"), per_cent), "links")
 
     # Long lists that are not one component yet: what is outside the centre's, block by block, against all.
-    labels = table(components(links, spark), "labels")
+    labels = table(components(links).withColumnRenamed("root", "label"), "labels")
     named = hot.select("key", "digest", "centre").join(labels, hot["digest"] == labels["node"], "left").select("key", "digest", "centre", F.coalesce("label", "digest").alias("label"))
     centre = labels.select(F.col("node").alias("centre"), F.col("label").alias("centre_label"))
     named = table(named.join(centre, "centre", "left").select("key", "digest", "label", (F.col("label") != F.coalesce("centre_label", "centre")).alias("out")), "named")
@@ -266,15 +258,39 @@ def dedup(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     dealt = dealt.join(texts, "digest").select("task", "side", "digest", "label", "text").repartition("task").sortWithinPartitions("task", "side")
     more = table(_blocks(dealt, per_cent), "more-links")
 
-    every = components(links.union(more), spark)
-    smallest = some.join(every, some["digest"] == every["node"], "left").groupBy(F.coalesce("label", "digest").alias("label")).agg(F.min("doc_id").alias("component_id"))
-    out = some.groupBy("digest").agg(F.count("*").alias("class_size")).join(every, F.col("digest") == every["node"], "left").select("digest", "class_size", F.coalesce("label", "digest").alias("label")).join(smallest, "label").drop("label")
-    out = signs.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(out, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.col("doc_id") == F.coalesce("component_id", "doc_id")).alias("kept"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    every = components(links.union(more)).withColumnRenamed("root", "label")
+    classes = some.groupBy("digest").agg(F.count("*").alias("class_size"), _least().alias("one")).join(every, F.col("digest") == every["node"], "left")
+    classes = classes.select("digest", "class_size", "one", F.coalesce("label", "digest").alias("label"))
+    smallest = classes.groupBy("label").agg(F.min("one").alias("least"))
+    out = table(classes.join(smallest, "label").select("digest", "class_size", "least"), "classes")
+    out = signs.select("doc_id", "mark", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(out, "digest", "left")
+    out = out.withColumn("component_id", F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")))
+    first = F.col("least").isNull() | (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("mark") == F.col("least.mark")))
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), F.coalesce("class_size", F.lit(1)).alias("class_size"), "mark", first.alias("first"))
+
+
+def first_rows(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
+    """docs with one row of each component; rows with an empty set all stay. Columns are as they were."""
+    firsts = table(dedup(docs, per_cent).where("first").groupBy("doc_id", "mark").agg(F.max("n_shingles").alias("n"), F.count("*").alias("rows")), "first-rows")
+    whole = docs.select(docs["doc_id"].cast("long").alias("_id"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("_mark"), F.struct(*[docs[c] for c in docs.columns]).alias("_whole"))
+
+    def of(wanted: DataFrame) -> DataFrame:
+        return whole.join(wanted, whole["_id"].eqNullSafe(wanted["doc_id"]) & (whole["_mark"] == wanted["mark"]), "left_semi")
+
+    repeated = (F.col("n") > 0) & (F.col("rows") > 1)
+    out = of(firsts.where(~repeated))
+    if not firsts.where(repeated).isEmpty():
+        out = out.union(of(firsts.where(repeated)).dropDuplicates(["_id", "_mark"]))
+    return out.select("_whole.*")
+
+
+def _least() -> Column:
+    """Of several rows the one with the least id, ids that are null last."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark"))
 
 
 def _one_text(texts: DataFrame) -> DataFrame:
-    """One text of each digest; doc_ids that repeat with other texts are told apart by their sets."""
+    """One text of each digest; texts whose marks agree by chance are told apart by their sets."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

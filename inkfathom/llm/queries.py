@@ -47,7 +47,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.dedup(documents(spark, sf_dir))
+    return near_dedup.dedup(documents(spark, sf_dir)).drop("mark", "first")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

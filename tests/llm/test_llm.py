@@ -506,16 +506,22 @@ def test_null_ids(spark):
     assert pii.sanitise(df).count() == 3 and media.read(media.store(df)).count() == 3
 
 
-def test_null_ids_lose_no_links(spark):
+def test_null_and_repeated_ids_lose_no_links(spark):
     import corpus_pipeline
 
     base = [f"v{i}" for i in range(100)]
-    data = [(1, " ".join(base)), (2, " ".join([*base, "end"])), (None, " ".join([*base, "end"])), (None, "other words that nobody else has"), (3, "few words of its own here")]
+    a, b, other = " ".join(base), " ".join([*base, "end"]), "other words that nobody else has"
+    bridge = [" ".join([*[f"x{i}" for i in range(k)], *base[k : 100 - m], *[f"y{i}" for i in range(m)]]) for k, m in ((0, 0), (7, 0), (7, 7))]  # neighbours are alike, the ends are not
+    data = [(1, a), (2, b), (None, b), (None, other), (3, "few words of its own here"), (5, b), (5, "quite another text than that of five before"), (5, "quite another text than that of five before"), (6, ""), (6, ""), (None, None)]
     df = spark.createDataFrame(data, "doc_id long, text string")
     got = near_dedup.dedup(df).collect()
-    assert sorted((r.doc_id or 0, r.component_id or 0, r.class_size) for r in got) == [(0, 0, 1), (0, 1, 2), (1, 1, 1), (2, 1, 2), (3, 3, 1)]
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.class_size, r.first) for r in got) == sorted(
+        [(1, 1, 1, True), (2, 1, 3, False), (0, 1, 3, False), (0, 0, 1, True), (3, 3, 1, True), (5, 1, 3, False), (5, 5, 2, True), (5, 5, 2, True), (6, 6, 1, True), (6, 6, 1, True), (0, 0, 1, True)]
+    )
     stage = corpus_pipeline.near_duplicates(spark, df.selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "1L as n_chars"), "").collect()
-    assert sorted(r.doc_id or 0 for r in stage) == [0, 0, 1, 3]
+    assert sorted((r.doc_id or 0, r.text or "") for r in stage) == sorted([(1, a), (0, other), (3, data[4][1]), (5, data[6][1]), (6, ""), (6, ""), (0, "")])
+    chain = spark.createDataFrame([(7, bridge[0]), (None, bridge[1]), (8, bridge[2])], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.dedup(chain).collect()} == {7: 7, None: 7, 8: 7}
 
 
 def test_pipeline_matches_its_parts(spark, tmp_path):
