@@ -35,10 +35,8 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component: its smallest doc_id; and all documents without one."""
-    kept = near_dedup.dedup(docs, SIMILAR).where("kept").select("doc_id").distinct()
-    docs = docs.select(*COLUMNS)
-    return docs.join(kept, "doc_id", "left_semi").union(docs.where("doc_id is null"))
+    """One document of each near-duplicate component: that with the smallest doc_id."""
+    return near_dedup.first_rows(docs.select(*COLUMNS), SIMILAR)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
