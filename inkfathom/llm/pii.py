@@ -7,12 +7,16 @@ that hold something and c(t, e) of those that hold both, so that repeated wordin
     PMI(t; e) = log N c(t, e) / (c(t) c(e))   discloses e if it is at least   IC(k) = log N / c(k),
 
 that is, if the term tells more of the entity than its kind would: c(t, e) c(k) >= c(t) c(e), in whole numbers. Such a
-term is generalised wherever it stands in the documents of e; if it occurs nowhere but with e, so that PMI reaches IC(e), it is removed. One
-document is no evidence (`SUPPORT`). Letters within base spans are no terms. Everything is built-in expressions, joins and sums;
-only texts with entities are shuffled, so that copies are worked on once.
-
-Null and empty texts have no spans; equal texts in one document id are judged row by row; an empty table gives an empty
-result. Other columns are kept by `sanitise` and cannot clash.
+term is sanitised wherever it stands in the documents of e: if it occurs nowhere but with e, so that PMI reaches IC(e), it
+is removed; else it is generalised to the least general of its classes that does not disclose e by the same test: all
+terms with its first three letters (`zeb*`), with its first letter (`z*`), or any term (`[TERM]`). One document is no
+evidence (`SUPPORT`). Letters within base spans are no terms. Everything is built-in expressions, joins and sums; only
+texts with entities are shuffled, so that copies are worked on once. Of all other texts, only terms in question are: a bit
+set of fixed size, which may let others pass, tells them.
+
+Null and empty texts have no spans; very long texts are searched as a whole; equal texts in one document id are judged row
+by row; rows without id and repeated rows count as documents of their own; an empty table gives an empty result. Other
+columns are kept by `sanitise` and cannot clash.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import id_and_text, table
 
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
 #: As the stated patterns, but possessive, and never tried again within a run that failed, so that they take linear time.
@@ -32,7 +36,12 @@ _CARD = r"[0-9](?:[\x20-]?+[0-9]){12,}+"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 SUPPORT = 2
-MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalise": "[TERM]", "remove": ""}
+MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
+#: Letters of the classes that a term is generalised to, the least general first, and what stands for the most general.
+CLASSES, ANY_TERM = (3, 1), "[TERM]"
+REMOVE = len(CLASSES) + 2
+#: Bits of the set of terms in question, as a power of two; maps that a text's terms are dealt to.
+BITS, MAPS = 22, 64
 _NOT_LETTERS = r"[^\p{L}]+"
 _SPANS = "array<struct<kind:int,start:int,end:int,value:string>>"
 
@@ -83,6 +92,12 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(runs, lambda t: t != ""), lambda t: F.lower(t)))
 
 
+def _with_classes(terms: Column) -> Column:
+    """Distinct terms and the classes of each, which end in an asterisk as no term does."""
+    of = lambda n: F.transform(F.filter(terms, lambda t: F.length(t) > n), lambda t: F.concat(F.substring(t, 1, n), F.lit("*")))
+    return F.concat(terms, *[F.array_distinct(of(n)) for n in CLASSES])
+
+
 def _outside(text: str, base: str) -> Column:
     """The text with blanks in place of base spans, so that places stay."""
     by_start = F.array_sort(base, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
@@ -96,19 +111,30 @@ def _outside(text: str, base: str) -> Column:
     return F.aggregate(by_start, zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col(text), a["at"] + 1, F.length(text))))
 
 
+def _dealt(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(MAPS)).cast("int")
+
+
+def _instead(term: Column, level: Column) -> Column:
+    """What a term is replaced by: its class of that level, any term, or nothing."""
+    out = reduce(lambda c, i: c.when(level == i + 1, F.concat(F.substring(term, 1, CLASSES[i]), F.lit("*"))), range(1, len(CLASSES)), F.when(level == 1, F.concat(F.substring(term, 1, CLASSES[0]), F.lit("*"))))
+    return out.when(level == REMOVE, F.lit("")).otherwise(F.lit(ANY_TERM))
+
+
 def _places(text: Column, over: Column) -> Column:
-    """The runs of letters that are keys of the map over (term to remove), as _base, kinds 4 and 5."""
+    """The runs of letters that are keys of the maps over (term to level), as _base, kinds 4 and 5; value is what replaces them."""
     runs = F.filter(F.split(text, _NOT_LETTERS, -1), lambda t: t != "")
     gaps = F.split(text, r"\p{L}+", -1)
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
 
     def step(a: Column, x: Column) -> Column:
         start = a["at"] + x["gap"]
-        end, remove = start + F.length(x["run"]), F.element_at(over, F.lower(x["run"]))
-        one = F.struct(F.when(remove, 5).otherwise(4).alias("kind"), start.alias("start"), end.alias("end"), F.lower(x["run"]).alias("value"))
-        return F.struct(end.alias("at"), F.when(remove.isNotNull(), F.concat(a["out"], F.array(one))).otherwise(a["out"]).alias("out"))
+        end = start + F.length(x["run"])
+        one = F.struct(F.when(x["level"] == REMOVE, 5).otherwise(4).alias("kind"), start.alias("start"), end.alias("end"), _instead(F.lower(x["run"]), x["level"]).alias("value"))
+        return F.struct(end.alias("at"), F.when(x["level"].isNotNull(), F.concat(a["out"], F.array(one))).otherwise(a["out"]).alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(runs)), runs, lambda g, t: F.struct(F.length(g).alias("gap"), t.alias("run")))
+    level = lambda t: F.element_at(F.get(over, _dealt(t)), t)
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(runs)), runs, lambda g, t: F.struct(F.length(g).alias("gap"), t.alias("run"), level(F.lower(t)).alias("level")))
     return F.aggregate(pairs, zero, step, lambda a: a["out"])
 
 
@@ -117,42 +143,78 @@ def _entities() -> Column:
     return F.array_distinct(F.transform("_base", lambda s: F.struct(s["kind"].alias("kind"), F.lower(s["value"]).alias("value"))))
 
 
-def evidence(texts: DataFrame) -> DataFrame:
-    """_row, n_docs, kind, value, term: each term of a text with each entity of it; texts has distinct _row, n_docs, _base and _rest."""
-    one = texts.select("_row", "n_docs", _entities().alias("e"), F.explode(_terms(F.col("_rest"))).alias("term"))
-    return one.select("_row", "n_docs", F.explode("e").alias("e"), "term").select("_row", "n_docs", "e.kind", "e.value", "term")
+def evidence(texts: DataFrame, terms: Column) -> DataFrame:
+    """_row, n_docs, kind, value, term: each of the terms of a text with each entity of it; texts has distinct _row, n_docs, _e (entities) and _rest."""
+    one = texts.select("_row", "n_docs", "_e", F.explode(terms).alias("term"))
+    return one.select("_row", "n_docs", F.explode("_e").alias("e"), "term").select("_row", "n_docs", "e.kind", "e.value", "term")
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, _row, _base and _extra (as _base, kinds 4 and 5) of each row of docs(doc_id, text); _row tells rows of one doc_id apart."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("_text")).withColumn("_row", F.xxhash64("_text"))
+def _based(docs: DataFrame, whole: bool) -> DataFrame:
+    """doc_id, _row (hash of the text, which tells rows of one doc_id apart), _base, _text (where there are spans) and, if wanted, all columns of docs as _whole."""
+    more = [F.struct(*[docs[c] for c in docs.columns]).alias("_whole")] if whole else []
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("_text"), *more).withColumn("_row", F.xxhash64("_text"))
     based = with_base_spans(rows)
-    base = table(based.select("doc_id", "_row", "_base"), "pii-base")
+    return table(based.withColumn("_text", F.when(F.size("_base") > 0, F.col("_text"))), "pii-base")
+
+
+def _extra(docs: DataFrame, based: DataFrame) -> DataFrame:
+    """_row, _extra: the spans of kinds 4 and 5 of each distinct text that has some."""
     copies = based.where(F.size("_base") > 0).groupBy("_row").agg(F.first("_text").alias("_text"), F.first("_base").alias("_base"), F.count("*").alias("n_docs"))
     some = table(copies.withColumn("_rest", _outside("_text", "_base")), "pii-texts")  # the distinct texts with entities only
-    found = evidence(some)
-    over = table(disclosing(rows, some, found), "pii-disclosing")
-    hits = found.join(over, ["kind", "value", "term"]).groupBy("_row", "term").agg(F.max("remove").alias("remove"))
-    hits = hits.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "remove"))).alias("_over"))
-    extra = some.select("_row", "_rest").join(hits, "_row").select("_row", _places(F.col("_rest"), F.col("_over")).alias("_extra"))
-    extra = table(extra, "pii-terms")  # a table, so that a text with many copies can be split
-    none = F.array().cast(_SPANS)
-    return base.join(extra, "_row", "left").select("doc_id", "_row", "_base", F.coalesce("_extra", none).alias("_extra"))
-
-
-def disclosing(all_rows: DataFrame, some: DataFrame, found: DataFrame) -> DataFrame:
-    """kind, value, term, remove: the pairs over the threshold, all four counts in documents. all_rows has every _text, some the distinct ones with _base, n_docs and _rest, found is evidence() of it."""
-    pairs = found.groupBy("kind", "value", "term").agg(F.sum("n_docs").alias("c_te")).where(F.col("c_te") >= SUPPORT)
-    c_e = some.select("n_docs", F.explode(_entities()).alias("e")).groupBy("e.kind", "e.value").agg(F.sum("n_docs").alias("c_e"))
+    each = some.select("_row", "n_docs", F.explode(_entities()).alias("e"))
+    c_e = table(each.groupBy("e").agg(F.sum("n_docs").alias("c_e")).where(F.col("c_e") >= SUPPORT), "pii-entities")
+    known = each.join(c_e, "e").groupBy("_row").agg(F.collect_list("e").alias("_e"))  # an entity of one document has no evidence
+    texts = table(some.select("_row", "n_docs", "_rest").join(known, "_row"), "pii-evidence")
+    found = evidence(texts, _with_classes(_terms(F.col("_rest"))))
+    pairs = table(found.groupBy("kind", "value", "term").agg(F.sum("n_docs").alias("c_te")).where(F.col("c_te") >= SUPPORT), "pii-pairs")
+    over = table(_levels(_disclosing(docs, some, c_e, pairs)), "pii-disclosing")
+    hits = evidence(texts, _terms(F.col("_rest"))).join(over, ["kind", "value", "term"]).groupBy("_row", "term").agg(F.max("level").alias("level"))
+    hits = hits.groupBy("_row", _dealt(F.col("term")).alias("m")).agg(F.map_from_entries(F.collect_list(F.struct("term", "level"))).alias("own"))
+    hits = hits.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("m", "own"))).alias("maps"))
+    none = F.create_map().cast("map<string,int>")
+    dealt = hits.select("_row", F.transform(F.sequence(F.lit(0), F.lit(MAPS - 1)), lambda i: F.coalesce(F.element_at("maps", i), none)).alias("_over"))
+    out = texts.select("_row", "_rest").join(dealt, "_row").select("_row", _places(F.col("_rest"), F.col("_over")).alias("_extra"))
+    return table(out, "pii-terms")  # a table, so that a text with many copies can be split
+
+
+def _in_question(pairs: DataFrame) -> DataFrame:
+    """One row: a bit set of the terms, as an array of 2 ** (BITS - 6) numbers."""
+    words = 1 << (BITS - 6)
+    place = F.pmod(F.xxhash64("term"), F.lit(1 << BITS))
+    own = pairs.select(F.shiftright(place, 6).cast("long").alias("id"), place.bitwiseAND(F.lit(63)).cast("int").alias("bit")).distinct()
+    own = own.groupBy("id").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("bits"))
+    every = pairs.sparkSession.range(words).join(own, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("_set"))  # `words` rows, whatever the size
+
+
+def _disclosing(docs: DataFrame, some: DataFrame, c_e: DataFrame, pairs: DataFrame) -> DataFrame:
+    """kind, value, term, remove: the pairs over the threshold, all four counts in documents; terms may be classes."""
     kinds = F.array_distinct(F.transform("_base", lambda s: s["kind"]))
     c_k = some.select("n_docs", F.explode(kinds).alias("kind")).groupBy("kind").agg(F.sum("n_docs").alias("c_k"))  # four rows at most
+    asked = F.broadcast(_in_question(pairs))  # half a megabyte
+    place = lambda t: F.pmod(F.xxhash64(t), F.lit(1 << BITS))
+    listed = lambda t: F.getbit(F.element_at("_set", (F.shiftright(place(t), 6) + 1).cast("int")), place(t).bitwiseAND(F.lit(63)).cast("int")) == 1
+    count = lambda df, terms, n: df.join(asked).select(F.explode(F.filter(terms, listed)).alias("term"), n.alias("n"))
+    text, rest = (_with_classes(_terms(F.col(c))) for c in ("_text", "_rest"))
     # Terms of whole texts, less those that only base spans hold.
-    words = all_rows.select(F.explode(_terms(F.col("_text"))).alias("term"), F.lit(1).cast("long").alias("n"))
-    within = some.select(F.explode(F.array_except(_terms(F.col("_text")), _terms(F.col("_rest")))).alias("term"), (-F.col("n_docs")).alias("n"))
-    beside = some.select(F.explode(F.array_except(_terms(F.col("_rest")), _terms(F.col("_text")))).alias("term"), F.col("n_docs").alias("n"))
+    words = count(docs.select(F.coalesce(docs["text"], F.lit("")).alias("_text")), text, F.lit(1).cast("long"))
+    within = count(some, F.array_except(text, rest), -F.col("n_docs"))
+    beside = count(some, F.array_except(rest, text), F.col("n_docs"))
     c_t = words.union(within).union(beside).groupBy("term").agg(F.sum("n").alias("c_t"))
-    known = pairs.join(c_e, ["kind", "value"]).join(F.broadcast(c_k), "kind").join(c_t, "term")
-    return known.where(F.col("c_te") * F.col("c_k") >= F.col("c_t") * F.col("c_e")).select("kind", "value", "term", (F.col("c_te") >= F.col("c_t")).alias("remove"))
+    counted = pairs.join(c_e.select("e.kind", "e.value", "c_e"), ["kind", "value"]).join(F.broadcast(c_k), "kind").join(c_t, "term")
+    return table(counted.where(F.col("c_te") * F.col("c_k") >= F.col("c_t") * F.col("c_e")).select("kind", "value", "term", (F.col("c_te") >= F.col("c_t")).alias("remove")), "pii-over")
+
+
+def _levels(over: DataFrame) -> DataFrame:
+    """kind, value, term, level of the terms over the threshold: the first class that is not over it, from 1, any term, or REMOVE."""
+    out = over.where(~F.col("term").endswith("*"))
+    classes = over.where(F.col("term").endswith("*"))
+    level = F.when(F.col("remove"), REMOVE)
+    for i, n in enumerate(CLASSES):
+        bad = classes.select("kind", "value", F.col("term").alias(f"class_{i}"), F.lit(True).alias(f"bad_{i}"))
+        out = out.withColumn(f"class_{i}", F.when(F.length("term") > n, F.concat(F.substring("term", 1, n), F.lit("*")))).join(bad, ["kind", "value", f"class_{i}"], "left")
+        level = level.when(F.col(f"class_{i}").isNotNull() & F.col(f"bad_{i}").isNull(), i + 1)
+    return out.select("kind", "value", "term", level.otherwise(len(CLASSES) + 1).alias("level"))
 
 
 def _joined(*lists: str) -> Column:
@@ -164,7 +226,9 @@ def _joined(*lists: str) -> Column:
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_generalise, n_remove."""
     count = lambda c, k: F.size(F.filter(c, lambda s: s["kind"] == k)).cast("long")
-    out = spans(docs)
+    own = id_and_text(docs)
+    based = _based(own, False).select("doc_id", "_row", "_base", "_text")
+    out = based.drop("_text").join(_extra(own, based), "_row", "left").withColumn("_extra", F.coalesce("_extra", F.array().cast(_SPANS)))
     return out.select(
         "doc_id",
         *[count("_base", i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])],
@@ -175,18 +239,21 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the same columns, the text's spans replaced by MASKS; of spans that overlap, the earlier and longer counts."""
-    found = spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    found = found.where(F.size("_base") + F.size("_extra") > 0).groupBy(F.col("doc_id").alias("_pii_id"), F.col("_row").alias("_pii_row")).agg(F.first(F.concat("_base", "_extra")).alias("_spans"))
-    rows = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].alias("_text"), F.struct(*[docs[c] for c in docs.columns]).alias("_whole"))
-    out = rows.join(found, F.col("_id").eqNullSafe(F.col("_pii_id")) & (F.xxhash64(F.coalesce("_text", F.lit(""))) == F.col("_pii_row")), "left")
-    by_place = F.array_sort("_spans", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-    out = out.withColumn("_spans", by_place)
-    zero = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<from:int,to:int,next:int,kind:int>>").alias("out"))
-    keep = lambda a, s: F.when(s["start"] < a["end"], a).otherwise(F.struct(s["end"].alias("end"), F.concat(a["out"], F.array(F.struct(a["end"].alias("from"), s["start"].alias("to"), s["end"].alias("next"), s["kind"].alias("kind")))).alias("out")))
+    """docs with the same columns, the text's spans replaced by MASKS and terms by what they are generalised to; of spans that overlap, the earlier and longer counts.
+
+    Rows without spans of the base kinds have none, and pass without a shuffle.
+    """
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("all"))
+    based = _based(rows, True)
+    plain = based.where(F.size("_base") == 0).select("_whole.all.*")
+    out = based.where(F.size("_base") > 0).join(_extra(id_and_text(docs, id_col, text_col), based), "_row", "left")
+    every = F.concat("_base", F.coalesce("_extra", F.array().cast(_SPANS)))
+    out = out.withColumn("_spans", F.array_sort(every, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"])))
+    zero = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<from:int,to:int,next:int,mask:string>>").alias("out"))
+    mask = lambda s: reduce(lambda c, i: c.when(s["kind"] == i, MASKS[KINDS[i]]), range(1, 4), F.when(s["kind"] == 0, MASKS[KINDS[0]])).otherwise(s["value"])
+    keep = lambda a, s: F.when(s["start"] < a["end"], a).otherwise(F.struct(s["end"].alias("end"), F.concat(a["out"], F.array(F.struct(a["end"].alias("from"), s["start"].alias("to"), s["end"].alias("next"), mask(s).alias("mask")))).alias("out")))
     out = out.withColumn("_cuts", F.aggregate("_spans", zero, keep, lambda a: a["out"]))
-    mask = lambda k: reduce(lambda c, i: c.when(k == i, MASKS[KINDS[i]]), range(1, len(KINDS)), F.when(k == 0, MASKS[KINDS[0]]))
-    pieces = F.transform("_cuts", lambda c: F.concat(F.substring("_text", c["from"] + 1, c["to"] - c["from"]), mask(c["kind"])))
+    pieces = F.transform("_cuts", lambda c: F.concat(F.substring("_text", c["from"] + 1, c["to"] - c["from"]), c["mask"]))
     clean = F.concat(F.array_join(pieces, ""), F.substring("_text", F.element_at("_cuts", -1)["next"] + 1, F.length("_text")))
-    clean = F.when(F.size("_cuts") > 0, clean).otherwise(F.col("_text"))
-    return out.select(*[clean.alias(c) if c == text_col else F.col("_whole")[c].alias(c) for c in docs.columns])
+    masked = out.select(*[clean.alias(c) if c == text_col else F.col("_whole.all")[c].alias(c) for c in docs.columns])
+    return plain.union(masked)

@@ -140,6 +140,76 @@ def test_pii_looks_at_whole_documents(spark):
     assert not re.search("Zebulon|Li|李明", clean[0]) and "[EMAIL]" in clean[0] and clean[2] == texts[2].replace("other0@site.org", "[EMAIL]") and clean[9] == texts[9]
 
 
+def brute_disclosure(texts):
+    """Spans of kinds generalise and remove, and what replaces them, by the definition: every count over documents."""
+    docs = []
+    for t in texts:
+        t = t or ""
+        spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in brute_pii(t))]
+        rest = list(t)
+        for _, a, b in spans:
+            rest[a:b] = " " * (b - a)
+        runs = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]+", "".join(rest))]
+        terms = {x for *_, x in runs}
+        classes = {x[:n] + "*" for x in terms for n in pii.CLASSES if len(x) > n}
+        docs.append(({(k, t[a:b].lower()) for k, a, b in spans}, terms | classes, runs))
+    c_e, c_t, c_k, c_te = Counter(), Counter(), Counter(), Counter()
+    for entities, terms, _ in docs:
+        c_e.update(entities)
+        c_t.update(terms)
+        c_k.update({k for k, _ in entities})
+        c_te.update((e, t) for e in entities for t in terms)
+    over = {(e, t): n >= c_t[t] for (e, t), n in c_te.items() if n >= 2 and n * c_k[e[0]] >= c_t[t] * c_e[e]}
+
+    def level(e, t):
+        if over[e, t]:
+            return 9, ""
+        for i, n in enumerate(pii.CLASSES, 1):
+            if len(t) > n and (e, t[:n] + "*") not in over:
+                return i, t[:n] + "*"
+        return 8, "[TERM]"
+
+    out = []
+    for entities, _, runs in docs:
+        own = {t: max(level(e, t) for e in entities if (e, t) in over) for *_, t in runs if any((e, t) in over for e in entities)}
+        out.append([("remove" if own[t][0] == 9 else "generalise", a, b, own[t][1]) for a, b, t in runs if t in own])
+    return out
+
+
+def pii_corpus(seed):
+    r = random.Random(seed)
+    people = [f"p{i}@mail{i % 3}.org" for i in range(6)] + ["+1 743 555 382" + str(i) for i in range(3)]
+    vocabulary = [f"{a}{b}{c}" for a in "abz" for b in "eio" for c in ("m", "mt", "nnn", "n")]
+    out = []
+    for _ in range(60):
+        w = [r.choice(vocabulary) for _ in range(r.randint(0, 12))]
+        for _ in range(r.choice([0, 0, 1, 1, 2])):
+            e = r.randrange(len(people))
+            for _ in range(r.randint(1, 2)):  # an entity may stand twice in a text
+                w[r.randint(0, len(w)) : 0] = [people[e], f"Own{'abcdefghi'[e]}", "Zemtrum"[: 3 + e % 5]]
+        out.append(" ".join(w))
+    out += [f"quasar notes {i} of p0@mail0.org" for i in range(3)] + ["quasar notes of nobody"]  # nothing more general is safe
+    return [*out, *out[:7], out[3], None, ""]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pii_disclosure_is_as_defined(spark, seed):
+    texts = pii_corpus(seed)
+    own = brute_disclosure(texts)
+    got = {r.doc_id: r for r in pii.report(rows(spark, texts)).collect()}
+    assert {x[3] for o in own for x in o} > {"", "[TERM]"} and any(x[3].endswith("*") for o in own for x in o)
+    clean = {r.doc_id: r.text for r in pii.sanitise(rows(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        base = brute_pii(t)
+        kinds = sorted(own[i], key=lambda x: x[1])
+        assert got[i].spans.split(",") == ([*base, *[f"{k}:{a}:{b}" for k, a, b, _ in kinds]] or [""]), t
+        cuts = sorted([(int(x.split(":")[1]), int(x.split(":")[2]), pii.MASKS[x.split(":")[0]]) for x in base] + [x[1:] for x in kinds])
+        text, at = "", 0
+        for a, b, m in cuts:
+            text, at = text + t[at:a] + m, b
+        assert clean[i] == (text + t[at:] if t is not None else None)
+
+
 # ---- 3: passages ----
 def brute_passages(texts):
     seen, out = set(), {}
