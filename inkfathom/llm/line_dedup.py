@@ -1,14 +1,18 @@
-"""Reversible line dedup: exact reference tables, indexed by cuckoo filters by shard.
+"""Reversible line dedup: cuckoo filters by shard, backed by exact reference tables.
 
 A line's key is the line without white space at both ends, A-Z lower-cased; keys shorter than `least` code points are
-never dropped. `refs` holds one row for each key and document. A shard of keys has a cuckoo filter that serves as an index
-only: insert and delete keep it up to date, and a key whose last reference goes is deleted from it, but what is dropped is
-decided by grouping the exact table alone, which insert also reads as a whole. Of a key that two documents or
-more hold, the smallest doc_id keeps its lines. Deleting documents deletes their references, so the next document gets
-its lines back: insert and delete in any order give what the remaining documents would give alone.
-
-Null text counts as empty, which is one empty line. Rows without a doc_id keep all lines. Rows that repeat a doc_id count as one document. An empty table gives
-an empty index and result; other columns are kept by `apply` and cannot clash.
+never dropped. `refs` holds one row for each key and document. Every reference asks its shard's cuckoo filter first: a
+key that the filter has not seen is new, goes into it, and is looked up nowhere. Only keys that the filter may have are
+looked up: in the exact keys of the shard while an index is built, in the exact table when documents are added. Those
+that are there are `shared`, and only references of shared keys are ever grouped: of a key that two documents or more
+hold, the smallest doc_id keeps its lines. A key that the filter wrongly took for an old one is inserted as well, so that
+deleting another never hides it. Deleting documents deletes their references, and keys whose last reference goes from the
+filters, so the next document gets its lines back: insert and delete in any order give what the remaining documents would
+give alone. Once a shard would hold twice its keys, there are more shards.
+
+Null text counts as empty, which is one empty line; texts of any length are split whole. Rows without a doc_id keep all
+lines. Rows that repeat a doc_id count as one document, so ties between documents cannot be. An empty table gives an empty
+index and result; other columns are kept by `apply` and cannot clash.
 """
 
 from __future__ import annotations
@@ -153,79 +157,148 @@ class CuckooFilter:
         return cls(segments)
 
 
+class Shard:
+    """The keys of a shard while its filter is built: the filter first, and exact keys behind it for what it may have."""
+
+    def __init__(self):
+        self.filter, self.held, self.fresh, self.looked_up = CuckooFilter(), np.zeros(0, _KEY), [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Takes distinct keys; which of them were there already."""
+        maybe = self.filter.contains(a, b)
+        known = np.zeros(len(a), bool)
+        if maybe.any():
+            self.looked_up += int(maybe.sum())
+            known[maybe] = self._has(_keys(a[maybe], b[maybe]))
+        new = ~known
+        self.filter.insert(a[new], b[new])
+        self.fresh.append(_keys(a[new], b[new]))
+        return known
+
+    def _has(self, keys: np.ndarray) -> np.ndarray:
+        if self.fresh:
+            self.held, self.fresh = np.sort(np.concatenate([self.held, *self.fresh])), []
+        at = np.minimum(np.searchsorted(self.held, keys), max(len(self.held) - 1, 0))
+        return self.held[at] == keys if len(self.held) else np.zeros(len(keys), bool)
+
+
+_KEY = np.dtype([("a", np.int64), ("b", np.int64)])
+
+
+def _keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.empty(len(a), _KEY)
+    out["a"], out["b"] = a, b
+    return out
+
+
 @dataclass
 class LineIndex:
-    """filters: shard, filter. refs: key_a, key_b, doc_id, n_lines. Both are tables in the shared folder."""
+    """filters: shard, filter. refs: key_a, key_b, doc_id, n_lines. shared: key_a, key_b of the keys that came again. All are tables in the shared folder."""
 
     refs: DataFrame
     filters: DataFrame
+    shared: DataFrame
     shards: int
 
     @classmethod
-    def build(cls, docs: DataFrame) -> LineIndex:
+    def build(cls, docs: DataFrame, shard_keys: int = SHARD_KEYS) -> LineIndex:
         """The index of documents, from nothing."""
         refs = table(references(docs), "line-refs")
-        shards = max(16, refs.count() // SHARD_KEYS)
-        empty = refs.sparkSession.createDataFrame([], "shard int, filter binary")
-        return cls(refs.limit(0), empty, shards)._with(refs)
+        return cls._over(refs, max(16, -(-refs.count() // shard_keys)))
+
+    @classmethod
+    def _over(cls, refs: DataFrame, shards: int) -> LineIndex:
+        """Filters and shared keys of references, in one pass by shard. A batch of references gives each key once, so a key that all documents hold gives few rows."""
+
+        def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    keys, n = np.unique(_keys(batch.column("key_a").to_numpy(), batch.column("key_b").to_numpy()), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array((keys["a"] % shards).astype(np.int32)), pa.array(keys["a"]), pa.array(keys["b"]), pa.array(n.astype(np.int32))], names=["shard", "key_a", "key_b", "n"])
+
+        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            number, own = None, Shard()
+
+            def row(found: np.ndarray, raw: bytes | None) -> pa.RecordBatch:
+                k = len(found) if raw is None else 1
+                return pa.RecordBatch.from_arrays([pa.array([number] * k, pa.int32()), pa.array(found["a"] if raw is None else [0]), pa.array(found["b"] if raw is None else [0]), pa.array([raw] * k, pa.binary())], names=["shard", "key_a", "key_b", "filter"])
+
+            for batch in batches:
+                shard = batch.column("shard").to_numpy()
+                cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+                for at, end in zip(cuts, cuts[1:]):
+                    if at == end:
+                        continue
+                    if shard[at] != number:
+                        if number is not None:
+                            yield row(np.zeros(0, _KEY), own.filter.to_bytes())
+                        number, own = int(shard[at]), Shard()
+                    a, b, n = (batch.column(c).to_numpy()[at:end] for c in ("key_a", "key_b", "n"))
+                    keys, first, back = np.unique(_keys(a, b), return_index=True, return_inverse=True)
+                    again = own.add(keys["a"], keys["b"]) | (np.bincount(back, n, len(keys)) > 1)
+                    if again.any():
+                        yield row(keys[again], None)
+            if number is not None:
+                yield row(np.zeros(0, _KEY), own.filter.to_bytes())
+
+        dealt = refs.select("key_a", "key_b").mapInArrow(once, "shard int, key_a long, key_b long, n int").repartition("shard").sortWithinPartitions("shard")
+        out = table(dealt.mapInArrow(fill, "shard int, key_a long, key_b long, filter binary"), "line-filters")
+        return cls(refs, out.where(F.col("filter").isNotNull()).select("shard", "filter"), out.where(F.col("filter").isNull()).select("key_a", "key_b").distinct(), shards)
 
     def _shard(self) -> Column:
         return F.pmod("key_a", F.lit(self.shards)).cast("int").alias("shard")
 
-    def _with(self, fresh: DataFrame) -> LineIndex:
-        """Adds references: filters first say which keys may be there, then get the new ones."""
-        keys = fresh.groupBy("key_a", "key_b").agg(F.count("*").alias("refs")).withColumn("shard", self._shard())
+    def _changed(self, keys: DataFrame, how: str) -> DataFrame:
+        """The filters after insertion or deletion of distinct keys."""
 
         def step(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
             f = CuckooFilter.from_bytes(old["filter"].iloc[0] if len(old) else None)
-            a, b = new["key_a"].to_numpy(np.int64), new["key_b"].to_numpy(np.int64)
-            maybe = f.contains(a, b)
-            f.insert(a[~maybe], b[~maybe])
-            seen = pd.DataFrame({"shard": new["shard"], "key_a": a, "key_b": b, "filter": None})[maybe]
-            shard = int(old["shard"].iloc[0] if len(old) else new["shard"].iloc[0])
-            return pd.concat([seen, pd.DataFrame({"shard": [shard], "key_a": [0], "key_b": [0], "filter": [f.to_bytes()]})]) if len(seen) else pd.DataFrame({"shard": [shard], "key_a": [0], "key_b": [0], "filter": [f.to_bytes()]})
-
-        out = table(self.filters.groupBy("shard").cogroup(keys.groupBy("shard")).applyInPandas(step, "shard int, key_a long, key_b long, filter binary"), "line-filters")
-        filters = out.where(F.col("filter").isNotNull()).select("shard", "filter")
-        # A key that the filter may hold but the exact table does not is a false positive: its fingerprint is there already, so deletion would be unsafe unless it is inserted too.
-        maybe = out.where(F.col("filter").isNull()).select("key_a", "key_b")
-        false = maybe.join(self.refs.select("key_a", "key_b").distinct(), ["key_a", "key_b"], "left_anti").withColumn("shard", self._shard())
-
-        def again(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-            f = CuckooFilter.from_bytes(old["filter"].iloc[0])
-            f.insert(new["key_a"].to_numpy(np.int64), new["key_b"].to_numpy(np.int64))
-            return old.assign(filter=[f.to_bytes()])
-
-        if not false.isEmpty():
-            filters = table(filters.groupBy("shard").cogroup(false.groupBy("shard")).applyInPandas(again, "shard int, filter binary"), "line-filters")
-        return LineIndex(self.refs.unionByName(fresh) if self.refs.take(1) else fresh, filters, self.shards)
-
-    def insert(self, docs: DataFrame) -> LineIndex:
+            getattr(f, how)(new["key_a"].to_numpy(np.int64), new["key_b"].to_numpy(np.int64))
+            return pd.DataFrame({"shard": [int((old if len(old) else new)["shard"].iloc[0])], "filter": [f.to_bytes()]})
+
+        return table(self.filters.groupBy("shard").cogroup(keys.withColumn("shard", self._shard()).groupBy("shard")).applyInPandas(step, "shard int, filter binary"), "line-filters")
+
+    def maybe_held(self, keys: DataFrame) -> DataFrame:
+        """Those of distinct keys that their filter may have: all that need an exact look."""
+
+        def ask(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+            f = CuckooFilter.from_bytes(old["filter"].iloc[0] if len(old) else None)
+            return new[["key_a", "key_b"]][f.contains(new["key_a"].to_numpy(np.int64), new["key_b"].to_numpy(np.int64))]
+
+        return self.filters.groupBy("shard").cogroup(keys.withColumn("shard", self._shard()).groupBy("shard")).applyInPandas(ask, "key_a long, key_b long")
+
+    def insert(self, docs: DataFrame, shard_keys: int = SHARD_KEYS) -> LineIndex:
         """Adds documents; those whose references are there already change nothing."""
-        fresh = references(docs)
-        fresh = table(fresh.join(self.refs.select("key_a", "key_b", "doc_id"), ["key_a", "key_b", "doc_id"], "left_anti"), "line-refs")
-        merged = self._with(fresh)
-        return LineIndex(table(merged.refs, "line-refs"), merged.filters, merged.shards)
+        key = ["key_a", "key_b"]
+        fresh = table(references(docs), "line-refs")
+        own = fresh.groupBy(*key).agg(F.count("*").alias("n"))
+        maybe = table(self.maybe_held(own.select(*key)), "line-maybe")
+        known = table(self.refs.join(maybe, key, "left_semi"), "line-known")  # the exact look, for these keys alone
+        old = known.select(*key).distinct()
+        fresh = table(fresh.join(known.select(*key, "doc_id"), [*key, "doc_id"], "left_anti"), "line-refs")
+        filters = self._changed(own.select(*key).join(old, key, "left_anti"), "insert")  # new ones, and those that the filter was wrong about
+        again = fresh.select(*key).distinct().join(old, key, "left_semi").union(own.where("n > 1").select(*key))
+        shared = table(self.shared.union(again).distinct(), "line-shared")
+        refs = table(self.refs.unionByName(fresh), "line-refs")
+        n = refs.count()
+        return self._over(refs, -(-n // shard_keys)) if n > 2 * shard_keys * self.shards else LineIndex(refs, filters, shared, self.shards)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Takes documents (column doc_id) out again."""
-        gone = doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-        stays = table(self.refs.join(gone, "doc_id", "left_anti").select("key_a", "key_b", "doc_id", "n_lines"), "line-refs")
-        lost = self.refs.select("key_a", "key_b").distinct().join(stays.select("key_a", "key_b").distinct(), ["key_a", "key_b"], "left_anti").withColumn("shard", self._shard())
-
-        def step(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-            f = CuckooFilter.from_bytes(old["filter"].iloc[0])
-            f.delete(new["key_a"].to_numpy(np.int64), new["key_b"].to_numpy(np.int64))
-            return old.assign(filter=[f.to_bytes()])
-
-        filters = table(self.filters.groupBy("shard").cogroup(lost.groupBy("shard")).applyInPandas(step, "shard int, filter binary"), "line-filters")
-        return LineIndex(stays, filters, self.shards)
+        key = ["key_a", "key_b"]
+        gone = table(doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "line-gone")
+        stays = table(self.refs.join(gone, "doc_id", "left_anti").select(*key, "doc_id", "n_lines"), "line-refs")
+        touched = table(self.refs.join(gone, "doc_id", "left_semi").select(*key).distinct(), "line-touched")
+        lost = table(touched.join(stays.select(*key), key, "left_anti"), "line-lost")
+        return LineIndex(stays, self._changed(lost, "delete"), table(self.shared.join(lost, key, "left_anti"), "line-shared"), self.shards)
 
     def dropped(self) -> DataFrame:
-        """doc_id, key_a, key_b of the lines that documents lose to a smaller doc_id."""
-        owners = self.refs.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last")
-        owners = table(owners, "line-owners")  # both sides of the join are exchanged then, and a key that many documents hold can be split
-        return self.refs.join(owners, ["key_a", "key_b"]).where("owner < doc_id").select("doc_id", "key_a", "key_b")
+        """doc_id, key_a, key_b of the lines that documents lose to a smaller doc_id: of shared keys only, the exact owner of each."""
+        key = ["key_a", "key_b"]
+        shared = table(self.shared, "line-shared")  # both sides of the joins are exchanged then, and a key that many documents hold can be split
+        some = table(self.refs.join(shared, key, "left_semi").select("doc_id", *key), "line-some")
+        owners = table(some.groupBy(*key).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last"), "line-owners")
+        return some.join(owners, key).where("owner < doc_id").select("doc_id", *key)
 
     def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """docs with the kept text in text_col, and n_lines, n_dropped as new columns (replacing columns of that name)."""

@@ -531,6 +531,37 @@ def test_line_dedup_is_reversible(spark):
     assert {r.doc_id: r.text for r in back.apply(frame(spark, two)).collect()} == brute_lines(two)
 
 
+def test_line_index_grows_and_looks_up_little(spark):
+    fresh = {i: "\n".join(f"line {i} of its own, number {k}" for k in range(40)) + "\nthe line of all documents" for i in range(100, 140)}
+    more = {i: f"the line of all documents\nline 100 of its own, number {i % 3}\nnew line number {i} here" for i in range(200, 220)}
+    index = line_dedup.LineIndex.build(frame(spark, fresh), shard_keys=200)
+    new = line_dedup.references(frame(spark, more)).select("key_a", "key_b").distinct()
+    maybe = index.maybe_held(new).count()
+    assert new.count() == 24 and 4 <= maybe <= 6  # 4 are there; the exact table is asked for no other, but for false positives
+    grown = index.insert(frame(spark, more), shard_keys=20)
+    assert grown.shards > index.shards and grown.filters.count() > index.filters.count()
+    both = fresh | more
+    assert {r.doc_id: r.text for r in grown.apply(frame(spark, both)).collect()} == brute_lines(both)
+    back = grown.delete(spark.createDataFrame([(i,) for i in fresh], "doc_id long"))
+    assert {r.doc_id: r.text for r in back.apply(frame(spark, more)).collect()} == brute_lines(more)
+    assert back.maybe_held(line_dedup.references(frame(spark, fresh)).select("key_a", "key_b").distinct()).count() <= 10
+
+
+def test_filters_decide(spark, monkeypatch):
+    texts = {1: "a shared line of text\nx", 2: "a shared line of text\ny"}
+    monkeypatch.setattr(line_dedup.LineIndex, "maybe_held", lambda self, keys: keys.limit(0))  # a filter that has nothing
+    index = line_dedup.LineIndex.build(frame(spark, {1: texts[1]})).insert(frame(spark, {2: texts[2]}))
+    assert {r.doc_id: r.text for r in index.apply(frame(spark, texts)).collect()} == texts
+
+
+def test_shard_asks_the_filter_first():
+    r = np.random.default_rng(5)
+    a, b = r.integers(-(2**62), 2**62, 6_000), r.integers(-(2**62), 2**62, 6_000)
+    own = line_dedup.Shard()
+    assert not own.add(a[:4_000], b[:4_000]).any() and own.looked_up < 20
+    assert own.add(a[3_000:], b[3_000:]).tolist() == [True] * 1_000 + [False] * 2_000 and own.looked_up < 1_100
+
+
 def test_cuckoo_filter():
     r = np.random.default_rng(3)
     a, b = r.integers(-(2**62), 2**62, 20_000), r.integers(-(2**62), 2**62, 20_000)
