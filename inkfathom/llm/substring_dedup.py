@@ -3,14 +3,19 @@
 Every window of `WINDOW` words has a minimizer, the least hash of its `GRAM`-word runs; equal windows have equal ones.
 Successive windows of a document with one minimizer are a region. A region whose minimizer nothing else has can hold no
 repeat; the others are fetched, equal regions become one, and what is left is dealt by minimizer to shards. A shard is
-an FM-index over the words of its regions: suffixes sorted as deep as a window, and their preceding words in a wavelet
-matrix of bit vectors with counts. The regions then stream through it from their last word: each backward search step
-takes one word more, and once longer than a window, a match is cut back to it, so that every position gets its matching
-statistic and the first place in the shard where its window occurs. Windows that occur earlier are reported as intervals.
-Minimizers with very many different regions are taken apart into windows instead, and these are grouped by 128-bit hash.
-
-Null and empty texts have no words; texts of fewer than `WINDOW` words stay; rows that repeat doc_id and text are one
-document, and other rows that repeat a doc_id are told apart by a hash of their text. Other columns are not read.
+an FM-index over the words of its regions: the words before the sorted suffixes in a wavelet matrix of bit vectors with
+counts, and one byte of common prefix length a word; the suffixes themselves are dropped. The regions then stream through
+it from their last word. Each backward search step takes one word more; where that leaves no occurrence but the region's
+own, the match is cut back to its parent interval, as often as needed, so that every position gets its matching statistic:
+how many words from there on occur elsewhere in the shard. Statistics of `WINDOW` words and more are reported, each with
+the interval of its window; of the places reported for one interval the earliest stays, the others are repeats.
+Minimizers with more than `HOT` different regions are taken apart into windows first, equal ones of which become one row,
+so that no shard grows without bound; which way a minimizer goes makes no difference to the result.
+
+Null and empty texts have no words; texts of fewer than `WINDOW` words stay; texts of any length are indexed whole. Rows
+that repeat doc_id and text are one document; other rows that repeat a doc_id are told apart, and ordered, by a hash of
+their text. A row without doc_id is neither earlier nor later than any other: it keeps its words and takes none from
+others, whatever else the table holds. An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -71,16 +76,22 @@ def candidates(rows: DataFrame) -> DataFrame:
     schema = "mini long, salt long, doc long, start int, windows int"
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = np.zeros(0, np.uint64)  # minimizers that this task has given a marker of
         for batch in slices(batches, max_bytes=SLICE):
             codes, ends, distinct = split_words(batch.column("text"))
             first, windows, mini, periodic = _regions(ends, word_hashes(distinct)[codes])
             row = np.searchsorted(ends, first, "right") - 1
             doc = batch.column("doc").to_numpy()[row]
-            # What repeats in this slice is known to repeat: it needs no counting, and one marker tells the other slices.
+            # What repeats in this slice is known to repeat: it needs no counting, and one marker tells the other tasks.
             _, back, n = np.unique(mini, return_inverse=True, return_counts=True)
-            known = (n[back] > 1) | periodic
+            if len(told):
+                old = told[np.minimum(np.searchsorted(told, mini), len(told) - 1)] == mini
+            else:
+                old = np.zeros(len(mini), bool)
+            known = (n[back] > 1) | periodic | old
             salt = np.where(known, np.maximum(np.arange(len(mini)), 1), 0)
-            marks = np.unique(mini[known])
+            marks = np.unique(mini[known & ~old])
+            told = np.union1d(told, marks)
             none = np.zeros(len(marks), np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -127,33 +138,46 @@ def _with_words(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 class FMIndex:
-    """An index of word codes (from 1; 0 parts regions), for patterns of at most `depth` words."""
+    """An index of word codes (from 1; 0 parts regions), for patterns of at most `depth` words, 255 at most."""
 
-    def __init__(self, codes: np.ndarray, depth: int = WINDOW):
+    def __init__(self, codes: np.ndarray, depth: int):
         n = self.n = len(codes)
-        rank, width = codes.astype(np.int64), 1
+        ranks, width = [codes.astype(np.int64)], 1
+        order = np.argsort(ranks[0], kind="stable")
         while width < depth:  # prefix doubling
-            half = rank
             after = np.zeros(n, np.int64)
-            after[: n - width] = rank[width:] + 1
-            key = rank * (n + 2) + after
+            after[: n - width] = ranks[-1][width:] + 1
+            key = ranks[-1] * (n + 2) + after
             order = np.argsort(key, kind="stable")
             new = np.zeros(n, np.int64)
             new[order[1:]] = np.cumsum(key[order[1:]] != key[order[:-1]])
-            rank, width = new, 2 * width
-        self.suffixes = np.argsort(rank, kind="stable")
-        # Blocks of suffixes that agree in `depth` words.
-        rest = depth - width // 2
-        tail = np.full(n, -1, np.int64)
-        tail[: n - rest] = half[rest:]
-        a, b = half[self.suffixes], tail[self.suffixes]
-        first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if n else np.zeros(0, bool)
-        self.starts = np.flatnonzero(first)
-        self.block = np.cumsum(first) - 1
-        self.stops = np.append(self.starts[1:], n)
+            ranks.append(new)
+            width *= 2
+        self.common = self._common(ranks, order)
+        self._edges: dict[int, np.ndarray] = {}
         symbols = int(codes.max(initial=0)) + 1
         self.before = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=symbols))])  # first suffix by first word
-        self._wavelet(codes[self.suffixes - 1], symbols)
+        self._wavelet(codes[order - 1], symbols)
+
+    @staticmethod
+    def _common(ranks: list[np.ndarray], order: np.ndarray) -> np.ndarray:
+        """Words that each suffix and the one before it begin with alike, 255 at most; 0 at both ends."""
+        n = len(order)
+        one, two = order[:-1].copy(), order[1:].copy()
+        size = np.zeros(max(n - 1, 0), np.int64)
+        for k in range(len(ranks) - 1, -1, -1):
+            there = np.flatnonzero((one < n) & (two < n))
+            same = there[ranks[k][one[there]] == ranks[k][two[there]]]
+            one[same] += 1 << k
+            two[same] += 1 << k
+            size[same] += 1 << k
+        return np.concatenate([[0], np.minimum(size, 255), [0]]).astype(np.uint8)
+
+    def edges(self, depth: int) -> np.ndarray:
+        """Where suffixes begin with other words than the one before, in their first `depth`; and the end."""
+        if depth not in self._edges:
+            self._edges[depth] = np.flatnonzero(self.common < depth).astype(np.int32)
+        return self._edges[depth]
 
     def _wavelet(self, symbols: np.ndarray, alphabet: int) -> None:
         self.levels, place = [], np.zeros(alphabet, np.int64)
@@ -181,10 +205,51 @@ class FMIndex:
         shift = self.before[symbol] - self.place[symbol]
         return lo + shift, hi + shift
 
-    def contract(self, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ranges of suffixes that agree with those at lo in `depth` words."""
-        block = self.block[lo]
-        return self.starts[block], self.stops[block]
+    def cut(self, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of suffixes that begin with the same `depth` words as those at `at`."""
+        edges = self.edges(depth)
+        k = np.searchsorted(edges, at, "right")
+        return edges[k - 1].astype(np.int64), edges[k].astype(np.int64)
+
+    def parent(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The least wider intervals, and how many words their suffixes have in common."""
+        depth = np.maximum(self.common[lo], self.common[hi]).astype(np.int64)
+        lo, hi = lo.copy(), hi.copy()
+        for d in np.unique(depth[depth >= WINDOW - 1]):
+            own = depth == d
+            lo[own], hi[own] = self.cut(lo[own], int(d))
+        return lo, hi, depth
+
+
+def matching_statistics(index: FMIndex, text: np.ndarray, last: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of text, how many words from there on occur elsewhere in the index (0 below WINDOW), and where the interval of its window begins.
+
+    The regions end at the places `last` and have `size` words, the longest first; all take a step at once.
+    """
+    statistic, interval = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
+    lo, hi, got = np.zeros(len(size), np.int64), np.full(len(size), index.n), np.zeros(len(size), np.int64)
+    short = WINDOW - 1  # so many words are kept whether or not they occur elsewhere
+    for t in range(int(size.max(initial=0))):
+        live = int(np.searchsorted(-size, -t, "left"))  # regions of more than t words
+        lo, hi, got = lo[:live], hi[:live], got[:live]
+        at = last[:live] - t
+        new_lo, new_hi = index.extend(lo, hi, text[at])
+        alone = np.flatnonzero((got >= short) & (new_hi - new_lo < 2))
+        while len(alone):
+            up_lo, up_hi, depth = index.parent(lo[alone], hi[alone])
+            up = (got[alone] > short) & (depth >= short)
+            alone, up_lo, up_hi = alone[up], up_lo[up], up_hi[up]
+            lo[alone], hi[alone], got[alone] = up_lo, up_hi, depth[up]
+            new_lo[alone], new_hi[alone] = index.extend(up_lo, up_hi, text[at[alone]])
+            alone = alone[new_hi[alone] - new_lo[alone] < 2]
+        lo, hi, got = new_lo, new_hi, got + 1
+        lost = np.flatnonzero((got > short) & (hi - lo < 2))
+        lo[lost], hi[lost] = index.cut(lo[lost], short)
+        got[lost] = short
+        found = np.flatnonzero(got > short)
+        statistic[at[found]] = got[found]
+        interval[at[found]] = index.cut(lo[found], WINDOW)[0]
+    return statistic, interval
 
 
 def repeats(words: pa.Array, order: np.ndarray) -> list[np.ndarray]:
@@ -196,22 +261,15 @@ def repeats(words: pa.Array, order: np.ndarray) -> list[np.ndarray]:
     begin = ends[:-1] + shift
     text[np.arange(len(codes)) + np.repeat(shift, size)] = codes + 1
     place = np.repeat(order - begin, size + 1) + np.arange(len(text))
-    index = FMIndex(text)
-    least = np.minimum.reduceat(place[index.suffixes], index.starts) if len(text) else place
-    found = np.zeros(len(text), bool)
     by_size = np.argsort(-size, kind="stable")
-    last = (begin + size - 1)[by_size]
-    lo, hi = np.zeros(n_regions, np.int64), np.full(n_regions, len(text))
-    falling = -size[by_size]
-    for t in range(int(size.max(initial=0))):
-        live = int(np.searchsorted(falling, -t, "left"))  # regions of more than t words
-        at = last[:live] - t
-        lo, hi = index.extend(lo[:live], hi[:live], text[at])
-        if t >= WINDOW - 1:
-            if t >= WINDOW:
-                lo, hi = index.contract(lo)
-            found[at] = (hi - lo > 1) & (least[index.block[lo]] < place[at])
-    return [found[b : b + max(0, s - WINDOW + 1)] for b, s in zip(begin, size)]
+    index = FMIndex(text, int(size.max(initial=1)))
+    statistic, interval = matching_statistics(index, text, (begin + size - 1)[by_size], size[by_size])
+    at = np.flatnonzero(statistic)
+    later = np.zeros(len(text), bool)
+    if len(at):  # of the places reported for an interval, all but the earliest
+        at = at[np.lexsort((place[at], interval[at]))]
+        later[at[1:]] = interval[at[1:]] == interval[at[:-1]]
+    return [later[b : b + max(0, s - WINDOW + 1)] for b, s in zip(begin, size)]
 
 
 def _in_shards(regions: DataFrame) -> DataFrame:
@@ -299,12 +357,12 @@ def repeated_intervals(rows: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, kept_text, n_words, n_removed and removed (start and number of words of each removed interval)."""
     rows = id_and_text(docs)
-    twice = not rows.groupBy("doc_id").count().where("count > 1").isEmpty()
+    twice = not rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
     if twice:  # rows of one doc_id are told apart
         rows = rows.withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
-        ids = table(rows.select("doc_id", "mark").distinct().orderBy("doc_id", "mark").withColumn("doc", F.monotonically_increasing_id()), "ids")
-        rows = table(rows.join(ids, (rows["doc_id"].eqNullSafe(ids["doc_id"])) & (rows["mark"] == ids["mark"])).select(rows["doc_id"], "doc", "text"), "rows")
-        unique = rows.dropDuplicates(["doc"])
+        ids = table(rows.where("doc_id is not null").select("doc_id", "mark").distinct().orderBy("doc_id", "mark").withColumn("doc", F.monotonically_increasing_id()), "ids")
+        rows = table(rows.join(ids, (rows["doc_id"] == ids["doc_id"]) & (rows["mark"] == ids["mark"]), "left").select(rows["doc_id"], "doc", "text"), "rows")
+        unique = rows.where("doc is not null").dropDuplicates(["doc"])
     else:
         rows = unique = rows.withColumn("doc", F.col("doc_id"))
     found = repeated_intervals(unique.select("doc", "text").where("doc is not null"))

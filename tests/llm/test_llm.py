@@ -252,10 +252,67 @@ def test_passages_of_repeated_ids(spark):
     assert len(got) == 4 and got[-1] == (2, 30, 30)
 
 
+def test_passages_of_rows_without_id(spark):
+    one = " ".join(map(str, range(60)))
+    rows_ = [(None, one), (1, one), (None, one), (2, one + " x")]
+    for more in ([], [(7, "other"), (7, "words")]):  # whatever else the table holds
+        df = spark.createDataFrame(rows_ + more, "doc_id long, text string")
+        got = sorted((r.doc_id or 0, r.n_removed) for r in substring_dedup.dedup(df).collect() if r.doc_id != 7)
+        assert got == [(0, 0), (0, 0), (1, 0), (2, 60)]
+
+
+def random_regions(seed):
+    r = random.Random(seed)
+    base = [f"w{r.randint(0, 9)}" for _ in range(300)]
+    out = []
+    for _ in range(30):
+        a = r.randint(0, 200)
+        w = base[a : a + r.randint(20, 83)]
+        for _ in range(r.randint(0, 2)):
+            w[r.randrange(len(w))] = f"x{r.randint(0, 2)}"
+        out.append(w)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_matching_statistics(seed):
+    """Against brute force: the longest run of words from each place on that occurs at another place."""
+    regions = random_regions(seed)
+    names = {w: i + 1 for i, w in enumerate(sorted({w for g in regions for w in g}))}
+    text = np.array([x for g in regions for x in [*[names[w] for w in g], 0]])
+    size = np.array([len(g) for g in regions])
+    begin = np.cumsum(size + 1) - size - 1
+    by_size = np.argsort(-size, kind="stable")
+    index = substring_dedup.FMIndex(text, int(size.max()))
+    got, interval = substring_dedup.matching_statistics(index, text, (begin + size - 1)[by_size], size[by_size])
+    runs = Counter()
+    for g in regions:
+        for i in range(len(g)):
+            for n in range(20, len(g) - i + 1):
+                runs[tuple(g[i : i + n])] += 1
+    groups = {}
+    for b, g in zip(begin, regions):
+        for i in range(len(g)):
+            longest = max((n for n in range(20, len(g) - i + 1) if runs[tuple(g[i : i + n])] > 1), default=0)
+            assert got[b + i] == longest
+            if longest:
+                groups.setdefault(tuple(g[i : i + 20]), set()).add(int(interval[b + i]))
+    assert groups and all(len(x) == 1 for x in groups.values()) and len({min(x) for x in groups.values()}) == len(groups)
+
+
+def test_the_search_decides(spark, monkeypatch):
+    """With a search that finds nothing, nothing but copies of whole regions is removed."""
+    texts = passage_texts()
+    own = brute_passages(texts)
+    monkeypatch.setattr(substring_dedup.FMIndex, "extend", lambda self, lo, hi, symbol: (lo, np.minimum(lo + 1, hi)))
+    found = substring_dedup.repeats(__import__("pyarrow").array([" ".join(g) for g in random_regions(1)]), np.arange(30) * 1000)
+    assert not any(x.any() for x in found) and any(n for _, n, _ in own.values())
+
+
 def test_fm_index_counts():
     r = random.Random(2)
     text = np.array([r.randint(1, 4) for _ in range(300)] + [0])
-    index = substring_dedup.FMIndex(text)
+    index = substring_dedup.FMIndex(text, 20)
     for n in (1, 2, 5, 9):
         for _ in range(20):
             p = [r.randint(1, 4) for _ in range(n)]
@@ -263,6 +320,8 @@ def test_fm_index_counts():
             for c in reversed(p):
                 lo, hi = index.extend(lo, hi, np.array([c]))
             assert hi[0] - lo[0] == sum(list(text[k : k + n]) == p for k in range(len(text) - n + 1))
+            if hi[0] > lo[0]:
+                assert tuple(int(x[0]) for x in index.cut(lo, n)) == (lo[0], hi[0])
 
 
 # ---- 4: tool calls ----
