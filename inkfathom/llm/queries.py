@@ -73,17 +73,30 @@ FROM judged GROUP BY doc_id
 
 _OP4 = """
 WITH calls AS (
-  SELECT conv_id, 'turn-' || turn AS call_id, min({'turn': turn, 'message': coalesce(text, '')}) AS one, count(*) AS n_copies
-  FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
+  SELECT conv_id, turn, coalesce(text, '') AS message, count(*) AS n_copies FROM conversations WHERE role = 'user' GROUP BY ALL
 ), results AS (
-  SELECT conv_id, 'turn-' || (turn - 1) AS call_id, min(coalesce(text, '')) AS content, count(*) AS n_results
-  FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
+  SELECT conv_id, turn - 1 AS turn, coalesce(text, '') AS content, count(*) AS n_copies FROM conversations WHERE role = 'assistant' GROUP BY ALL
+), marked AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY CASE WHEN turn >= 2 THEN '{"after":{"$ref":"turn-' || (turn - 2) || '"},' ELSE '{' END || '"message":' || to_json(message)) AS place FROM calls WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+), firsts AS (SELECT * FROM marked WHERE place = 1), kept AS (
+  SELECT conv_id, turn, min(content) AS content, CAST(sum(n_copies) AS BIGINT) AS n_results FROM results WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
+), chained AS (
+  SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn % 2, island ORDER BY turn) - 1 AS INTEGER) AS level
+  FROM (SELECT conv_id, turn, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS island FROM firsts)
+), every AS (
+  SELECT conv_id, turn AS id, turn, message, n_copies, CASE WHEN place > 1 THEN 'repeat' WHEN k.content IS NULL THEN 'unanswered' ELSE 'answered' END AS status, CASE WHEN place = 1 THEN level END AS level, CASE WHEN place = 1 THEN k.content END AS content, CASE WHEN place = 1 THEN coalesce(n_results, 0) ELSE 0 END AS n_results
+  FROM marked LEFT JOIN kept k USING (conv_id, turn) LEFT JOIN chained USING (conv_id, turn)
+  UNION ALL SELECT conv_id, turn, turn, message, n_copies, 'no id', NULL, NULL, 0 FROM calls WHERE conv_id IS NULL OR turn IS NULL
+  UNION ALL SELECT r.conv_id, r.turn, NULL, NULL, r.n_copies, 'further result', NULL, r.content, r.n_copies FROM results r SEMI JOIN firsts f ON f.conv_id = r.conv_id AND f.turn = r.turn JOIN kept k ON k.conv_id = r.conv_id AND k.turn = r.turn WHERE r.content <> k.content
+  UNION ALL SELECT r.conv_id, r.turn, NULL, NULL, r.n_copies, 'result without call', NULL, r.content, r.n_copies FROM results r ANTI JOIN firsts f ON f.conv_id = r.conv_id AND f.turn = r.turn WHERE r.conv_id IS NOT NULL AND r.turn IS NOT NULL
+  UNION ALL SELECT conv_id, turn, NULL, NULL, n_copies, 'no id', NULL, content, n_copies FROM results WHERE conv_id IS NULL OR turn IS NULL
 )
-SELECT conv_id, call_id, one.turn AS turn, 'respond' AS name, n_copies, 0 AS level, n_results IS NOT NULL AS answered, coalesce(n_results, 0) AS n_results,
-       length(one.message) BETWEEN 1 AND 100000 AND one.turn >= 0 AS valid,
-       concat_ws('; ', CASE WHEN length(one.message) < 1 THEN 'message: too short' END, CASE WHEN length(one.message) > 100000 THEN 'message: too long' END, CASE WHEN one.turn < 0 THEN 'turn: too small' END) AS errors,
-       '{"arguments":{"message":' || to_json(one.message) || ',"turn":' || one.turn || '},"content":' || coalesce(to_json(content), 'null') || ',"id":"' || call_id || '","name":"respond"}' AS line
-FROM calls LEFT JOIN results USING (conv_id, call_id)
+SELECT conv_id, 'turn-' || id AS call_id, turn, CASE WHEN message IS NOT NULL THEN 'respond' END AS name, n_copies, status, level, status = 'answered' AS answered, n_results,
+       coalesce(length(message) BETWEEN 1 AND 100000 AND turn >= 0, false) AS valid,
+       CASE WHEN message IS NULL THEN 'no call' ELSE concat_ws('; ', CASE WHEN length(message) < 1 THEN 'message: too short' END, CASE WHEN length(message) > 100000 THEN 'message: too long' END, CASE WHEN turn IS NULL THEN 'turn: missing' WHEN turn < 0 THEN 'turn: too small' END) END AS errors,
+       '{"arguments":' || CASE WHEN message IS NULL THEN 'null' ELSE '{' || CASE WHEN turn >= 2 THEN '"after":{"$ref":"turn-' || (turn - 2) || '"},' ELSE '' END || '"message":' || to_json(message) || coalesce(',"turn":' || turn, '') || '}' END
+       || ',"content":' || coalesce(to_json(content), 'null') || ',"id":' || coalesce('"turn-' || id || '"', 'null') || ',"name":' || CASE WHEN message IS NULL THEN 'null' ELSE '"respond"' END || '}' AS line
+FROM every
 """
 
 _OP3 = r"""

@@ -334,10 +334,15 @@ def test_calls_are_linked_ordered_and_checked(spark):
     c = spark.createDataFrame(calls, "conv_id long, call_id string, turn long, name string, arguments string")
     r = spark.createDataFrame(results, "conv_id long, call_id string, content string")
     schemas = {"add": {"x": {"required": True}, "y": {"type": "integer", "required": True}}}
-    got = {(x.conv_id, x.call_id): x for x in chat.link(c, r, schemas).collect()}
+    every = chat.link(c, r, schemas).collect()
+    assert sum(x.n_copies for x in every if x.errors != "no call") == len(calls) and len(every) == len(calls) + 2  # no call is lost, and no result
+    assert sorted((x.conv_id or 0, x.call_id or "", x.status) for x in every if x.status not in ("answered", "unanswered")) == [(0, "q", "no id"), (1, "a", "repeat"), (1, "b", "further result"), (2, "", "no id"), (9, "z", "result without call")]
+    again = next(x for x in every if x.status == "repeat")
+    assert again.turn == 9 and json.loads(again.line)["arguments"] == {"x": 9} and again.level is None
+    got = {(x.conv_id, x.call_id): x for x in every if x.status in ("answered", "unanswered")}
     assert {k: v.level for k, v in got.items()} == {(1, "a"): 0, (1, "b"): 1, (1, "c"): 2, (1, "d"): 0, (1, "e"): 0, (1, "f"): None, (1, "g"): None, (2, "a"): 0, (2, "n"): 0}
     a = got[1, "a"]
-    assert a.n_copies == 2 and a.valid and a.line == '{"arguments":{"x":1,"y":2},"content":"\\"3\\"","id":"a","name":"add"}'
+    assert a.n_copies == 1 and a.valid and a.line == '{"arguments":{"x":1,"y":2},"content":"\\"3\\"","id":"a","name":"add"}'
     assert got[1, "b"].n_results == 2 and json.loads(got[1, "b"].line)["content"] == "five"
     assert not got[1, "d"].valid and got[1, "e"].errors == "unknown tool" and got[2, "a"].errors == "y: missing; z: unknown" and not got[2, "n"].valid
 
@@ -345,10 +350,24 @@ def test_calls_are_linked_ordered_and_checked(spark):
 def test_calls_in_texts(spark):
     texts = [(1, 0, "user", "do"), (1, 1, "assistant", 'x <tool_call>{"id":"t1","name":"respond","arguments":{"message":"hi","turn":1}}</tool_call>'), (1, 2, "tool", '<tool_response>{"id":"t1","content":"done"}</tool_response>'), (1, 3, None, None), (None, 4, "user", "x")]
     df = spark.createDataFrame(texts, "conv_id long, turn long, role string, text string")
-    got = {r.call_id: r for r in chat.format_conversations(df).collect()}
+    got = {r.call_id: r for r in chat.format_conversations(df).collect() if r.conv_id}
     assert got["t1"].answered and got["t1"].valid and json.loads(got["t1"].line)["content"] == "done" and set(got) == {"t1", "turn-0"}
 
 
+def test_long_chains_of_calls(spark):
+    """A chain of a thousand, one that goes apart and together again, one behind a cycle, and equal calls."""
+    ref = lambda *x: json.dumps({"x": [{"$ref": y} for y in x]})
+    calls = [(1, f"c{i}", 2000 - i, "add", ref(f"c{i - 1}") if i else "{}") for i in range(1000)]
+    calls += [(2, f"d{i}", i, "add", ref(*[f"d{j}" for j in (i - 1, i - 2) if j >= 0])) for i in range(6)]
+    calls += [(3, "x", 1, "add", ref("y")), (3, "y", 2, "add", ref("x")), (3, "z", 3, "add", ref("y", "w")), (3, "w", 4, "add", "{}"), (3, "w", 4, "add", "{}"), (3, "v", 5, "add", ref("w", "nobody"))]
+    c = spark.createDataFrame(calls, "conv_id long, call_id string, turn long, name string, arguments string")
+    none = spark.createDataFrame([], "conv_id long, call_id string, content string")
+    got = chat.link(c, none, {"add": {}}).collect()
+    level = {(r.conv_id, r.call_id): r.level for r in got}
+    assert len(got) == 1011 and all(level[1, f"c{i}"] == i for i in range(1000)) and all(level[2, f"d{i}"] == i for i in range(6))
+    assert [level[3, x] for x in "xyzwv"] == [None, None, None, 0, 1] and {r.call_id: r.n_copies for r in got}["w"] == 2
+
+
 # ---- 5: transport streams ----
 @settings(max_examples=80, deadline=None)
 @given(st.binary(min_size=1, max_size=40_000))
