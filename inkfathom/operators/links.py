@@ -2,78 +2,74 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkfathom.functions.text import LINK, TRAILING, domain, host, normal_link, raw_host
 
-# Characters and groups of them that are taken for each other, and the limits of a correction.
-CONFUSIONS = {"I": "l", "|": "l i", "1": "l i", "l": "1 i", "i": "l", "q": "g", "g": "q", "0": "o", "o": "0", "O": "o 0", "rn": "m", "m": "rn", "vv": "w", "5": "s", "s": "5", "cl": "d"}
-MOST_EDITS, TRUSTED_RANK, BEATS_RAW, BEATS_NEXT = 2, 100_000, 100, 10
+# What is shown, and what it may stand for.
+CONFUSIONS = (
+    ("I", "l"), ("|", "l"), ("|", "i"), ("1", "l"), ("1", "i"), ("l", "1"), ("l", "i"), ("i", "l"), ("q", "g"), ("g", "q"), ("0", "o"), ("o", "0"), ("O", "o"), ("O", "0"),
+    ("rn", "m"), ("m", "rn"), ("vv", "w"), ("5", "s"), ("s", "5"), ("cl", "d"),
+)
+# The limits of a correction.
+TRUSTED_RANK, BEATS_RAW, BEATS_NEXT = 100_000, 100, 10
 HOST = r"^[a-z0-9](?:[a-z0-9-]*[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9-]*[a-z0-9])?)+$"
 WRAPPED = r"^[A-Za-z0-9\-._~:/?#\[\]@!$&'()*+,;=%]+$"
 
 
-def _wraps(url: str, line: str, box: tuple | None, below: tuple | None) -> bool:
-    """Whether a line goes on with a link that reached the end of the line before it."""
-    import re
+_ELLIPSIS = r"^(?:…|\.\.\.)"
+_TAIL = "[" + "".join("\\" + c for c in TRAILING) + "]+$"
+
+
+def _carried(lines: Column) -> Column:
+    """For each line, what it could carry on of a link that reached the end of the line before it: piece, whether it can at all, and whether it needs no joint there."""
+
+    def of(line: Column, i: Column) -> Column:
+        piece = F.regexp_replace(F.trim(F.coalesce(line["text"], F.lit(""))), "[<>|]+$", "")
+        before = F.get(lines, i - 1)
+        gap = line["y"] - (before["y"] + before["h"])
+        near = F.coalesce(gap.between(-0.5 * before["h"], 1.5 * before["h"]), F.lit(True))  # a missing box says nothing
+        fits = (F.length(piece) >= 2) & piece.rlike(WRAPPED) & piece.rlike("[A-Za-z]") & ~piece.rlike(r"(?i)^(https?://|www\.)") & near
+        return F.struct(piece.alias("piece"), fits.alias("fits"), piece.rlike("[/-]").alias("free"), line["conf"].alias("conf"))
+
+    return F.transform(lines, of)
+
+
+def _joined(raw: Column, conf: Column, cut: Column, after: Column) -> Column:
+    """A link at the end of its line with what the lines after it carry on."""
+    zero = F.struct(raw.alias("raw"), conf.alias("conf"), F.lit(0).alias("joined"), cut.alias("cut"), F.lit(True).alias("on"))
 
-    t = line.strip().rstrip("<>|")
-    if len(t) < 2 or not re.match(WRAPPED, t) or not re.search("[A-Za-z]", t) or re.match(r"(?i)https?://|www\.", t):
-        return False
-    if box and below:
-        gap, height = below[1] - (box[1] + box[3]), box[3]
-        if not -0.5 * height <= gap <= 1.5 * height:
-            return False
-    return t[0] in "/-" or url[-1] in "/-=?&_" or "/" in t or "-" in t
+    def step(a: Column, x: Column) -> Column:
+        on = a["on"] & ~a["cut"] & (a["raw"] != "") & x["fits"] & (x["free"] | a["raw"].rlike("[/=?&_-]$"))
+        more = F.struct(F.concat(a["raw"], F.regexp_replace(x["piece"], _TAIL, "")).alias("raw"), F.least(a["conf"], x["conf"]).alias("conf"), (a["joined"] + 1).alias("joined"), x["piece"].rlike(r"(?:…|\.\.\.)$").alias("cut"), F.lit(True).alias("on"))
+        return F.when(on, more).otherwise(F.struct(a["raw"].alias("raw"), a["conf"].alias("conf"), a["joined"].alias("joined"), a["cut"].alias("cut"), F.lit(False).alias("on")))
+
+    return F.aggregate(after, zero, step)
 
 
 def found_in_lines(lines: DataFrame) -> DataFrame:
     """id, seq, raw, url, confidence, joined, truncated of the links of items, each once by its normal form.
 
-    lines: id, line_no, text, conf, x, y, w, h (a box may be null). Links are found line by line; only items with one that
-    reaches the end of its line need their lines in order, and only these go through Python.
+    lines: id, line_no, text, conf, x, y, w, h (a box may be null). Links are found line by line; one that reaches the end of
+    its line goes on with the lines below that can carry it. Expressions over an item's lines alone.
     """
-    import re
-
-    pattern = re.compile(LINK)
-
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for item, rows in zip(f["id"], f["lines"]):
-                seq = 0
-                for i, row in enumerate(rows):
-                    text = row["text"] or ""
-                    for m in pattern.finditer(text):
-                        raw, conf = m[0], row["conf"]
-                        if "@" in raw.split("//")[-1].split("/")[0]:
-                            continue
-                        cut = raw.endswith(("…", "...")) or text[m.end() :].startswith(("…", "..."))
-                        raw, joined, j = raw.rstrip(TRAILING), 0, i
-                        if not text[m.end() :].strip():
-                            while not cut and raw and j + 1 < len(rows):
-                                box = lambda r: None if r["x"] is None else (r["x"], r["y"], r["w"], r["h"])
-                                if not _wraps(raw, rows[j + 1]["text"] or "", box(rows[j]), box(rows[j + 1])):
-                                    break
-                                piece = rows[j + 1]["text"].strip().rstrip("<>|")
-                                cut = piece.endswith(("…", "..."))
-                                raw, conf = raw + piece.rstrip(TRAILING), min(conf, rows[j + 1]["conf"])
-                                joined, j = joined + 1, j + 1
-                        out.append((item, seq, raw, conf, joined, cut))
-                        seq += 1
-            yield pd.DataFrame(out, columns=["id", "seq", "raw", "conf", "joined", "truncated"])
-
-    row = F.struct("line_no", "text", "conf", "x", "y", "w", "h")
+    row = F.struct("line_no", "text", F.col("conf").cast("double").alias("conf"), "x", "y", "w", "h")
     # A line without dot and scheme can only carry a link on: items without any other line have none.
-    ordered = lines.groupBy("id").agg(F.array_sort(F.collect_list(row)).alias("lines"), F.max(F.contains("text", F.lit("."))).alias("any")).where("any").select("id", "lines")
-    kind = lines.schema["id"].dataType.simpleString()
-    raw = ordered.mapInPandas(walk, f"id {kind}, seq int, raw string, conf double, joined int, truncated boolean")
-    return first_by_url(raw.withColumn("url", normal_link(F.col("raw"))).where(host(F.col("url")) != "")).select("id", "seq", "raw", "url", F.bround("conf", 2).alias("confidence"), "joined", "truncated")
+    whole = lines.groupBy("id").agg(F.array_sort(F.collect_list(row)).alias("lines"), F.max(F.contains("text", F.lit("."))).alias("any")).where("any")
+    whole = whole.withColumn("carried", _carried(F.col("lines")))
+    each = whole.select("id", "carried", F.posexplode("lines").alias("i", "line")).withColumn("text", F.coalesce("line.text", F.lit("")))
+    each = each.withColumn("found", F.regexp_extract_all("text", F.lit(LINK), F.lit(0))).where(F.size("found") > 0)
+    each = each.withColumn("between", F.split("text", LINK, -1)).select("id", "carried", "i", "line", "between", F.posexplode("found").alias("k", "m"))
+    each = each.where(~F.contains(F.substring_index(F.substring_index("m", "//", -1), "/", 1), F.lit("@")))
+    rest = F.element_at("between", F.col("k") + 2)
+    raw, cut = F.regexp_replace("m", _TAIL, ""), F.col("m").rlike(r"(?:…|\.\.\.)$") | rest.rlike(_ELLIPSIS)
+    at_end = (F.trim(rest) == "") & (F.col("k") + 2 == F.size("between"))
+    after = F.when(at_end, F.slice("carried", F.col("i") + 2, F.size("carried"))).otherwise(F.slice("carried", 1, 0))
+    out = each.select("id", F.struct("i", "k").alias("seq"), _joined(raw, F.col("line.conf"), cut, after).alias("j"))
+    out = out.select("id", "seq", "j.raw", "j.conf", "j.joined", F.col("j.cut").alias("truncated"))
+    numbered = out.withColumn("seq", F.row_number().over(Window.partitionBy("id").orderBy("seq")) - 1)
+    return first_by_url(numbered.withColumn("url", normal_link(F.col("raw"))).where(host(F.col("url")) != "")).select("id", "seq", "raw", "url", F.bround("conf", 2).alias("confidence"), "joined", "truncated")
 
 
 def first_by_url(found: DataFrame) -> DataFrame:
@@ -116,34 +112,20 @@ def registrable(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
     return best.select("host", F.when(n > suffix, F.array_join(F.slice("labels", n - suffix, suffix + 1), ".")).alias("registrable"))
 
 
-def look_alikes(raw: str) -> dict[str, int]:
-    """Hosts that a raw host may stand for, with the number of replacements."""
-    import re
-
-    sites = [(i, len(k), v.split()) for i in range(len(raw)) for k, v in CONFUSIONS.items() if raw.startswith(k, i)]
-    out: dict[str, int] = {}
-    for edits in range(1, MOST_EDITS + 1):
-        for chosen in combinations(sites, edits):
-            if any(a[0] + a[1] > b[0] for a, b in zip(chosen, chosen[1:])):
-                continue
-            made, at = [""], 0
-            for i, n, into in chosen:
-                made, at = [m + raw[at:i] + x for m in made for x in into], i + n
-            for m in made:
-                h = (m + raw[at:]).lower()
-                if h != raw.lower() and re.match(HOST, h):
-                    out.setdefault(h, edits)
-    return out
-
-
 def candidates(hosts: DataFrame) -> DataFrame:
-    """raw, candidate, edits of distinct raw hosts."""
-
-    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame([(r, c, e) for r in f["raw"] for c, e in look_alikes(r).items()], columns=["raw", "candidate", "edits"])
-
-    return hosts.select("raw").distinct().mapInPandas(make, "raw string, candidate string, edits int")
+    """raw, candidate, edits of distinct raw hosts: what one or two exchanges of CONFUSIONS in different places make of them, by the fewest."""
+    table_ = F.array(*[F.struct(F.lit(shown).alias("shown"), F.lit(meant).alias("meant")) for shown, meant in CONFUSIONS])
+    raw = hosts.select("raw").distinct().where(F.length("raw") > 0)
+    at = lambda i: F.transform(F.filter(table_, lambda c: F.substring(F.col("raw"), i, F.length(c["shown"])) == c["shown"]), lambda c: F.struct(i.alias("at"), (i + F.length(c["shown"])).alias("to"), c["meant"].alias("meant")))
+    raw = raw.withColumn("places", F.flatten(F.transform(F.sequence(F.lit(1), F.length("raw")), at)))
+    one = raw.select("raw", "places", F.explode("places").alias("a"))
+    two = one.select("raw", "a", F.explode(F.filter("places", lambda p: p["at"] >= F.col("a.to"))).alias("b"))
+    part = lambda a, b: F.substring(F.col("raw"), a, b - a)
+    end = F.length("raw") + 1
+    single = one.select("raw", F.concat(part(F.lit(1), F.col("a.at")), "a.meant", part(F.col("a.to"), end)).alias("candidate"), F.lit(1).alias("edits"))
+    double = two.select("raw", F.concat(part(F.lit(1), F.col("a.at")), "a.meant", part(F.col("a.to"), F.col("b.at")), "b.meant", part(F.col("b.to"), end)).alias("candidate"), F.lit(2).alias("edits"))
+    made = single.union(double).withColumn("candidate", F.lower("candidate")).where((F.col("candidate") != F.lower("raw")) & F.col("candidate").rlike(HOST))
+    return made.groupBy("raw", "candidate").agg(F.min("edits").alias("edits"))
 
 
 def resolve(hosts: DataFrame, ranks: DataFrame, suffixes: DataFrame, tlds: DataFrame, evidence: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -212,8 +194,11 @@ def cross_referenced(urls: DataFrame, coded: DataFrame) -> DataFrame:
 def suggested(urls: DataFrame) -> DataFrame:
     """domain, urls, notes, held, examples of domains without verification, those that hold most first. urls: id, seq, raw, registrable, verified_by, flag, state."""
     open_ = urls.where("verified_by = 'none' and flag is null")
-    three = F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("id", "seq", "raw"))), lambda x: x["raw"])), 1, 3)
-    out = open_.groupBy(F.col("registrable").alias("domain")).agg(F.count("*").alias("urls"), F.countDistinct("id").alias("notes"), F.countDistinct(F.when(F.col("state") == "held", F.col("id"))).alias("held"), three.alias("examples"))
+    once = open_.groupBy("registrable", "raw").agg(F.min(F.struct("id", "seq")).alias("first"))
+    shown = once.withColumn("_n", F.row_number().over(Window.partitionBy("registrable").orderBy("first"))).where("_n <= 3")
+    shown = shown.groupBy("registrable").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "raw"))), lambda x: x["raw"]).alias("examples"))
+    out = open_.groupBy("registrable").agg(F.count("*").alias("urls"), F.countDistinct("id").alias("notes"), F.countDistinct(F.when(F.col("state") == "held", F.col("id"))).alias("held"))
+    out = out.join(shown, out["registrable"].eqNullSafe(shown["registrable"])).select(out["registrable"].alias("domain"), "urls", "notes", "held", "examples")
     return out.orderBy(F.desc("held"), F.desc("notes"), "domain")
 
 

@@ -293,12 +293,14 @@ def page_lines(a, b):
 
 
 def test_scroll_links():
-    assert sequences.link(page_lines(0, 12), page_lines(8, 20)) == (4, 12)
-    assert sequences.link(page_lines(8, 20), page_lines(0, 12)) is None
+    added = lambda a, b: sequences.Overlap(a, b).continues()
+    assert added(page_lines(0, 12), page_lines(8, 20)) == (4, 12)
+    assert added(page_lines(8, 20), page_lines(0, 12)) is None and added([], ["a"]) is None and added(["a"], []) is None
     head, bar = ["my network"], ["home", "post", "jobs", "news", "more"]
-    assert sequences.link(head + page_lines(0, 12) + bar, head + page_lines(8, 20) + bar) == (5, 13)
-    assert sequences.fixed_parts(["a", "x", "z"], ["a", "y", "z"]) == (1, 1)
-    assert sequences.same("thequickbrownfoxjumps", "thequickbrownfoxjump") and not sequences.same("paragraphnumber00", "paragraphnumber09")
+    assert added(head + page_lines(0, 12) + bar, head + page_lines(8, 20) + bar) == (5, 13)
+    frame = sequences.Overlap(["a", "x", "z"], ["a", "y", "z"])
+    assert (frame.top, frame.bottom) == (1, 1)
+    assert sequences.alike(["thequickbrownfoxjumps", "paragraphnumber00"], ["thequickbrownfoxjump", "paragraphnumber09"]).tolist() == [[True, False], [False, False]]
 
 
 def test_sequences(spark):
@@ -425,9 +427,18 @@ def test_pictures(spark):
     assert column(spark, [[1, 1, 90]], pixels.grey_levels, "array<int>") == [2] and column(spark, [[1, 90, 90]], pixels.colourful, "array<int>") == [0.6667]
 
 
-def test_layout():
+def test_layout(spark):
+    def arrange(boxes):
+        df = spark.createDataFrame([("i", k, b["text"], b["x"], b["y"], b["w"], b["h"]) for k, b in enumerate(boxes)], "id string, line_no int, text string, x double, y double, w double, h double")
+        return [r.text for r in layout.program_lines(df).orderBy("line_no").collect()]
+
     box = lambda t, x, y: {"text": t, "x": x, "y": y, "w": 0.01 * len(t), "h": 0.015}
     rows = [box("def f(a):", 0.1, 0.1), box("return", 0.14, 0.12), box("a + b", 0.22, 0.121), box("# done", 0.1, 0.14)]
-    assert layout.arrange(rows) == ["def f(a):", "    return  a + b", "# done"]
-    assert layout.arrange([box(str(n), 0.02, r["y"]) for n, r in enumerate(rows[:2] + rows[3:], 7)] + rows) == ["def f(a):", "    return  a + b", "# done"]
-    assert layout.arrange([box("a", 0.1, 0.1), box("b", 0.2, 0.1)]) == ["a b"] and layout.arrange([]) == []
+    assert arrange(rows) == ["def f(a):", "    return  a + b", "# done"]
+    assert arrange([box(str(n), 0.02, r["y"]) for n, r in enumerate(rows[:2] + rows[3:], 7)] + rows) == ["def f(a):", "    return  a + b", "# done"]
+    assert arrange([box("a", 0.1, 0.1), box("b", 0.2, 0.1)]) == ["a b"] and arrange([]) == []
+
+
+def test_look_alikes(spark):
+    got = {(r.raw, r.candidate): r.edits for r in links.candidates(spark.createDataFrame([("docs.qoogle.com",), ("rnvv.co",), ("a",)], "raw string")).collect()}
+    assert got["docs.qoogle.com", "docs.google.com"] == 1 and got["rnvv.co", "mw.co"] == 2 and got["rnvv.co", "rnw.co"] == 1 and not any(r == "a" for r, _ in got)
