@@ -127,6 +127,13 @@ def _scrubbed(text: Column) -> tuple[Column, Column]:
     return F.regexp_replace(text, ASSIGNED_BARE, "$1[SECRET:assigned]"), F.array_compact(F.array(*kinds))
 
 
-def redact_code(kind: Column, payload: Column, clean: Column) -> Column:
-    """What may be shown of a decoded code: a payment whole hidden, contacts and texts as redacted."""
-    return F.when(kind == "payment", "[PAYMENT QR]").when(kind.isin("contact", "mailto", "tel", "smsto", "geo", "text"), clean).otherwise(payload)
+def redact_code(kind: Column, payload: Column, clean: Column, payment: Column) -> Column:
+    """struct(payload, merchant_name, merchant_city, amount): what may be shown of a decoded code.
+
+    A payment's payload and payee are hidden, its city and amount are not; contacts, numbers and addresses of mail are as
+    redacted; every other code, places and plain texts among them, is shown as it is. payment: payments.payment(payload).
+    """
+    pays = kind == "payment"
+    shown = F.when(pays, F.lit("[PAYMENT QR]")).when(kind.isin("contact", "tel", "smsto", "mailto"), clean).otherwise(payload)
+    own = lambda f: F.when(pays & (payment[f] != ""), payment[f])
+    return F.struct(shown.alias("payload"), F.when(own("merchant_name").isNotNull(), F.lit("[NAME]")).alias("merchant_name"), own("merchant_city").alias("merchant_city"), own("amount").alias("amount"))

@@ -1,21 +1,15 @@
 """Words, markers and constants that results depend on."""
 
 # Words that are never key terms.
-STOP_ENGLISH = """
+STOP_WORDS = """
 about above after again against also among another around because been before being below between
 both cannot could does doing down during each even every from further have having here into itself
 just like many more most much must never only other ours over same should some still such than that
 their them then there these they this those through under until very were what when where which while
 whom will with within without would your yours you're we're it's don't can't isn't
-""".split()
-# The same, Malay.
-STOP_MALAY = """
 adalah akan atau bagi bahawa banyak boleh dalam dari daripada dengan dia hanya ialah itu jika juga
 kami kamu kepada kerana lagi lebih mana masih mereka oleh pada para saja sahaja sama sangat satu
 sebagai sedang sejak selepas semua sini sudah supaya tetapi untuk yang ingin anda saya kita ini
-""".split()
-# The same, words of interfaces and calendars.
-STOP_INTERFACE = """
 follow following followers like likes comment comments share shares reply replies send save saved
 view views more less show hide open close back next home search menu settings notifications message
 messages chat online typing today yesterday tomorrow edit delete copy report post posts story stories
@@ -23,7 +17,6 @@ reels live video photo photos image images link links download upload cancel don
 www com net org please times files volume thanks thank monday tuesday wednesday thursday friday saturday sunday january february march april
 june july august september october november december
 """.split()
-STOP_WORDS = sorted({*STOP_ENGLISH, *STOP_MALAY, *STOP_INTERFACE})
 
 # Given names that announce a person's name.
 GIVEN_NAMES = """
@@ -31,8 +24,8 @@ Muhammad Muhamad Mohammad Mohamad Mohammed Mohd Muhd Ahmad Abdul Abd Nur Nurul N
 Sharifah Puteri Megat Raja Nurin Nurfarah Aisyah Aishah Fatimah Khairul Hafiz Hafizah Amirul Aiman Izzat Syafiq Farah
 Nabila Aina Balqis
 """.split()
-# Forms of address, those of two words first.
-HONORIFICS = [r"Tan\s+Sri", r"Puan\s+Sri", r"Toh\s+Puan", r"Datuk\s+Seri", r"Dato'?\s+Sri", "Mr", "Ms", "Mrs", "Dr", "Ir", "Tun", "Datuk", "Dato'?", "Datin", "Encik", "Puan", "Cik", "Tuan", "Haji", "Hajah", "Prof"]
+# Forms of address.
+HONORIFICS = ["Mr", "Ms", "Mrs", "Dr", "Ir", "Tun", r"Tan\s+Sri", r"Puan\s+Sri", r"Toh\s+Puan", r"Datuk\s+Seri", r"Dato'?\s+Sri", "Datuk", "Dato'?", "Datin", "Encik", "Puan", "Cik", "Tuan", "Haji", "Hajah", "Prof"]
 # States.
 STATES = ["Johor", "Kedah", "Kelantan", "Melaka", "Malacca", "Negeri Sembilan", "Pahang", "Perak", "Perlis", "Pulau Pinang", "Penang", "Sabah", "Sarawak", "Selangor", "Terengganu", "Kuala Lumpur", "Putrajaya", "Labuan", "Wilayah Persekutuan"]
 # Street words.

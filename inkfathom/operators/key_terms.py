@@ -18,9 +18,10 @@ def _counts(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def redacted_terms(rows: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Terms of which redaction takes out an occurrence anywhere: they are no terms anywhere."""
-    clean = redact(rows, text_col, "_clean", "_n").select(id_col, "_clean")
-    after = _counts(clean, id_col, "_clean").withColumnRenamed("tf", "left")
-    lost = _counts(rows, id_col, text_col).join(after, [id_col, "term"], "left").where(F.col("tf") > F.coalesce("left", F.lit(0)))
+    clean = redact(rows.select(id_col, text_col), text_col, "_clean", "_n").where("_n > 0")  # most texts have nothing to redact
+    signed = lambda c, n: F.transform(key_words(F.col(c)), lambda t: F.struct(t.alias("term"), F.lit(n).alias("n")))
+    both = clean.select(F.monotonically_increasing_id().alias("_row"), F.concat(signed(text_col, 1), signed("_clean", -1)).alias("t")).select("_row", F.explode("t").alias("t"))
+    lost = both.groupBy("_row", "t.term").agg(F.sum("t.n").alias("n")).where("n > 0")
     given = rows.sparkSession.createDataFrame([(g.lower(),) for g in GIVEN_NAMES], "term string")
     return lost.select("term").union(given).distinct()
 

@@ -202,5 +202,23 @@ def suggested(urls: DataFrame) -> DataFrame:
     return out.orderBy(F.desc("held"), F.desc("notes"), "domain")
 
 
+def allow_targets(given: DataFrame, suffixes: DataFrame, tlds: DataFrame) -> DataFrame:
+    """given, domain, error of what a user (column given) wants to allow: the registrable domain, or why there is none.
+
+    A scheme and a path are taken off. Without a suffix list nothing is allowed, for a host's domain is then not known.
+    """
+    name = F.lower(F.trim("given"))
+    for scheme in ("https://", "http://"):
+        name = F.when(name.startswith(scheme), F.substring(name, len(scheme) + 1, 1 << 30)).otherwise(name)
+    asked = given.select("given").distinct().withColumn("host", F.substring_index(name, "/", 1))
+    found = registrable(asked.select("host"), suffixes)
+    top = tlds.select(F.lower("tld").alias("tld")).distinct().withColumn("real", F.lit(True))
+    out = asked.join(found, "host").withColumn("tld", F.substring_index("host", ".", -1)).join(top, "tld", "left")
+    known = suffixes.agg((F.count("*") > 0).alias("listed"))  # one row
+    error = F.when(~F.col("listed"), "no suffix list").when(~F.col("host").rlike(HOST), "not a domain name").when(F.col("real").isNull(), "not a real top-level domain").when(F.col("registrable").isNull(), "a public suffix, not a site")
+    out = out.join(F.broadcast(known)).withColumn("error", error)
+    return out.select("given", F.when(F.col("error").isNull(), F.col("registrable")).alias("domain"), "error")
+
+
 def linkable(verified_by: Column, flag: Column) -> Column:
     return verified_by.isin("qr", "crossref", "known", "allowed") & flag.isNull()

@@ -54,6 +54,48 @@ def cache_misses(asked: DataFrame, cache: DataFrame) -> DataFrame:
     return asked.join(cache, ["id", "question", "model"], "left_anti")
 
 
+def with_texts(items: DataFrame, texts: DataFrame) -> DataFrame:
+    """Items with the text of each, those without one included."""
+    return items.join(texts.select("id", "text"), "id", "left")
+
+
+def parsed(rows: DataFrame, json: str, schema: str) -> DataFrame:
+    """Rows whose record is JSON, with its fields as columns in its place."""
+    return rows.withColumn("_r", F.from_json(json, schema)).where(F.col(json).isNotNull() & F.col("_r").isNotNull()).select(*[c for c in rows.columns if c != json], "_r.*")
+
+
+# Who may set a kind in a note.
+WRITERS = ("llm", "user")
+
+
+def overridden(items: DataFrame, notes: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Items with what their notes (id, kind, decided_by, evidence) say: set_kind, set_by, set_why, and legacy_topic where a caller's kind is none of today's."""
+    n = notes.select("id", F.col("kind").alias("_k"), F.col("decided_by").alias("_by"), F.col("evidence").alias("_e"))
+    out = items.join(n, "id", "left").withColumn("_set", F.col("_by").isin(*WRITERS)).withColumn("_now", F.col("_k").isin(*kinds))
+    real, why = F.col("_set") & F.col("_now"), F.concat(F.lit("set by "), "_by", F.when(F.col("_e") != "", F.concat(F.lit(", quoting '"), "_e", F.lit("'"))).otherwise(""))
+    legacy = F.when(F.col("_set") & ~F.col("_now") & ~F.col("_k").isin("", "uncategorized"), F.col("_k"))
+    return out.withColumns({"set_kind": F.when(real, F.col("_k")), "set_by": F.when(real, F.col("_by")), "set_why": F.when(real, why), "legacy_topic": legacy}).drop("_k", "_by", "_e", "_set", "_now")
+
+
+def migrated_topics(added: Column, legacy: Column) -> Column:
+    """Topics a user added, with a kind of old times as one more."""
+    none = F.array().cast("array<string>")
+    return F.array_sort(F.array_distinct(F.concat(F.coalesce(added, none), F.when(legacy.isNotNull(), F.array(legacy)).otherwise(none))))
+
+
+def copies_to_quarantine(items: DataFrame) -> DataFrame:
+    """id, number, path of the copies (array of path, state, restored_at) that go once an item's file has left its source; restored ones stay."""
+    gone = items.where("source_state <> 'present'").select("id", F.posexplode("copies").alias("k", "c"))
+    return gone.where((F.col("c.state") == "present") & F.col("c.restored_at").isNull()).select("id", (F.col("k") + 1).alias("number"), F.col("c.path").alias("path"))
+
+
+def files_of(items: DataFrame) -> DataFrame:
+    """id, path of every file of an item once: its note, its image where it lies now, its copies where they lie."""
+    image = F.coalesce("stored_path", F.when(F.col("source_state") == "present", F.col("source_path")))
+    copies = F.transform(F.coalesce("copies", F.expr("cast(array() as array<struct<path:string,state:string,restored_at:string,stored_path:string>>)")), lambda c: F.when(c["state"] == "quarantined", c["stored_path"]).when(c["state"] == "present", c["path"]))
+    return items.select("id", F.explode(F.array_distinct(F.filter(F.concat(F.array("note_path", image), copies), lambda p: p != ""))).alias("path"))
+
+
 # ---- journals: rows (journal, seq, body) where body is canonical JSON ----
 
 

@@ -1,7 +1,7 @@
 """Rules as data, compiled to column expressions that also say why they match.
 
 A rule names apps (package prefixes), qr_types, domains (suffixes), text patterns (text_min distinct ones), code_langs
-("*" is any), mode any or all, and patterns that must match also. Input columns: app, qr_types, domains, text, lang.
+("*" is any), mode any or all, and patterns that must match also. Input columns: app, qr_types, domains, text, lang, and low as `prepared` gives it.
 """
 
 from __future__ import annotations
@@ -10,8 +10,9 @@ import re
 import tomllib
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkfathom.plans import default_rules
@@ -55,39 +56,41 @@ class Rule:
         return cls(name, raw.get("mode", "any"), domains=tuple(d.lower() for d in raw.get("domains", ())), text_min=int(raw.get("text_min", 1)), **many)
 
     def why(self) -> Column:
-        """The reason that the rule matches, null if it does not."""
-        quote = lambda s: F.concat(F.lit("'"), F.trim(s), F.lit("'"))
-        # A lower-case pattern over the lower-case text is several times as fast as one that minds no case.
+        """The reason that the rule matches, null if it does not. What is quoted is only looked for once the rule is known to match."""
+        quote = lambda p: F.concat(F.lit("'"), F.trim(F.regexp_extract("text", "(?iU)" + p, 0)), F.lit("'"))
+        # A lower-case pattern over the lower-case text (column low) is several times as fast as one that minds no case.
         plain = lambda p: not re.search(r"(?<!\\)[A-Z]", p)
-        has = lambda p: F.lower("text").rlike("(?U)" + p) if plain(p) else F.col("text").rlike("(?iU)" + p)
-        found = lambda p: F.when(has(p), F.regexp_extract("text", "(?iU)" + p, 0))
-        checks = []
+        has = lambda p: F.col("low").rlike("(?U)" + p) if plain(p) else F.col("text").rlike("(?iU)" + p)
+        checks: list[tuple[Column, Column]] = []
         if self.code_langs:
             hit = F.col("lang").isNotNull() if "*" in self.code_langs else F.col("lang").isin(*self.code_langs)
-            checks.append(F.when(hit, F.concat(F.lit("code "), "lang")))
+            checks.append((hit, F.concat(F.lit("code "), "lang")))
         if self.apps:
-            hit = F.lit(False)
-            for a in self.apps:
-                hit = hit | F.col("app").startswith(a)
-            checks.append(F.when(hit, F.concat(F.lit("app "), "app")))
+            checks.append((reduce(lambda c, a: c | F.col("app").startswith(a), self.apps, F.lit(False)), F.concat(F.lit("app "), "app")))
         if self.qr_types:
             hit = F.array_sort(F.array_intersect("qr_types", F.array(*[F.lit(x) for x in self.qr_types])))
-            checks.append(F.when(F.size(hit) > 0, F.concat(F.lit("QR "), F.array_join(hit, ", "))))
+            checks.append((F.size(hit) > 0, F.concat(F.lit("QR "), F.array_join(hit, ", "))))
         if self.domains:
             ends = F.array(*[F.lit(d) for d in self.domains])
             hit = F.array_sort(F.array_distinct(F.filter("domains", lambda d: F.exists(ends, lambda s: (d == s) | d.endswith(F.concat(F.lit("."), s))))))
-            checks.append(F.when(F.size(hit) > 0, F.concat(F.lit("domain "), F.array_join(hit, ", "))))
+            checks.append((F.size(hit) > 0, F.concat(F.lit("domain "), F.array_join(hit, ", "))))
         if self.text:
-            texts = F.array_compact(F.array(*[found(p) for p in self.text]))
-            checks.append(F.when(F.size(texts) >= self.text_min, F.concat(F.lit("text "), F.array_join(F.transform(F.slice(texts, 1, 3), quote), ", "))))
+            enough = reduce(lambda c, p: c | has(p), self.text, F.lit(False)) if self.text_min == 1 else reduce(lambda c, p: c + has(p).cast("int"), self.text, F.lit(0)) >= self.text_min
+            quoted = F.array_compact(F.array(*[F.when(has(p), quote(p)) for p in self.text]))
+            checks.append((enough, F.concat(F.lit("text "), F.array_join(F.slice(quoted, 1, 3), ", "))))
         if not checks:
             return F.lit(None).cast("string")
-        right = F.array_compact(F.array(*checks))
-        ok = F.size(right) == len(checks) if self.mode == "all" else F.size(right) > 0
+        true = [F.coalesce(c, F.lit(False)) for c, _ in checks]
+        ok = reduce(lambda a, b: a & b if self.mode == "all" else a | b, true)
         for p in self.also:
             ok = ok & has(p)
-        more = [F.concat(F.lit("and "), quote(F.regexp_extract("text", "(?iU)" + p, 0))) for p in self.also]
-        return F.when(ok, F.array_join(F.concat(right, F.array(*more)) if more else right, "; "))
+        parts = [F.when(c, w) for c, (_, w) in zip(true, checks)] + [F.concat(F.lit("and "), quote(p)) for p in self.also]
+        return F.when(ok, F.array_join(F.array_compact(F.array(*parts)), "; "))
+
+
+def prepared(rows: DataFrame) -> DataFrame:
+    """Rows with the column low, the text in lower case, which rules read; once for all of them."""
+    return rows.withColumn("low", F.lower("text"))
 
 
 def load(toml: str | None = None) -> tuple[list[Rule], list[Rule]]:
@@ -98,9 +101,12 @@ def load(toml: str | None = None) -> tuple[list[Rule], list[Rule]]:
 
 
 def classify(rules: Iterable[Rule]) -> Column:
-    """struct(kind, why) of the first rule that matches; null if none does."""
-    whys = F.array(*[F.struct(F.lit(r.name).alias("kind"), r.why().alias("why")) for r in rules])
-    return F.get(F.filter(whys, lambda x: x["why"].isNotNull()), F.lit(0))
+    """struct(kind, why) of the first rule that matches, null if none does; rules behind it are not tried."""
+    def pair(r: Rule) -> Column:
+        named = F.filter(F.array(F.struct(F.lit(r.name).alias("kind"), r.why().alias("why"))), lambda x: x["why"].isNotNull())
+        return F.get(named, F.lit(0))
+
+    return F.coalesce(*[pair(r) for r in rules])
 
 
 def topics(rules: Iterable[Rule]) -> Column:
@@ -140,14 +146,20 @@ def final_topics(found: Column, added: Column, removed: Column) -> Column:
     return F.map_concat(kept, own)
 
 
-def suggestions(tagged, totals, least: int = 3):
-    """kind, value, topic, tags of rules that users' topics suggest.
+def suggestions(tagged: DataFrame, totals: DataFrame, least: int = 3, rules: Iterable[Rule] = ()) -> DataFrame:
+    """kind, value, topic, tags of rules that users' topics suggest and that rules do not give already.
 
-    tagged: id, domains, app, topic (one row for each topic a user added); totals: app, n. A domain needs `least` tags
+    tagged: domains, app, topic (one row for each topic a user added); totals: app, n. A domain needs `least` tags
     of one topic and none of another; an app five or more that agree and cover 60 % of its notes.
     """
     by_domain = tagged.select(F.explode("domains").alias("value"), "topic").groupBy("value").agg(F.count("*").alias("tags"), F.countDistinct("topic").alias("topics"), F.min("topic").alias("topic"))
     domains = by_domain.where((F.col("tags") >= least) & (F.col("topics") == 1)).select(F.lit("domain").alias("kind"), "value", "topic", "tags")
     by_app = tagged.where("app is not null").groupBy(F.col("app").alias("value")).agg(F.count("*").alias("tags"), F.countDistinct("topic").alias("topics"), F.min("topic").alias("topic"))
     apps = by_app.join(totals.select(F.col("app").alias("value"), "n"), "value").where((F.col("tags") >= max(least, 5)) & (F.col("topics") == 1) & (F.col("tags") / F.col("n") >= 0.6))
-    return domains.union(apps.select(F.lit("app").alias("kind"), "value", "topic", "tags"))
+    found = domains.union(apps.select(F.lit("app").alias("kind"), "value", "topic", "tags"))
+    rules = list(rules)
+    if not rules:
+        return found
+    none, domain = F.array().cast("array<string>"), F.col("kind") == "domain"  # what the rules say of the domain or the app alone
+    asked = prepared(found.withColumns({"app": F.when(~domain, F.col("value")), "domains": F.when(domain, F.array("value")).otherwise(none), "qr_types": none, "text": F.lit(""), "lang": F.lit(None).cast("string")}))
+    return asked.where(~F.coalesce(F.array_contains(F.map_keys(topics(rules)), F.col("topic")), F.lit(False))).select("kind", "value", "topic", "tags")

@@ -84,6 +84,34 @@ def page(hits: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
     return hits.orderBy("score", "id").offset(offset).limit(limit)
 
 
+def newest(rows: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
+    """Rows (id, captured_at) from the newest on, those without a time last, ties by id."""
+    return rows.orderBy(F.desc_nulls_last("captured_at"), "id").offset(offset).limit(limit)
+
+
+def board(rows: DataFrame, query: str = "", category: str | None = None, state: str | None = None, limit: int = 200) -> DataFrame:
+    """A board of results: a kind, or topic/<name>, and a state narrow it; with words it is what has them all, best first, else the newest."""
+    topic = category.removeprefix("topic/") if category and category.startswith("topic/") else None
+    some = filtered(rows, kind=None if topic else category or None, topic=topic, state=state or None)
+    if not query_phrases(query):
+        return newest(some, limit)
+    scored = search(rows.select("id", "text"), query)
+    return some.join(scored, "id").orderBy("score", "id").limit(limit)
+
+
+def dispatched(token: str, kinds: tuple[str, ...], states: tuple[str, ...] = ("present", "quarantined", "attached", "held", "purged")) -> dict[str, str]:
+    """What a word given to the board is: a state, a kind, or else a query."""
+    return {"state" if token in states else "category" if token in kinds else "query": token}
+
+
+def hits(rows: DataFrame, length: int = 200) -> DataFrame:
+    """What may be shown of hits: their columns but the text, the excerpt of which is redacted as a whole before it is cut, and the number of redactions in the text."""
+    from inkfathom.functions.redaction import redact
+
+    out = redact(rows, "text", "_clean", "redactions")
+    return out.withColumn("excerpt", F.substring("_clean", 1, length)).drop("text", "_clean")
+
+
 def snippet(text: Column, words: list[str], around: int = 16) -> Column:
     """The first `around` words from just before the first word of the query, those of the query in « »."""
     parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S+"), F.lit(0))

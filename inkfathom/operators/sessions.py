@@ -11,22 +11,36 @@ EPISODE_APP, EPISODE_NONE = 5, 3
 MAJORITY_OF, MAJORITY = 3, 0.60
 
 
-def sessions(rows: DataFrame) -> DataFrame:
+#: Seconds of a stretch of time that one task orders; sessions go on from one stretch to the next.
+STRETCH = 86_400
+
+
+def sessions(rows: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """Adds session (first member's id), part and size to rows (id, source_app, captured_at) in runs of two or more.
 
-    Rows without a time are in none. A gap of exactly the limit does not end a session.
+    Rows without a time are in none. A gap of exactly the limit does not end a session. Rows are ordered within stretches of
+    time of a source, and stretches among each other, so that a source that gives a third of all rows is no single task.
     """
-    source = F.coalesce("source_app", F.lit(""))
-    timed = rows.where("captured_at is not null").withColumn("_source", source)
-    order = Window.partitionBy("_source").orderBy("captured_at", "id")
-    gap = F.timestamp_diff("SECOND", F.lag("captured_at").over(order), F.col("captured_at"))
+    timed = rows.where("captured_at is not null").withColumn("_source", F.coalesce("source_app", F.lit("")))
+    timed = timed.withColumn("_stretch", F.floor(F.unix_seconds(F.col("captured_at").cast("timestamp")) / stretch))
     limit = F.when(F.col("_source") == "", GAP_NONE).otherwise(GAP_APP)
-    starts = F.coalesce((gap > limit).cast("int"), F.lit(1))
-    numbered = timed.withColumn("_start", starts).withColumn("_run", F.sum("_start").over(order))
-    run = Window.partitionBy("_source", "_run")
-    inside = run.orderBy("captured_at", "id")
-    out = numbered.withColumns({"session": F.first("id").over(inside), "part": F.row_number().over(inside), "size": F.count("*").over(run)})
-    return out.where("size >= 2").drop("_source", "_start", "_run")
+    key, before = ["_source", "_stretch"], Window.partitionBy("_source").orderBy("_stretch")
+    ends = timed.groupBy(*key).agg(F.max("captured_at").alias("_last"))
+    ends = ends.select(*key, F.lag("_last").over(before).alias("_ahead"))
+    inside = Window.partitionBy(*key).orderBy("captured_at", "id")
+    gap = F.timestamp_diff("SECOND", F.coalesce(F.lag("captured_at").over(inside), F.col("_ahead")), F.col("captured_at"))
+    marked = timed.join(ends, key).withColumn("_starts", F.coalesce(gap > limit, F.lit(True)))
+    marked = marked.withColumn("_own", F.last(F.when(F.col("_starts"), F.struct("id")), ignorenulls=True).over(inside)).drop("_ahead")
+    # What is before a stretch's first start belongs to the session that the stretches before left open.
+    opened = marked.groupBy(*key).agg(F.max(F.when(F.col("_starts"), F.struct("captured_at", "id"))).alias("_open"))
+    opened = opened.select(*key, F.last("_open.id", ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    named = marked.join(opened, key).withColumn("session", F.coalesce("_own.id", "_carried")).drop("_own", "_carried", "_starts")
+    counts = named.groupBy("_source", "session", "_stretch").agg(F.count("*").alias("_n"))
+    one = Window.partitionBy("_source", "session")
+    counts = counts.select("_source", "session", "_stretch", F.coalesce(F.sum("_n").over(one.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(one).alias("size")).where("size >= 2")
+    out = named.join(counts, ["_source", "session", "_stretch"])
+    part = F.col("_before") + F.row_number().over(Window.partitionBy("_source", "_stretch", "session").orderBy("captured_at", "id"))
+    return out.withColumn("part", part.cast("int")).select(*rows.columns, "session", "part", "size")
 
 
 def episodes(in_sessions: DataFrame) -> DataFrame:
@@ -57,3 +71,17 @@ def inherited_topics(in_sessions: DataFrame) -> DataFrame:
     agreed = counts.join(members, "session").where((F.col("m") >= MAJORITY_OF) & (F.col("n") / F.col("m") >= MAJORITY)).groupBy("session").agg(F.array_sort(F.collect_list("topic")).alias("agreed"))
     out = bare.join(seeds, "session", "left").join(agreed, "session", "left")
     return out.select("id", F.coalesce("seeded", "agreed").alias("topics")).where("topics is not null")
+
+
+def folded(in_episodes: DataFrame) -> DataFrame:
+    """episode, position, best, time, also: an episode's members in order, each duplicate group once where it first comes.
+
+    in_episodes: episode, id, captured_at, group_id, rank. The member of a group that ranks best within the episode stands
+    for it, and also lists the others in order.
+    """
+    unit = F.coalesce(F.concat(F.lit("g:"), "group_id"), F.concat(F.lit("i:"), F.col("id").cast("string")))
+    rows = in_episodes.withColumn("_unit", unit)
+    once = rows.groupBy("episode", "_unit").agg(F.min(F.struct("captured_at", "id")).alias("first"), F.min_by("id", F.struct("rank", "captured_at", "id")).alias("best"), F.array_sort(F.collect_list(F.struct("captured_at", "id"))).alias("every"))
+    order = Window.partitionBy("episode").orderBy("first")
+    also = F.transform(F.filter("every", lambda x: x["id"] != F.col("best")), lambda x: x["id"])
+    return once.select("episode", F.row_number().over(order).alias("position"), "best", F.date_format("first.captured_at", "HH:mm").alias("time"), also.alias("also"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkfathom.functions import code_text, payments, redaction
 from inkfathom.functions import text as T
 from inkfathom.functions.wordlists import STOP_WORDS
 from inkfathom.operators import ask, duplicates, key_terms, layout, lifecycle, links, pixels, records, rules, search, sequences, sessions
+from inkfathom.sources import files, sinks
 from inkfathom.streaming import ingest
 from inkfathom.tables import shared_dir
 
@@ -144,10 +145,11 @@ def top_apps(spark, sf_dir):
     return read(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(8)
 
 
-@query("SELECT conv_id, round(sum(length(text) * (turn + 1) / 10.0) / sum(length(text)), 6) AS confidence FROM conversations WHERE text IS NOT NULL GROUP BY conv_id HAVING sum(length(text)) > 0")
+@query("SELECT conv_id, round_even(sum(length(text) * ((turn + 1) / 10.0)::DOUBLE) / sum(length(text)), 3) AS confidence FROM conversations WHERE text IS NOT NULL GROUP BY conv_id HAVING sum(length(text)) > 0")
 def weighted_confidence(spark, sf_dir):
-    c = read(spark, sf_dir, "conversations").where("text is not null").groupBy("conv_id").agg(F.sum(F.length("text")).alias("n"), F.sum(F.length("text") * (F.col("turn") + 1) / 10).alias("s")).where("n > 0")
-    return c.select("conv_id", F.round(F.col("s") / F.col("n"), 6).alias("confidence"))
+    line = F.struct("text", ((F.col("turn") + 1) / F.lit(10.0)).alias("conf"))
+    c = read(spark, sf_dir, "conversations").where("text is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    return c.select("conv_id", lifecycle.mean_confidence(F.col("lines")).alias("confidence")).where("confidence is not null")
 
 
 # ---- windows: sessions, episodes, topics of sessions ----
@@ -219,9 +221,10 @@ i AS (SELECT item_id, doc_id, count(*) AS n_both FROM b JOIN d USING (t) GROUP B
 SELECT item_id, doc_id, n_both, CASE WHEN n_both / (nb + nd - n_both) >= 0.8 THEN 'text' WHEN n_both / least(nb, nd) >= 0.85 THEN 'contained' END AS why
 FROM i JOIN nb USING (item_id) JOIN nd USING (doc_id) WHERE nb >= 10 AND nd >= 10 AND (n_both / (nb + nd - n_both) >= 0.8 OR n_both / least(nb, nd) >= 0.85)""")
 def benchmark_containment(spark, sf_dir):
-    own = lambda name, key: duplicates.with_tokens(read(spark, sf_dir, name)).where(F.size("tokens") >= duplicates.LEAST_TOKENS).select(key, F.size("tokens").alias(f"n_{key}"), F.explode("tokens").alias("t"))
-    both = own("documents", "doc_id").join(own("benchmark", "item_id"), "t").groupBy("item_id", "doc_id").agg(F.count("*").cast("long").alias("n_both"), F.max("n_item_id").alias("nb"), F.max("n_doc_id").alias("nd"))
-    return both.select("item_id", "doc_id", "n_both", duplicates.decide(F.col("n_both"), F.col("nb"), F.col("nd"), F.lit(64)).alias("why")).where("why is not null")
+    own = lambda name, key: duplicates.with_tokens(read(spark, sf_dir, name)).select(F.col(key).alias("id"), "tokens")
+    d, b = own("documents", "doc_id"), own("benchmark", "item_id")
+    both = duplicates.contained_candidates(d, b).join(d.toDF("x", "t_x"), "x").join(b.toDF("y", "t_y"), "y").withColumn("n_both", F.size(F.array_intersect("t_x", "t_y")).cast("long"))
+    return both.select(F.col("y").alias("item_id"), F.col("x").alias("doc_id"), "n_both", duplicates.decide(F.col("n_both"), F.size("t_y"), F.size("t_x"), F.lit(64)).alias("why")).where("why is not null")
 
 
 @query(f"""WITH RECURSIVE {_ITEMS}, s AS (SELECT id, captured_at, round(least(coalesce(n_chars, 0) / 300, 4.0) + 2 * coalesce(quality, 0), 3) AS score, {_TOKENS} AS t FROM items),
@@ -269,7 +272,7 @@ _RULES = [rules.Rule.of(r) for r in ({"name": "listing", "text": [r"\|"], "apps"
 
 def _ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.array().cast("array<string>")
-    return items(spark, sf_dir).withColumns({"text": F.coalesce("text", F.lit("")), "qr_types": none, "domains": none, "lang": F.lit(None).cast("string")})
+    return items(spark, sf_dir).withColumns({"text": F.coalesce("text", F.lit("")), "qr_types": none, "domains": none, "lang": F.lit(None).cast("string")}).transform(rules.prepared)
 
 
 _LISTING, _DATA, _SHOUT = "(contains(t, '|') OR coalesce(starts_with(app, 'src1'), false))", "((contains(t, '@') OR regexp_matches(t, '[0-9]{4}')) AND regexp_matches(t, '(?i)the'))", "(contains(t, '!!') OR contains(t, '$$'))"
@@ -296,14 +299,18 @@ def built_in_rules(spark, sf_dir):
     return rows.select("id", kind.alias("k"), found.alias("topics")).select("id", "k.kind", "k.why", F.array_join(F.array_sort(F.map_keys("topics")), ",").alias("topics"))
 
 
+_GIVEN = [rules.Rule.of({"name": "even", "domains": ["d3.com", "d4.com"], "apps": ["app7"]})]
+
+
 @query("""WITH e AS (SELECT 'd' || (user_id % 40) || '.com' AS value, CASE WHEN user_id % 40 < 20 THEN 'even' ELSE event_type END AS topic FROM events WHERE value > 40),
 a AS (SELECT 'app' || (user_id % 30) AS value, CASE WHEN user_id % 40 < 20 THEN 'even' ELSE event_type END AS topic FROM events WHERE value > 40),
-t AS (SELECT 'app' || (user_id % 30) AS value, count(*) AS n FROM events GROUP BY 1)
-SELECT 'domain' AS kind, value, min(topic) AS topic, count(*) AS tags FROM e GROUP BY value HAVING count(*) >= 3 AND count(DISTINCT topic) = 1
-UNION ALL SELECT 'app', a.value, min(topic), count(*) FROM a JOIN t ON t.value = a.value GROUP BY a.value HAVING count(*) >= 5 AND count(DISTINCT topic) = 1 AND count(*) / max(n) >= 0.6""")
+t AS (SELECT 'app' || (user_id % 30) AS value, count(*) AS n FROM events GROUP BY 1),
+s AS (SELECT 'domain' AS kind, value, min(topic) AS topic, count(*) AS tags FROM e GROUP BY value HAVING count(*) >= 3 AND count(DISTINCT topic) = 1
+UNION ALL SELECT 'app', a.value, min(topic), count(*) FROM a JOIN t ON t.value = a.value GROUP BY a.value HAVING count(*) >= 5 AND count(DISTINCT topic) = 1 AND count(*) / max(n) >= 0.6)
+SELECT * FROM s WHERE NOT (topic = 'even' AND (kind = 'domain' AND value IN ('d3.com', 'd4.com') OR kind = 'app' AND starts_with(value, 'app7')))""")
 def rule_suggestions(spark, sf_dir):
     e = read(spark, sf_dir, "events").withColumns({"app": F.concat(F.lit("app"), F.col("user_id") % 30), "domains": F.array(F.concat(F.lit("d"), F.col("user_id") % 40, F.lit(".com"))), "topic": F.when(F.col("user_id") % 40 < 20, "even").otherwise(F.col("event_type"))})
-    return rules.suggestions(e.where("value > 40").select("domains", "app", "topic"), e.groupBy("app").agg(F.count("*").alias("n")))
+    return rules.suggestions(e.where("value > 40").select("domains", "app", "topic"), e.groupBy("app").agg(F.count("*").alias("n")), rules=_GIVEN)
 
 
 # ---- links ----
@@ -367,13 +374,31 @@ def misread_hosts(spark, sf_dir):
     return links.resolve(raw, ranks, suffixes, list_of([("com",), ("net",), ("org",)], "tld string"), list_of([("nothing.com",)], "domain string"), list_of([], "domain string"))
 
 
-@query("""WITH p AS (SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 'WIFI:S:x;P:secret' || c_custkey || ';;' WHEN 1 THEN 'tel:' || c_mktsegment WHEN 2 THEN ' HTTPS://a.com/' || c_custkey WHEN 3 THEN 'BEGIN:VCARD' ELSE c_name END AS payload FROM customer)
-SELECT id, CASE id % 5 WHEN 0 THEN 'wifi' WHEN 1 THEN 'tel' WHEN 2 THEN 'url' WHEN 3 THEN 'contact' ELSE 'text' END AS type, CASE WHEN id % 5 = 0 THEN 'WIFI:S:x;P:<redacted>;;' ELSE trim(payload) END AS stored FROM p""")
-def code_types(spark, sf_dir):
+def _merchant(city: str, amount: str) -> str:
+    fields = "".join(f"{t}{len(v):02d}{v}" for t, v in (("00", "01"), ("54", amount), ("59", "Kedai Satu"), ("60", city))) + "6304"
+    return fields + f"{payments.checksum(fields.encode()):04X}"
+
+
+_PAID = _merchant("Kuala Lumpur", "12.50")
+_PAYLOADS = f"""p AS (SELECT c_custkey AS id, CASE c_custkey % 8 WHEN 0 THEN 'WIFI:S:x;P:secret' || c_custkey || ';;' WHEN 1 THEN 'tel:' || c_mktsegment WHEN 2 THEN ' HTTPS://a.com/' || c_custkey WHEN 3 THEN 'BEGIN:VCARD' WHEN 4 THEN 'geo:3.1,101.6' WHEN 5 THEN '{_PAID}' WHEN 6 THEN '{_PAID[:-1]}~' ELSE c_name END AS payload FROM customer)"""
+_TYPES = "CASE id % 8 WHEN 0 THEN 'wifi' WHEN 1 THEN 'tel' WHEN 2 THEN 'url' WHEN 3 THEN 'contact' WHEN 4 THEN 'geo' WHEN 5 THEN 'payment' ELSE 'text' END"
+
+
+def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    payload = F.when(k % 5 == 0, F.concat(F.lit("WIFI:S:x;P:secret"), k, F.lit(";;"))).when(k % 5 == 1, F.concat(F.lit("tel:"), "c_mktsegment")).when(k % 5 == 2, F.concat(F.lit(" HTTPS://a.com/"), k)).when(k % 5 == 3, "BEGIN:VCARD").otherwise(F.col("c_name"))
-    c = read(spark, sf_dir, "customer").select(k.alias("id"), payload.alias("payload")).withColumn("pay", payments.payment(F.col("payload")))
-    return c.select("id", T.qr_type(F.col("payload"), F.col("pay.valid")).alias("type"), T.qr_stored(F.col("payload")).alias("stored"))
+    payload = F.when(k % 8 == 0, F.concat(F.lit("WIFI:S:x;P:secret"), k, F.lit(";;"))).when(k % 8 == 1, F.concat(F.lit("tel:"), "c_mktsegment")).when(k % 8 == 2, F.concat(F.lit(" HTTPS://a.com/"), k)).when(k % 8 == 3, "BEGIN:VCARD").when(k % 8 == 4, "geo:3.1,101.6")
+    payload = payload.when(k % 8 == 5, _PAID).when(k % 8 == 6, _PAID[:-1] + "~").otherwise(F.col("c_name"))
+    return read(spark, sf_dir, "customer").select(k.alias("id"), payload.alias("payload")).withColumn("pay", payments.payment(F.col("payload"))).withColumn("type", T.qr_type(F.col("payload"), F.col("pay.valid")))
+
+
+@query(f"WITH {_PAYLOADS} SELECT id, {_TYPES} AS type, CASE WHEN id % 8 = 0 THEN 'WIFI:S:x;P:<redacted>;;' ELSE trim(payload) END AS stored FROM p")
+def code_types(spark, sf_dir):
+    return _payloads(spark, sf_dir).select("id", "type", T.qr_stored(F.col("payload")).alias("stored"))
+
+
+@query(f"WITH {_PAYLOADS} SELECT id, CASE id % 8 WHEN 5 THEN '[PAYMENT QR]' WHEN 1 THEN 'clean' WHEN 3 THEN 'clean' ELSE payload END AS payload, CASE WHEN id % 8 = 5 THEN '[NAME]' END AS merchant_name, CASE WHEN id % 8 = 5 THEN 'Kuala Lumpur' END AS merchant_city, CASE WHEN id % 8 = 5 THEN '12.50' END AS amount FROM p")
+def shown_codes(spark, sf_dir):
+    return _payloads(spark, sf_dir).select("id", redaction.redact_code(F.col("type"), F.col("payload"), F.lit("clean"), F.col("pay")).alias("c")).select("id", "c.*")
 
 
 # ---- redaction and code ----
@@ -399,23 +424,25 @@ def program_texts(spark, sf_dir):
     return d.select("doc_id", "code.lang", "code.score", F.array_join(code_text.imports(F.col("text"), F.col("code.lang")), ",").alias("imports"))
 
 
-@query("SELECT conv_id AS id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS line_no, repeat(' ', CAST(4 * (turn % 3) AS INTEGER)) || 'line' || turn || ' = call(x)' AS text FROM conversations WHERE conv_id % 2 = 0 QUALIFY count(*) OVER (PARTITION BY conv_id, turn) = 1")
+@query("""WITH c AS (SELECT conv_id AS id, turn % 3 AS step, turn, trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 ]', ' ', 'g')) AS t FROM conversations),
+r AS (SELECT *, min(step) OVER (PARTITION BY id) AS least, max(length(t)) OVER (PARTITION BY id) AS most FROM c WHERE t <> '')
+SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY turn, t) - 1 AS INTEGER) AS line_no, CASE WHEN most >= 4 THEN repeat(' ', CAST(4 * (step - least) AS INTEGER)) ELSE '' END || t AS text FROM r""")
 def program_layout(spark, sf_dir):
-    """Each turn as a line of program text on a screen, indented by up to two units of four characters."""
-    c = read(spark, sf_dir, "conversations").where("conv_id % 2 = 0")
-    text = F.concat(F.lit("line"), "turn", F.lit(" = call (x)"))
+    """Each turn's text, in plain characters, as a line on a screen, indented by up to two units of four characters."""
+    plain = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 ]", " "))
+    c = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), "turn", plain.alias("text"))
+    c = c.withColumn("line_no", F.row_number().over(Window.partitionBy("id").orderBy("turn", "text")))
     x = (F.col("turn") % 3) * 0.04 + 0.1
-    boxes = c.groupBy("conv_id", "turn").agg(F.count("*").alias("n")).where("n = 1").select(F.col("conv_id").alias("id"), F.col("turn").alias("line_no"), text.alias("text"), x.cast("double").alias("x"), (F.col("turn") * 0.02).cast("double").alias("y"), (F.length(text) * 0.01).cast("double").alias("w"), F.lit(0.015).alias("h"))
-    return layout.program_lines(boxes)
+    return layout.program_lines(c.select("id", "line_no", "text", x.cast("double").alias("x"), (F.col("line_no") * 0.02).cast("double").alias("y"), (F.length("text") * 0.01).cast("double").alias("w"), F.lit(0.015).alias("h")))
 
 
 # ---- lifecycle ----
-@query(f"""WITH {_ITEMS}, d AS (SELECT id, CASE WHEN id % 11 = 0 AND NOT has_secrets THEN 'attach' WHEN status <> 'ok' THEN 'hold' WHEN has_secrets THEN 'quarantine' WHEN n_chars < 300 AND id % 3 = 0 THEN 'attach' ELSE 'quarantine' END AS outcome,
-CASE WHEN id % 11 = 0 AND NOT has_secrets THEN 'kept on request' WHEN status <> 'ok' THEN 'low_confidence' WHEN has_secrets THEN 'contains secrets' WHEN n_chars < 300 AND id % 3 = 0 THEN 'visual' ELSE 'content captured in the note' END AS cause FROM items)
+@query(f"""WITH {_ITEMS}, d AS (SELECT id, CASE WHEN id % 11 = 0 AND NOT has_secrets THEN 'attach' WHEN status <> 'ok' THEN 'hold' WHEN has_secrets THEN 'quarantine' WHEN n_chars < 300 AND id % 3 = 0 THEN 'attach' WHEN (id % 20 >= 14 OR id % 10 >= 8) AND id % 7 <= 3 THEN 'attach' ELSE 'quarantine' END AS outcome,
+CASE WHEN id % 11 = 0 AND NOT has_secrets THEN 'kept on request' WHEN status <> 'ok' THEN 'low_confidence' WHEN has_secrets THEN 'contains secrets' WHEN n_chars < 300 AND id % 3 = 0 THEN 'visual' WHEN (id % 20 >= 14 OR id % 10 >= 8) AND id % 7 <= 3 THEN 'diagram' ELSE 'content captured in the note' END AS cause FROM items)
 SELECT outcome, cause, count(*) AS n FROM d GROUP BY ALL""")
 def lifecycle_audit(spark, sf_dir):
     third = F.col("id") % 3 == 0
-    r = {"keep": F.col("id") % 11 == 0, "has_secrets": F.col("has_secrets"), "status": F.col("status"), "status_reason": F.lit("low_confidence"), "confirmed_by": F.lit(None).cast("string"), "unverified": F.array().cast("array<string>"), "text_coverage": F.when(third, 0.05), "text_chars": F.col("n_chars"), "grays": F.lit(200), "edges": F.lit(0.1), "n_qr": F.lit(0), "kind": F.lit("web"), "hlines": F.lit(0), "vlines": F.lit(0), "saturation": F.lit(0.0)}
+    r = {"keep": F.col("id") % 11 == 0, "has_secrets": F.col("has_secrets"), "status": F.col("status"), "status_reason": F.lit("low_confidence"), "confirmed_by": F.lit(None).cast("string"), "unverified": F.array().cast("array<string>"), "text_coverage": F.when(third, 0.05), "text_chars": F.col("n_chars"), "grays": F.lit(200), "edges": F.lit(0.1), "n_qr": F.lit(0), "kind": F.lit("web"), "hlines": F.col("id") % 20, "vlines": F.col("id") % 10, "saturation": (F.col("id") % 7) / F.lit(10.0)}
     return lifecycle.audit(items(spark, sf_dir).select("id", lifecycle.decision(r).alias("d")).select("id", "d.*"))
 
 
@@ -486,6 +513,214 @@ def covered_by_text(spark, sf_dir):
     return c.select("conv_id", F.round(pixels.text_coverage(F.col("lines")), 2).alias("coverage"), pixels.bar_lines(F.col("lines"))["bottom"].alias("bottom"))
 
 
+# ---- records, boards, notes ----
+@query(f"WITH {_ITEMS} SELECT i.id, i.lang, d.text FROM items i LEFT JOIN (SELECT doc_id, text FROM documents WHERE doc_id % 4 <> 0) d ON d.doc_id = i.id")
+def index_load(spark, sf_dir):
+    texts = read(spark, sf_dir, "documents").where("doc_id % 4 <> 0").select(F.col("doc_id").alias("id"), "text")
+    return records.with_texts(items(spark, sf_dir).select("id", "lang"), texts)
+
+
+@query("SELECT event_id, CAST(props->>'k' AS INTEGER) AS k FROM events WHERE CAST(props->>'k' AS INTEGER) > 50")
+def record_scan(spark, sf_dir):
+    return records.parsed(read(spark, sf_dir, "events").select("event_id", "props"), "props", "k int").where("k > 50")
+
+
+@query(f"WITH {_ITEMS} SELECT id, captured_at FROM items ORDER BY captured_at DESC NULLS LAST, id LIMIT 300")
+def newest_items(spark, sf_dir):
+    return search.newest(items(spark, sf_dir), 300).select("id", "captured_at")
+
+
+@query(f"WITH {_ITEMS} SELECT id FROM items WHERE lang = 'de' AND status = 'ok' ORDER BY captured_at DESC NULLS LAST, id LIMIT 200")
+def results_board(spark, sf_dir):
+    rows = items(spark, sf_dir).withColumns({"kind": F.lit("web"), "topics": F.array("lang"), "state": F.col("status")})
+    return search.board(rows, category="topic/de", state="ok").select("id")
+
+
+@query(f"""WITH {_ITEMS}, f AS (SELECT id, id % 3 AS g, CASE WHEN lang = 'en' THEN 'x.d.com' WHEN lang = 'de' THEN 'd.com' ELSE 'notd.com' END AS domain, lang FROM items)
+SELECT id, 'topic' AS filter FROM f WHERE lang = 'en' UNION ALL SELECT id, 'no topic' FROM f WHERE lang IS NULL OR lang NOT IN ('en', 'de') UNION ALL SELECT id, 'group' FROM f WHERE g = 1 UNION ALL SELECT id, 'domain' FROM f WHERE lang IN ('en', 'de')""")
+def filtered_by_parts(spark, sf_dir):
+    topics = F.when(F.col("lang").isin("en", "de"), F.array("lang")).otherwise(F.array().cast("array<string>"))
+    rows = items(spark, sf_dir).select("id", topics.alias("topics"), (F.col("id") % 3).alias("group_id"), F.array(F.when(F.col("lang") == "en", "x.d.com").when(F.col("lang") == "de", "d.com").otherwise("notd.com")).alias("domains"))
+    parts = {"topic": {"topic": "en"}, "no topic": {"no_topic": True}, "group": {"group": "1"}, "domain": {"domain": "D.com"}}
+    found = [search.filtered(rows, **f).select("id", F.lit(name).alias("filter")) for name, f in parts.items()]
+    return found[0].union(found[1]).union(found[2]).union(found[3])
+
+
+@query("SELECT DISTINCT 'sha256:' || sha256(coalesce(text, '')) AS id FROM documents WHERE starts_with(sha256(coalesce(text, '')), (SELECT substr(min(sha256(coalesce(text, ''))), 1, 8) FROM documents))")
+def resolved_id(spark, sf_dir):
+    """An item by the first eight digits of its id: the smallest id there is."""
+    ids = content_ids(spark, sf_dir).select("id", F.lit("none.md").alias("note")).distinct()
+    return search.resolve(ids, ids.agg(F.min("id").alias("id")).head()["id"].removeprefix("sha256:")[:8]).select("id")
+
+
+@query("""WITH q AS (SELECT d.doc_id, d.text, substr(o.text, 3, 12) AS other, substr(d.text, 5, 30) AS own FROM documents d LEFT JOIN documents o ON o.doc_id = d.doc_id + 1),
+p AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t, lower(trim(regexp_replace(own, '\\s+', ' ', 'g'))) AS own, lower(trim(regexp_replace(other, '\\s+', ' ', 'g'))) AS other FROM q)
+SELECT doc_id, length(own) >= 8 AND contains(t, own) AS own, length(other) >= 8 AND contains(t, other) AS other FROM p""")
+def grounded_quotes(spark, sf_dir):
+    """Whether a quote from a text, and one from the text of the next number, stand in it."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "text")
+    both = d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.substring("text", 3, 12).alias("other")), "doc_id", "left")
+    return both.select("doc_id", search.grounded(F.col("text"), F.substring("text", 5, 30)).alias("own"), search.grounded(F.col("text"), F.col("other")).alias("other"))
+
+
+@query("SELECT event_id AS id, (user_id % 30 >= 14 OR user_id % 11 >= 8) AND event_id % 5 <> 0 AND value / 100 <= 0.30 AND event_type <> 'click' AS diagram FROM events")
+def diagrams(spark, sf_dir):
+    r = {"hlines": F.col("user_id") % 30, "vlines": F.col("user_id") % 11, "n_qr": (F.col("event_id") % 5 == 0).cast("int"), "saturation": F.col("value") / 100, "kind": F.when(F.col("event_type") == "click", "game").otherwise("web")}
+    return read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), lifecycle.is_diagram(r).alias("diagram"))
+
+
+@query("SELECT event_id AS id, CASE WHEN event_id % 9 = 0 THEN 'qr_undecodable' WHEN event_id % 7 < 3 AND event_id % 4 <> 0 THEN 'no_text' WHEN value / 100 < 0.5 AND event_id % 4 <> 0 THEN 'low_confidence' END AS reason FROM events")
+def verdicts(spark, sf_dir):
+    e = F.col("event_id")
+    decoded = (e % 4 == 0) & (e % 9 != 0)
+    return read(spark, sf_dir, "events").select(e.alias("id"), lifecycle.verdict(e % 9 == 0, decoded, F.when(e % 9 == 0, 9).otherwise(e % 7), F.when(e % 9 == 0, 1.0).otherwise(F.col("value") / 100)).alias("reason"))
+
+
+@query("""SELECT event_id AS id, epoch(TIMESTAMP '2024-01-20 00:00:00') - epoch(date_trunc('second', ts)) >= 30 AS settled FROM events
+WHERE (event_id % 4 = 0 OR (event_id % 4 = 1 AND ts >= TIMESTAMP '2024-01-10 00:00:00' AND event_id % 8 <> 1)) AND event_id % 16 <> 4""")
+def watched_photos(spark, sf_dir):
+    e = F.col("event_id")
+    name = F.when(e % 16 == 4, F.concat(F.lit("Screenshot_"), F.date_format("ts", "yyyyMMdd_HHmmss"), F.lit("_com_app_Main.txt"))).when(e % 4 == 0, F.concat(F.lit("Screenshot_"), F.date_format("ts", "yyyyMMdd_HHmmss"), F.lit("_com_app_Main.png"))).when(e % 4 == 1, "image.png").when(e % 4 == 2, ".hidden.png").otherwise("notes.txt")
+    found = read(spark, sf_dir, "events").select(e.alias("id"), F.concat(F.lit("/in/"), e.cast("string"), F.lit("/"), name).alias("path"), F.date_trunc("second", "ts").cast("timestamp_ntz").alias("modified"), (e % 8 == 1).alias("downloaded"), "ts")
+    since = F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")
+    return files.photos(found, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"), 30, since).select("id", "settled")
+
+
+@query("SELECT page_id AS id, page_id % 5 <> 4 AND page_id % 3 <> 0 AS linkable FROM pages")
+def linkable_urls(spark, sf_dir):
+    by = F.element_at(F.array(*[F.lit(x) for x in ("qr", "crossref", "known", "allowed", "none")]), (F.col("page_id") % 5 + 1).cast("int"))
+    return read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), links.linkable(by, F.when(F.col("page_id") % 3 == 0, "truncated")).alias("linkable"))
+
+
+@query(f"""WITH {_CAPTURES}, n AS (SELECT source_app AS app, id AS a, lead(id) OVER w AS b, captured_at, lead(captured_at) OVER w AS later, event_type, lead(event_type) OVER w AS next_type FROM captures WHERE source_app IS NOT NULL WINDOW w AS (PARTITION BY source_app ORDER BY captured_at, id))
+SELECT app, a, b FROM n WHERE b IS NOT NULL AND date_diff('microsecond', captured_at, later) < 3601000000 AND event_type <> next_type""")
+def screen_neighbours(spark, sf_dir):
+    rows = captures(spark, sf_dir).select("id", F.col("source_app").alias("app"), "captured_at", F.col("event_type").alias("group_id"), F.array().cast("array<string>").alias("lines"))
+    return sequences.neighbours(rows, 3600).select("app", "a", "b")
+
+
+@query(f"SELECT page_id AS id, CASE WHEN page_id % 3 = 0 THEN 'low_confidence' ELSE 'unverified URL: ' || lower({_HOST}) || CASE WHEN page_id % 3 = 2 THEN ', other.my' ELSE '' END END AS reason FROM pages WHERE regexp_matches(url, '^https?://[^/]+/')")
+def short_reasons(spark, sf_dir):
+    p = read(spark, sf_dir, "pages").where(F.col("url").rlike("^https?://[^/]+/"))
+    reason = F.when(F.col("page_id") % 3 == 0, "low_confidence").otherwise(F.concat(F.lit("unverified URL: "), "url", F.when(F.col("page_id") % 3 == 2, ", https://other.my/x, OTHER.my").otherwise("")))
+    return p.select(F.col("page_id").alias("id"), search.short_reason(reason).alias("reason"))
+
+
+@query(f"""WITH g AS (SELECT DISTINCT CASE page_id % 6 WHEN 0 THEN ' ' || url WHEN 1 THEN {_HOST} WHEN 2 THEN 'com.my' WHEN 3 THEN 'bad_host.com' WHEN 4 THEN 'a.zzz' ELSE 'HTTP://Www.Shop.COM.my/x' END AS given FROM pages WHERE regexp_matches(url, '^https?://')),
+h AS (SELECT given, string_split(regexp_replace(lower(trim(given)), '^https?://', ''), '/')[1] AS host FROM g), l AS (SELECT given, host, string_split(host, '.') AS labels FROM h), s AS (SELECT * FROM {_SUFFIX_SQL}),
+t AS (SELECT given, host, labels, unnest(range(1, len(labels) + 1)) AS i FROM l), own AS (SELECT given, host, labels, len(labels) - i + 1 AS size, array_to_string(labels[i:], '.') AS own, CASE WHEN i < len(labels) THEN array_to_string(labels[i + 1:], '.') END AS above FROM t),
+m AS (SELECT given, host, labels, max(CASE WHEN own IN (SELECT rule FROM s WHERE kind = 'exception') THEN size - 1 END) AS e, max(CASE WHEN own IN (SELECT rule FROM s WHERE kind = 'rule') OR above IN (SELECT rule FROM s WHERE kind = 'wild') THEN size END) AS r FROM own GROUP BY ALL),
+x AS (SELECT given, CASE WHEN NOT regexp_matches(host, '^[a-z0-9](?:[a-z0-9-]*[a-z0-9])?(?:\\.[a-z0-9](?:[a-z0-9-]*[a-z0-9])?)+$') THEN 'not a domain name' WHEN labels[-1] NOT IN ('com', 'net', 'org', 'my') THEN 'not a real top-level domain' WHEN len(labels) <= coalesce(e, r, 1) THEN 'a public suffix, not a site' END AS error, CASE WHEN len(labels) > coalesce(e, r, 1) THEN array_to_string(labels[len(labels) - coalesce(e, r, 1):], '.') END AS domain FROM m)
+SELECT given, CASE WHEN error IS NULL THEN domain END AS domain, error FROM x""")
+def allow_targets(spark, sf_dir):
+    p, k = read(spark, sf_dir, "pages").where(F.col("url").rlike("^https?://")), F.col("page_id") % 6
+    given = F.when(k == 0, F.concat(F.lit(" "), "url")).when(k == 1, T.host(F.col("url"))).when(k == 2, "com.my").when(k == 3, "bad_host.com").when(k == 4, "a.zzz").otherwise("HTTP://Www.Shop.COM.my/x")
+    tlds = spark.createDataFrame([("COM",), ("NET",), ("ORG",), ("MY",)], "tld string")
+    return links.allow_targets(p.select(given.alias("given")), spark.createDataFrame(_SUFFIXES, "rule string, kind string"), tlds)
+
+
+@query("""WITH f AS (SELECT o_custkey AS id, 'p' || o_orderkey AS path FROM orders), k AS (SELECT id, path FROM f WHERE length(path) % 2 = 0 OR ends_with(path, '1'))
+SELECT id, list_sort(list(DISTINCT path)) AS paths FROM f WHERE NOT (length(path) % 2 = 0 OR ends_with(path, '1')) GROUP BY id""")
+def copies_found(spark, sf_dir):
+    f = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.concat(F.lit("p"), "o_orderkey").alias("path"))
+    return records.new_copies(f, f.where((F.length("path") % 2 == 0) | F.col("path").endswith("1")))
+
+
+def _kept_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    copy = lambda p, state, back: F.struct(p.alias("path"), state.alias("state"), back.cast("string").alias("restored_at"), F.concat(F.lit("q/"), p).alias("stored_path"))
+    one = copy(F.concat(F.lit("c/"), k), F.when(k % 3 == 0, "present").otherwise("quarantined"), F.when(k % 2 == 0, "2024"))
+    two = copy(F.concat(F.lit("d/"), k), F.lit("present"), F.lit(None))
+    return read(spark, sf_dir, "orders").select(k.alias("id"), F.when(k % 4 == 0, "present").otherwise("held").alias("source_state"), F.concat(F.lit("s/"), k).alias("source_path"), F.when(k % 4 == 1, F.concat(F.lit("h/"), k)).alias("stored_path"), F.when(k % 5 > 0, F.concat(F.lit("n/"), k)).alias("note_path"), F.array(one, two).alias("copies"))
+
+
+@query("""SELECT o_orderkey AS id, 1 AS number, 'c/' || o_orderkey AS path FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderkey % 3 = 0 AND o_orderkey % 2 <> 0
+UNION ALL SELECT o_orderkey, 2, 'd/' || o_orderkey FROM orders WHERE o_orderkey % 4 <> 0""")
+def copies_routed(spark, sf_dir):
+    return records.copies_to_quarantine(_kept_items(spark, sf_dir))
+
+
+@query("""SELECT o_orderkey AS id, 'n/' || o_orderkey AS path FROM orders WHERE o_orderkey % 5 > 0 UNION ALL SELECT o_orderkey, 'h/' || o_orderkey FROM orders WHERE o_orderkey % 4 = 1 UNION ALL SELECT o_orderkey, 's/' || o_orderkey FROM orders WHERE o_orderkey % 4 = 0
+UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'q/' END || 'c/' || o_orderkey FROM orders UNION ALL SELECT o_orderkey, 'd/' || o_orderkey FROM orders""")
+def item_files(spark, sf_dir):
+    return records.files_of(_kept_items(spark, sf_dir))
+
+
+@query("""SELECT event_id AS id, strftime(ts, '%Y-%m-%d %H:%M') || '–' || CASE WHEN strftime(ts, '%Y-%m-%d') = strftime(ts + INTERVAL 5 HOUR, '%Y-%m-%d') THEN strftime(ts + INTERVAL 5 HOUR, '%H:%M') ELSE strftime(ts + INTERVAL 5 HOUR, '%Y-%m-%d %H:%M') END AS span FROM events WHERE ts IS NOT NULL""")
+def episode_spans(spark, sf_dir):
+    return read(spark, sf_dir, "events").where("ts is not null").select(F.col("event_id").alias("id"), sinks.episode_span(F.col("ts"), F.col("ts") + F.expr("interval 5 hours")).alias("span"))
+
+
+@query("SELECT doc_id, CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT) AS hash FROM documents")
+def token_hashes(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", duplicates.token_hash(F.coalesce("text", F.lit(""))).alias("hash"))
+
+
+@query("SELECT page_id, regexp_extract(regexp_replace('HTTP://' || upper(url), '^HTTP://HTTPS?://', ''), '^([^/?#:]*)', 1) AS host FROM pages WHERE regexp_matches(url, '^https?://')")
+def raw_hosts(spark, sf_dir):
+    return read(spark, sf_dir, "pages").where(F.col("url").rlike("^https?://")).select("page_id", T.raw_host(F.upper("url")).alias("host"))
+
+
+@query("""SELECT p_partkey AS id, substr(trim(regexp_replace(lower(p_name || ' ' || p_type || ' & Co.'), '[^a-z0-9]+', '-', 'g'), '-'), 1, 40) AS label,
+CASE p_partkey % 4 WHEN 0 THEN 'image' WHEN 1 THEN 'whatsapp' WHEN 2 THEN 'tv' ELSE 'com' END AS app FROM part""")
+def slugs(spark, sf_dir):
+    k = F.col("p_partkey") % 4
+    app = F.when(k == 1, "com.whatsapp").when(k == 2, "org.tv.io").when(k == 3, "com.my")
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), T.slug(F.concat_ws(" ", "p_name", "p_type", F.lit("& Co."))).alias("label"), T.app_slug(app).alias("app"))
+
+
+@query(f"""WITH {_CAPTURES}, g AS (SELECT coalesce(source_app, '') AS source_app, captured_at, CASE WHEN date_diff('microsecond', lag(captured_at) OVER w, captured_at) < 1000000 * CASE WHEN source_app IS NULL THEN 1800 ELSE 600 END THEN 0 ELSE 1 END AS starts FROM captures WHERE captured_at IS NOT NULL WINDOW w AS (PARTITION BY coalesce(source_app, '') ORDER BY captured_at)),
+r AS (SELECT *, sum(starts) OVER (PARTITION BY source_app ORDER BY captured_at ROWS UNBOUNDED PRECEDING) AS run FROM g)
+SELECT source_app, count(*) AS size, min(captured_at)::TIMESTAMP AS first, max(captured_at)::TIMESTAMP AS last FROM r GROUP BY source_app, run HAVING count(*) >= 2""")
+def watermarked_sessions(spark, sf_dir):
+    return ingest.session_counts(captures(spark, sf_dir)).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first", "last")})
+
+
+@query("SELECT o_custkey AS id, o_orderpriority AS url, min(o_orderkey) AS seq FROM orders GROUP BY ALL")
+def first_links(spark, sf_dir):
+    return links.first_by_url(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("url"), F.col("o_orderkey").alias("seq")))
+
+
+@query("""SELECT doc_id, doc_id % 4 = 3 AS conflict, CASE WHEN doc_id % 4 <> 3 THEN '---' || chr(10) || 'kind: "web"' || chr(10) || coalesce('lang: "' || lang || '"' || chr(10), '') || CASE WHEN doc_id % 4 IN (1, 2) THEN 'mine: yes' || chr(10) || '  - a' || chr(10) ELSE '' END
+|| '---' || chr(10) || chr(10) || '%% generated: begin %%' || chr(10) || chr(10) || 'body ' || doc_id || chr(10) || chr(10) || '%% generated: end %%' || CASE WHEN doc_id % 4 IN (1, 2) THEN chr(10) || 'tail ' || doc_id ELSE chr(10) || chr(10) || '## Notes' || chr(10) END END AS note FROM documents""")
+def owned_notes(spark, sf_dir):
+    """Notes written anew over none, over ones with a user's fields and words, and over ones whose marks are gone."""
+    d, k = read(spark, sf_dir, "documents"), F.col("doc_id") % 4
+    old = F.concat(F.lit('---\nkind: "old"\nmine: yes\n  - a\nlang: "xx"\n---\n\nwords before\n'), F.when(k == 3, "no marks").otherwise(f"{sinks.BEGIN}\nold body\n{sinks.END}"), F.lit("\ntail "), "doc_id")
+    made = sinks.owned_note({"kind": F.lit("web"), "lang": F.col("lang")}, F.concat(F.lit("body "), "doc_id"), F.when(k > 0, old))
+    return d.select("doc_id", made.alias("n")).select("doc_id", "n.conflict", "n.note")
+
+
+@query(f"""WITH {_REFERENCE_GAPS}, ep AS (SELECT id, 'ep-' || session AS episode, captured_at, CASE WHEN id % 3 = 0 THEN event_type END AS g, value AS rank FROM sess WHERE size >= CASE WHEN source_app IS NULL THEN 3 ELSE 5 END),
+u AS (SELECT episode, coalesce('g:' || g, 'i:' || id) AS unit, arg_min(id, (rank, captured_at, id)) AS best, min((captured_at, id)) AS first, list(id ORDER BY captured_at, id) AS every FROM ep GROUP BY ALL),
+l AS (SELECT episode, row_number() OVER (PARTITION BY episode ORDER BY first) AS position, best, strftime(first[1], '%H:%M') AS time, list_filter(every, lambda x: x <> best) AS also FROM u)
+SELECT episode, count(*) AS size, '## ' || CASE WHEN length(episode) % 2 = 0 THEN 'Talk ' || episode ELSE episode END || chr(10) || chr(10) || string_agg(position || '. ' || time || ' [[' || best || ']]' || CASE WHEN len(also) > 0 THEN ' also [[' || array_to_string(also, ']], [[') || ']]' ELSE '' END, chr(10) ORDER BY position) AS body FROM l GROUP BY episode""")
+def episode_hubs(spark, sf_dir):
+    e = sessions.episodes(sessions.sessions(captures(spark, sf_dir))).select("episode", "id", "captured_at", F.when(F.col("id") % 3 == 0, F.col("event_type")).alias("group_id"), F.col("value").alias("rank"))
+    named = e.select("episode").distinct().where(F.length("episode") % 2 == 0).withColumn("label", F.concat(F.lit("Talk "), "episode"))
+    return sinks.episode_hub(sessions.folded(e), named)
+
+
+@query("""SELECT doc_id AS id, CASE WHEN doc_id % 4 = 1 THEN 'chat' END AS set_kind, CASE WHEN doc_id % 4 = 1 THEN 'user' END AS set_by, CASE WHEN doc_id % 4 = 1 THEN 'set by user' || CASE WHEN doc_id % 3 = 0 THEN ', quoting ' || chr(39) || 'x' || chr(39) ELSE '' END END AS set_why, CASE WHEN doc_id % 4 = 2 THEN 'a,event' ELSE 'a' END AS topics_added FROM documents""")
+def user_overrides(spark, sf_dir):
+    d, k = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), F.col("id") % 4
+    notes = d.where("id % 4 > 0").select("id", F.when(k == 1, "chat").when(k == 2, "event").otherwise("web").alias("kind"), F.when(k == 3, "rules").otherwise("user").alias("decided_by"), F.when(F.col("id") % 3 == 0, "x").alias("evidence"))
+    out = records.overridden(d, notes, rules.KINDS)
+    return out.select("id", "set_kind", "set_by", "set_why", F.array_join(records.migrated_topics(F.array(F.lit("a")), F.col("legacy_topic")), ",").alias("topics_added"))
+
+
+@query("""WITH l AS (SELECT conv_id, turn, lower(trim(regexp_replace(line, '\\s+', ' ', 'g'))) AS x FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM conversations WHERE text <> ''))
+SELECT conv_id, turn, count(*) AS lines, CAST(sum(length(x)) AS BIGINT) AS chars FROM l WHERE length(regexp_replace(x, '[^0-9a-z]', '', 'g')) >= 4 GROUP BY conv_id, turn""")
+def content_line_counts(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(sequences.content_lines(F.col("text"), F.lit(0), F.lit(0))).alias("x"))
+    return c.groupBy("conv_id", "turn").agg(F.count("*").alias("lines"), F.sum(F.length("x")).alias("chars"))
+
+
+@query()
+def shown_hits(spark, sf_dir):
+    return search.hits(items(spark, sf_dir).select("id", "app", "captured_at", "text"))
+
+
 # ---- sequences and streams ----
 @query()
 def scroll_sequences(spark, sf_dir):

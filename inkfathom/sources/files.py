@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,21 @@ def image_files(spark: SparkSession, path: str, limit: int | None = None) -> Dat
     return out.orderBy("path").limit(limit) if limit else out
 
 
+def photos(found: DataFrame, now: Column, settle: int, since: Column | None = None) -> DataFrame:
+    """Files (path, modified) that a watcher takes, with settled: named as phones and computers name pictures, or, of any name, arrived since it was switched on.
+
+    Downloads (column downloaded, if there is one) of other names are never taken. What was modified less than `settle`
+    seconds ago is still being written: settled is false, and it waits.
+    """
+    named = F.col("name_parts").isNotNull() & (F.col("name_parts.captured_at").isNotNull())
+    out = found.withColumn("name_parts", name_parts(F.regexp_extract("path", r"([^/]*)$", 1)))
+    arrived = F.lit(False) if since is None else (F.col("modified") >= since) & (~F.coalesce("downloaded", F.lit(False)) if "downloaded" in found.columns else F.lit(True))
+    base = F.lower(F.regexp_extract("path", r"([^/]*)$", 1))
+    image = base.rlike(r"^[^.].*\.(" + "|".join(IMAGES) + ")$")
+    out = out.where(image & (F.coalesce(named, F.lit(False)) | F.coalesce(arrived, F.lit(False))))
+    return out.withColumn("settled", F.timestamp_diff("SECOND", F.col("modified"), now) >= settle).drop("name_parts")
+
+
 def manifests(spark: SparkSession, path: str, schema: T.StructType | str, id_col: str = "id") -> DataFrame:
     """The latest record of each id in JSON-lines manifests: by file name, then by place in the file. Lines that are no JSON are left out."""
     raw = spark.read.option("recursiveFileLookup", "true").text(path).select("value", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))

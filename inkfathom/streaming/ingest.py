@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from inkfathom.operators.sessions import GAP_APP, GAP_NONE
+from inkfathom.tables import exists
 
 
 def once(batch: DataFrame, known: DataFrame, id_col: str = "id") -> DataFrame:
@@ -23,12 +25,10 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, transform: Callable[
         spark = batch.sparkSession
         here = f"{target}/batch={number}"
         new = batch.dropDuplicates([id_col])
-        try:
-            known = spark.read.option("basePath", target).parquet(target).where(F.col("batch") != number)
+        if exists(spark, target):  # else this is the first batch
+            schema = T.StructType([*transform(new).schema.fields, T.StructField("batch", T.LongType())])
+            known = spark.read.schema(schema).option("basePath", target).parquet(target).where(F.col("batch") != number)
             new = once(batch, known, id_col)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
         transform(new).write.mode("overwrite").parquet(here)
 
     out = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

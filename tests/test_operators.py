@@ -39,9 +39,9 @@ def test_codes(spark):
     good = body + f"{payments.checksum(body.encode()):04X}"
     got = column(spark, [good, good[:-1] + "Z", "x", None], payments.payment)
     assert [r.valid for r in got] == [True, False, False, False] and (got[0].merchant_name, got[0].merchant_city) == ("Kedai1", "KL")
-    kinds = column(spark, ["HTTP://x", "wifi:S:a;P:b\;c;;", "mailto:x", "geo:1", "MECARD:x", "hello", "smsto:1"], lambda c: T.qr_type(c, F.lit(False)))
+    kinds = column(spark, ["HTTP://x", "wifi:S:a;P:b\\;c;;", "mailto:x", "geo:1", "MECARD:x", "hello", "smsto:1"], lambda c: T.qr_type(c, F.lit(False)))
     assert kinds == ["url", "wifi", "mailto", "geo", "contact", "text", "smsto"]
-    assert column(spark, ["WIFI:S:a;P:b\;c;H:x;;"], T.qr_stored) == ["WIFI:S:a;P:<redacted>;H:x;;"]
+    assert column(spark, ["WIFI:S:a;P:b\\;c;H:x;;"], T.qr_stored) == ["WIFI:S:a;P:<redacted>;H:x;;"]
 
 
 def test_small_texts(spark):
@@ -442,3 +442,89 @@ def test_layout(spark):
 def test_look_alikes(spark):
     got = {(r.raw, r.candidate): r.edits for r in links.candidates(spark.createDataFrame([("docs.qoogle.com",), ("rnvv.co",), ("a",)], "raw string")).collect()}
     assert got["docs.qoogle.com", "docs.google.com"] == 1 and got["rnvv.co", "mw.co"] == 2 and got["rnvv.co", "rnw.co"] == 1 and not any(r == "a" for r, _ in got)
+
+
+# ---- what the queries over the given tables do not show ----
+def test_sessions_go_over_stretches(spark):
+    """Short stretches, so that sessions begin, go on and end in others; against one walk in order."""
+    import random
+
+    r = random.Random(1)
+    at, rows = 0, []
+    for k in range(300):
+        at += r.choice([0, 60, 600, 601, 1800, 1801, 5000])
+        rows.append((f"i{k:03d}", r.choice([None, "x"]), at))
+    df = spark.createDataFrame(rows, "id string, source_app string, s long").select("id", "source_app", F.timestamp_seconds("s").cast("timestamp_ntz").alias("captured_at"))
+    want, last = {}, {}
+    for i, app, s in sorted(rows, key=lambda x: (x[2], x[0])):
+        before = last.get(app)
+        session = before[1] if before and s - before[0] <= (600 if app else 1800) else [i]
+        if session[0] != i:
+            session.append(i)
+        last[app] = (s, session)
+        want[i] = session
+    want = {i: (x[0], x.index(i) + 1, len(x)) for i, x in want.items() if len(x) > 1}
+    for stretch in (500, 86_400):
+        assert {x.id: (x.session, x.part, x.size) for x in sessions.sessions(df, stretch).collect()} == want
+
+
+def test_stable_ids_are_chosen_in_turn(spark):
+    import random
+
+    r = random.Random(2)
+    votes = list({(f"sha256:{r.randint(0, 40):08d}", f"grp-{r.randint(0, 60)}"): r.randint(1, 3) for _ in range(90)}.items())
+    taken, want = set(), {}
+    for root in sorted({x for (x, _), _ in votes}):
+        mine = sorted((-n, old) for (x, old), n in votes if x == root)
+        alone = [old for n, old in mine if n == mine[0][0]][0]
+        if len({x for (x, old), _ in votes if old == alone}) == 1:
+            want[root] = alone
+            taken.add(alone)
+    for root in sorted({x for (x, _), _ in votes} - set(want)):
+        free = [old for _, old in sorted((-n, old) for (x, old), n in votes if x == root) if old not in taken]
+        want[root] = free[0] if free else "grp-" + root[7:]
+        taken |= set(free[:1])
+    df = spark.createDataFrame([(x, old, n) for (x, old), n in votes], "root string, old string, n int")
+    assert {x.root: x.gid for x in duplicates.stable_ids(df.select("root").distinct(), df, "grp-").collect()} == want
+
+
+def test_owned_notes(spark):
+    from inkfathom.sources import sinks
+
+    made = lambda old: spark.range(1).select(sinks.owned_note({"a": F.lit("1"), "b": F.lit(None)}, F.lit("new"), F.lit(old).cast("string")).alias("n")).head().n
+    first = made(None)
+    assert not first.conflict and first.note == f'---\na: "1"\n---\n\n{sinks.BEGIN}\n\nnew\n\n{sinks.END}{sinks.TAIL}'
+    mine = first.note.replace('a: "1"', 'a: "0"\nb: "gone"\nkept: x\nlist:\n- one\n  two').replace(sinks.TAIL, "\nwords of mine")
+    again = made(mine)
+    assert again.note == f'---\na: "1"\nkept: x\nlist:\n- one\n  two\n---\n\n{sinks.BEGIN}\n\nnew\n\n{sinks.END}\nwords of mine'
+    for broken in ("no marks", f"{sinks.END} {sinks.BEGIN}", ""):
+        assert made(broken).conflict and made(broken).note is None
+
+
+def test_hits_are_redacted_before_they_are_cut(spark):
+    text = "x" * 190 + " mail someone.long@example-host.org now"
+    got = search.hits(spark.createDataFrame([(1, text)], "id int, text string")).head()
+    assert "someone" not in got.excerpt and len(got.excerpt) <= 200 and got.redactions == 1
+
+
+def test_board(spark):
+    assert search.dispatched("held", ("chat",)) == {"state": "held"} and search.dispatched("chat", ("chat",)) == {"category": "chat"} and search.dispatched("x", ()) == {"query": "x"}
+    df = spark.createDataFrame([(1, "red fox", "chat", ["t"], "held", "2024-01-01"), (2, "red red dog", "web", [], "held", "2024-01-03"), (3, "fox", "chat", [], "present", None)], "id int, text string, kind string, topics array<string>, state string, d string").withColumn("captured_at", F.col("d").cast("timestamp_ntz"))
+    ids = lambda **k: [r.id for r in search.board(df, **k).collect()]
+    assert ids() == [2, 1, 3] and ids(category="topic/t") == [1] and ids(category="chat", state="held") == [1] and ids(query="red", state="held") in ([2, 1], [1, 2]) and ids(query="red dog") == [2]
+
+
+def test_tables_can_be_taken_away(spark):
+    from inkfathom import tables
+
+    one = tables.table(spark.range(3).toDF("id"), "test")
+    assert one.count() == 3 and tables.exists(spark, one._written_to)
+    tables.discard(one)
+    assert not tables.exists(spark, one._written_to)
+
+
+def test_allow_list_needs_suffixes(spark):
+    given = spark.createDataFrame([("https://a.b.com/x",), ("",)], "given string")
+    none = spark.createDataFrame([], "rule string, kind string")
+    got = {r.given: (r.domain, r.error) for r in links.allow_targets(given, none, spark.createDataFrame([("com",)], "tld string")).collect()}
+    assert got == {"https://a.b.com/x": (None, "no suffix list"), "": (None, "no suffix list")}
