@@ -331,7 +331,7 @@ def links_in_pages(spark, sf_dir):
 
 @query()
 def links_over_lines(spark, sf_dir):
-    p = read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.posexplode(F.array(F.concat(F.lit("see "), F.substring("url", 1, 20)), F.substring("url", 21, 200), F.lit("end"))).alias("line_no", "text"))
+    p = read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.posexplode(F.array(F.concat(F.lit("see "), F.substring("url", 1, 20)), F.substring("url", 21, 1 << 30), F.lit("end"))).alias("line_no", "text"))
     none = F.lit(None).cast("double")
     return links.found_in_lines(p.select("id", "line_no", "text", F.lit(0.9).alias("conf"), none.alias("x"), none.alias("y"), none.alias("w"), none.alias("h")))
 

@@ -166,7 +166,7 @@ def test_session_topics(spark):
 
 # ---- rules ----
 def ruled(spark, rows):
-    return spark.createDataFrame(rows, "app string, qr_types array<string>, domains array<string>, text string, lang string")
+    return spark.createDataFrame(rows, "app string, qr_types array<string>, domains array<string>, text string, lang string").transform(rules.prepared)
 
 
 def test_built_in_rules(spark):
@@ -192,7 +192,7 @@ def test_rule_errors_and_user_rules():
 def test_kind_order(spark):
     item = {"text_coverage": F.col("cover"), "text_chars": F.lit(5), "grays": F.lit(200), "edges": F.lit(0.1), "n_qr": F.lit(0)}
     rows = [("com.whatsapp", 0.5, "x.png", None, None), ("com.whatsapp", 0.01, "x.png", None, None), (None, 0.5, "IMG_20240101_101010.jpg", None, None), (None, None, "x", None, None), (None, 0.01, "x", "user", "document"), ("com.apple.camera", 0.5, "x", "rule", "chat")]
-    df = spark.createDataFrame(rows, "app string, cover double, name string, by string, set string").withColumns({"text": F.lit(""), "lang": F.lit(None).cast("string"), "qr_types": F.array().cast("array<string>"), "domains": F.array().cast("array<string>")})
+    df = spark.createDataFrame(rows, "app string, cover double, name string, by string, set string").withColumns({"text": F.lit(""), "lang": F.lit(None).cast("string"), "qr_types": F.array().cast("array<string>"), "domains": F.array().cast("array<string>")}).transform(rules.prepared)
     first = rules.classify(rules.load()[0])
     got = df.select(rules.kind(first, item, rules.is_camera(F.col("app"), F.col("name")), F.col("by"), F.col("set")).alias("k")).collect()
     assert [r.k.kind for r in got] == ["chat", "photo", "slide", "screenshot", "document", "slide"]
