@@ -101,12 +101,12 @@ def load(toml: str | None = None) -> tuple[list[Rule], list[Rule]]:
 
 
 def classify(rules: Iterable[Rule]) -> Column:
-    """struct(kind, why) of the first rule that matches, null if none does; rules behind it are not tried."""
-    def pair(r: Rule) -> Column:
-        named = F.filter(F.array(F.struct(F.lit(r.name).alias("kind"), r.why().alias("why"))), lambda x: x["why"].isNotNull())
-        return F.get(named, F.lit(0))
+    """struct(kind, why) of the first rule that matches, null if none does; rules behind it are not tried.
 
-    return F.coalesce(*[pair(r) for r in rules])
+    Whoever reads it more than once gives it a column of its own first.
+    """
+    first = F.coalesce(*[F.concat(F.lit(f"{r.name}\0"), r.why()) for r in rules])
+    return F.when(first.isNotNull(), F.struct(F.substring_index(first, "\0", 1).alias("kind"), F.regexp_replace(first, r"(?s)\A[^\x00]*\x00", "").alias("why")))
 
 
 def topics(rules: Iterable[Rule]) -> Column:

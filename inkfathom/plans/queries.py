@@ -293,7 +293,8 @@ def built_in_rules(spark, sf_dir):
     kinds, topics = rules.load()
     rows = _ruled(spark, sf_dir)
     rows = rows.withColumn("lang", code_text.language(F.col("text"))["lang"])
-    first, found = rules.classify(kinds), rules.topics(topics)
+    rows = rows.withColumns({"first": rules.classify(kinds), "found": rules.topics(topics)})
+    first, found = F.col("first"), F.col("found")
     pixels = {"text_coverage": F.lit(None).cast("double"), "text_chars": F.col("n_chars"), "grays": F.lit(0), "edges": F.lit(0.0), "n_qr": F.lit(0)}
     kind = rules.kind(first, pixels, rules.is_camera(F.col("app"), F.lit("")), F.lit(None).cast("string"), F.lit(None).cast("string"))
     return rows.select("id", kind.alias("k"), found.alias("topics")).select("id", "k.kind", "k.why", F.array_join(F.array_sort(F.map_keys("topics")), ",").alias("topics"))
