@@ -165,7 +165,7 @@ def _extra(docs: DataFrame, based: DataFrame) -> DataFrame:
     c_e = table(each.groupBy("e").agg(F.sum("n_docs").alias("c_e")).where(F.col("c_e") >= SUPPORT), "pii-entities")
     known = each.join(c_e, "e").groupBy("_row").agg(F.collect_list("e").alias("_e"))  # an entity of one document has no evidence
     texts = table(some.select("_row", "n_docs", "_rest").join(known, "_row"), "pii-evidence")
-    found = evidence(texts, _with_classes(_terms(F.col("_rest"))))
+    found = evidence(texts.withColumn("_terms", _terms(F.col("_rest"))), _with_classes(F.col("_terms")))
     pairs = table(found.groupBy("kind", "value", "term").agg(F.sum("n_docs").alias("c_te")).where(F.col("c_te") >= SUPPORT), "pii-pairs")
     over = table(_levels(_disclosing(docs, some, c_e, pairs)), "pii-disclosing")
     hits = evidence(texts, _terms(F.col("_rest"))).join(over, ["kind", "value", "term"]).groupBy("_row", "term").agg(F.max("level").alias("level"))
@@ -195,11 +195,13 @@ def _disclosing(docs: DataFrame, some: DataFrame, c_e: DataFrame, pairs: DataFra
     place = lambda t: F.pmod(F.xxhash64(t), F.lit(1 << BITS))
     listed = lambda t: F.getbit(F.element_at("_set", (F.shiftright(place(t), 6) + 1).cast("int")), place(t).bitwiseAND(F.lit(63)).cast("int")) == 1
     count = lambda df, terms, n: df.join(asked).select(F.explode(F.filter(terms, listed)).alias("term"), n.alias("n"))
-    text, rest = (_with_classes(_terms(F.col(c))) for c in ("_text", "_rest"))
-    # Terms of whole texts, less those that only base spans hold.
-    words = count(docs.select(F.coalesce(docs["text"], F.lit("")).alias("_text")), text, F.lit(1).cast("long"))
-    within = count(some, F.array_except(text, rest), -F.col("n_docs"))
-    beside = count(some, F.array_except(rest, text), F.col("n_docs"))
+    # Terms of whole texts, less those that only base spans hold; columns of their own, so that a text is split once.
+    words = docs.select(_terms(F.coalesce(docs["text"], F.lit(""))).alias("_terms"))
+    words = count(words, _with_classes(F.col("_terms")), F.lit(1).cast("long"))
+    both = some.select("n_docs", *[_terms(F.col(c)).alias(c) for c in ("_text", "_rest")])
+    text, rest = (_with_classes(F.col(c)) for c in ("_text", "_rest"))
+    within = count(both, F.array_except(text, rest), -F.col("n_docs"))
+    beside = count(both, F.array_except(rest, text), F.col("n_docs"))
     c_t = words.union(within).union(beside).groupBy("term").agg(F.sum("n").alias("c_t"))
     counted = pairs.join(c_e.select("e.kind", "e.value", "c_e"), ["kind", "value"]).join(F.broadcast(c_k), "kind").join(c_t, "term")
     return table(counted.where(F.col("c_te") * F.col("c_k") >= F.col("c_t") * F.col("c_e")).select("kind", "value", "term", (F.col("c_te") >= F.col("c_t")).alias("remove")), "pii-over")
