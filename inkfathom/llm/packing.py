@@ -31,7 +31,7 @@ CAPACITY = 2048
 #: Rows that one bucket of a length is meant to hold, and the least number of buckets.
 BUCKET_ROWS, LEAST_BUCKETS = 200_000, 256
 #: Parts of texts whose ids a Python worker remembers.
-CACHE_PARTS = 800_000
+CACHE_PARTS = 400_000
 
 
 class WordEncoder:
@@ -93,7 +93,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, closing_id
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_encoder, end = encoder(tokenizer), np.array([closing_id], "<u4")
-        for batch in slices(batches, max_bytes=8 << 20):
+        for batch in slices(batches, max_bytes=2 << 20):
             ids, upto = own_encoder.encode(batch.column("text"))
             rows: list[tuple] = []
             kept = []
