@@ -28,8 +28,8 @@ def sessions(rows: DataFrame, stretch: int = STRETCH) -> DataFrame:
     ends = timed.groupBy(*key).agg(F.max("captured_at").alias("_last"))
     ends = ends.select(*key, F.lag("_last").over(before).alias("_ahead"))
     inside = Window.partitionBy(*key).orderBy("captured_at", "id")
-    gap = F.timestamp_diff("SECOND", F.coalesce(F.lag("captured_at").over(inside), F.col("_ahead")), F.col("captured_at"))
-    marked = timed.join(ends, key).withColumn("_starts", F.coalesce(gap > limit, F.lit(True)))
+    gap = F.timestamp_diff("MICROSECOND", F.coalesce(F.lag("captured_at").over(inside), F.col("_ahead")), F.col("captured_at"))  # whole seconds would let a part of one pass
+    marked = timed.join(ends, key).withColumn("_starts", F.coalesce(gap > limit * 1_000_000, F.lit(True)))
     marked = marked.withColumn("_own", F.last(F.when(F.col("_starts"), F.struct("id")), ignorenulls=True).over(inside)).drop("_ahead")
     # What is before a stretch's first start belongs to the session that the stretches before left open.
     opened = marked.groupBy(*key).agg(F.max(F.when(F.col("_starts"), F.struct("captured_at", "id"))).alias("_open"))

@@ -158,6 +158,13 @@ def test_sessions(spark):
     assert sessions.episode_summary(kinds).head().modal_kind == "web"
 
 
+def test_sessions_end_within_a_second_of_the_limit(spark):
+    rows = [("a", "x", "2024-01-01 10:00:00.25"), ("b", "x", "2024-01-01 10:10:00.25"), ("c", "x", "2024-01-01 10:20:00.250001"), ("d", None, "2024-01-01 10:00:00"), ("e", None, "2024-01-01 10:30:00.9"), ("f", None, "2024-01-01 11:00:00.9")]
+    for stretch in (300, 86_400):
+        got = sessions.sessions(captures(spark, rows), stretch).collect()
+        assert {r.id: (r.session, r.part, r.size) for r in got} == {"a": ("a", 1, 2), "b": ("a", 2, 2), "e": ("e", 1, 2), "f": ("e", 2, 2)}
+
+
 def test_session_topics(spark):
     rows = [("a", 1, ["x"], [], []), ("b", 1, ["x"], [], []), ("c", 1, ["x", "y"], [], []), ("d", 1, [], [], []), ("e", 1, [], [], ["x"]), ("f", 2, ["x"], ["z"], []), ("g", 2, [], [], []), ("h", 3, ["x"], [], []), ("i", 3, [], [], [])]
     df = spark.createDataFrame(rows, "id string, session int, topics array<string>, added array<string>, removed array<string>")
