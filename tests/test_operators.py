@@ -171,6 +171,14 @@ def test_session_topics(spark):
     assert {r.id: r.topics for r in sessions.inherited_topics(df).collect()} == {"d": ["x"], "g": ["z"]}
 
 
+def test_topics_stop_where_sessions_end(spark):
+    """A tag a part of a second over the limit away is another session's."""
+    rows = captures(spark, [("a", "x", "2024-01-01 10:00:00"), ("b", "x", "2024-01-01 10:05:00"), ("c", "x", "2024-01-01 10:15:00.5")])
+    none = F.array().cast("array<string>")
+    tagged = sessions.sessions(rows).select("id", "session", none.alias("topics"), F.when(F.col("id") == "c", F.array(F.lit("pinned"))).otherwise(none).alias("added"), none.alias("removed"))
+    assert sessions.inherited_topics(tagged).count() == 0
+
+
 # ---- rules ----
 def ruled(spark, rows):
     return spark.createDataFrame(rows, "app string, qr_types array<string>, domains array<string>, text string, lang string").transform(rules.prepared)
