@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,52 +37,86 @@ def _quoted(name: str) -> str:
     return r"\Q" + name.replace(r"\E", r"\E\\E\Q") + r"\E"
 
 
+def _words(words: Iterable[str]) -> str:
+    """A pattern of words as they stand, first letters first; a word that begins with another one need not be there."""
+    words = list(dict.fromkeys(words))
+    some = [w for w in words if not any(v != w and w.startswith(v) for v in words)]
+    return "(?=[" + "".join(sorted({w[0] for w in some})) + "])(?:" + "|".join(some) + ")"
+
+
+#: What every line that a step's pattern matches has as well, as a pattern that is fast to miss: few lines meet the step's own.
+#: Letters i of patterns without case can be ı and İ.
+NEEDS = {
+    CUE: _words(("Prepared", "Reviewed", "Approved", "Signed", "Certified", "Audited")),
+    HONORIFIC: _words(re.match("[A-Za-z]+", h)[0] for h in HONORIFICS),
+    PATRONYMIC: r"(?U)(?:[bB][iIıİ][nN](?:[tT][iIıİ])?|[aA]/[lLpP])\s",
+    GIVEN: _words(GIVEN_NAMES),
+    IC: "-..-",
+    EMAIL: "@",
+    PHONE: r"01|60[\s\S]?1",
+    GPS: r"(?U)\.\d{3}",
+    ADDRESS_CUE: "[aA](?:[lL][aA][mM][aA][tT]|[dD][dD][rR])",
+    STREET: _words(STREETS),
+    POSTCODE: r"(?U)\d{5},?\s",
+}
+
+
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once a row: no filter or projection above takes its expression over, as they do with withColumn's."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def redact_lines(rows: DataFrame, text: str, known_names: tuple[str, ...] = ()) -> DataFrame:
-    """Adds _lines: array of (clean, n) of each line of a text column by itself."""
+    """Adds _lines: array of (raw, clean, n) of each line of a text column by itself."""
     steps = [("(?iu)" + _quoted(n), "[NAME]") for n in known_names] + list(STEPS)
-    rows = rows.withColumn("_lines", F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.struct(x.alias("raw"), x.alias("clean"), F.lit(0).alias("n"))))
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.struct(x.alias("raw"), x.alias("clean"), F.lit(0).alias("n")))
 
-    def step(p: str, t: str):  # most lines have no match: one search tells
+    def step(p: str, t: str):
         done = lambda x: F.struct(x["raw"].alias("raw"), F.regexp_replace(x["clean"], p, t).alias("clean"), (x["n"] + F.regexp_count(x["clean"], F.lit(p))).alias("n"))
-        return lambda x: F.when(x["clean"].rlike(p), done(x)).otherwise(x)
+        has = lambda c: c.rlike(NEEDS[p]) & c.rlike(p) if p in NEEDS else c.rlike(p)
+        return lambda x: F.when(has(x["clean"]), done(x)).otherwise(x)
 
     for pattern, token in steps:
-        rows = rows.withColumn("_lines", F.transform("_lines", step(pattern, token)))
-    return rows
+        lines = F.transform(lines, step(pattern, token))
+    return _once(rows, "_lines", lines)
 
 
 def redact(rows: DataFrame, text: str = "text", clean: str = "clean", count: str = "redactions", known_names: tuple[str, ...] = ()) -> DataFrame:
     """Adds the redacted text and the number of redactions: names, numbers, addresses line by line; then a name that stands
     alone above a profile's marker; then up to three lines that carry an address on."""
     rows = redact_lines(rows, text, known_names)
-    empty = F.array().cast("array<string>")
     meaningful = lambda x: (F.trim(x["raw"]) != "") & ~F.trim(x["raw"]).isin("•", "·")
-    follows = F.transform("_lines", lambda x, i: F.get(F.filter(F.slice("_lines", i + 2, 3), meaningful), F.lit(0))["raw"])
-    rows = rows.withColumn("_next", follows)
 
     def name(x: Column, i: Column) -> Column:
         raw = x["raw"]
-        alone = raw.rlike(NAME_LINE) & (F.size(F.split(F.trim(raw), r"\s+")) <= 5) & ~raw.rlike(NOT_A_NAME) & F.coalesce(F.get("_next", i).rlike(PROFILE_NEXT), F.lit(False))
+        follows = F.get(F.filter(F.slice("_lines", i + 2, 3), meaningful), F.lit(0))["raw"]
+        alone = raw.rlike(NAME_LINE) & (F.size(F.split(F.trim(raw), r"\s+")) <= 5) & ~raw.rlike(NOT_A_NAME) & F.coalesce(follows.rlike(PROFILE_NEXT), F.lit(False))
         hit = alone & ~F.contains(x["clean"], F.lit("[NAME]"))
-        return F.struct(raw.alias("raw"), F.when(hit, "[NAME]").otherwise(x["clean"]).alias("clean"), (x["n"] + hit.cast("int")).alias("n"))
+        return F.when(hit, F.struct(raw.alias("raw"), F.lit("[NAME]").alias("clean"), (x["n"] + 1).alias("n"))).otherwise(x)
 
-    rows = rows.withColumn("_named", F.transform("_lines", name))
-    zero = F.struct(empty.alias("out"), F.lit(0).alias("n"), F.lit(0).alias("left"), F.lit(False).alias("comma"))
+    rows = _once(rows, "_named", F.transform("_lines", name))
+    address = lambda x: F.contains(x["clean"], F.lit("[ADDRESS]"))
+    comma = lambda c: F.rtrim(c).endswith(",")
 
-    def step(a: Column, x: Column) -> Column:
+    def mark(x: Column) -> Column:
         raw = x["raw"]
-        own = F.contains(x["clean"], F.lit("[ADDRESS]"))
-        on = ~own & (a["left"] > 0) & (F.trim(raw) != "") & ~raw.rlike(ADDRESS_STOPS) & (raw.rlike(ADDRESS_GOES_ON) | a["comma"])
-        line = F.when(on, "[ADDRESS]").otherwise(x["clean"])
-        return F.struct(
-            F.concat(a["out"], F.array(line)).alias("out"),
-            (a["n"] + x["n"] + on.cast("int")).alias("n"),
-            F.when(own, ADDRESS_LINES).when(on, a["left"] - 1).otherwise(0).alias("left"),
-            F.when(own, F.rtrim(x["clean"]).endswith(",")).when(on, F.rtrim(raw).endswith(",")).otherwise(a["comma"]).alias("comma"),
-        )
-
-    rows = rows.withColumn("_folded", F.aggregate("_named", zero, step))
-    return rows.withColumns({clean: F.array_join("_folded.out", "\n"), count: F.col("_folded.n")}).drop("_lines", "_next", "_named", "_folded")
+        can = ~address(x) & (F.trim(raw) != "") & ~raw.rlike(ADDRESS_STOPS)
+        return F.struct(address(x).alias("own"), can.alias("can"), raw.rlike(ADDRESS_GOES_ON).alias("goes"), comma(x["clean"]).alias("comma"), comma(raw).alias("raw_comma"))
+
+    # Only texts with an address have marks. A line carries on the address above it, or one that carries it on, and so on.
+    rows = _once(rows, "_marks", F.when(F.exists("_named", address), F.transform("_named", mark)))
+    at = lambda i, f: F.coalesce(F.get("_marks", i)[f], F.lit(False))
+    after = lambda i, c: at(i, "can") & (at(i, "goes") | at(i - 1, c))
+
+    def carried(i: Column, left: int = ADDRESS_LINES) -> Column:
+        on = at(i - 1, "own") & after(i, "comma")
+        return on if left == 1 else on | (after(i, "raw_comma") & carried(i - 1, left - 1))
+
+    done = F.transform("_named", lambda x, i: F.when(carried(i), F.struct(x["raw"].alias("raw"), F.lit("[ADDRESS]").alias("clean"), (x["n"] + 1).alias("n"))).otherwise(x))
+    rows = _once(rows, "_done", F.when(F.col("_marks").isNull(), F.col("_named")).otherwise(done))
+    total = F.aggregate("_done", F.lit(0), lambda a, x: a + x["n"])
+    rows = _once(rows, "_shown", F.struct(F.array_join(F.transform("_done", lambda x: x["clean"]), "\n").alias("clean"), total.alias("n")))
+    return rows.withColumns({clean: F.col("_shown.clean"), count: F.col("_shown.n")}).drop("_lines", "_named", "_marks", "_done", "_shown")
 
 
 # Kinds of credentials, in the order they are taken out.

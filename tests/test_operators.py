@@ -158,6 +158,41 @@ def test_sessions(spark):
     assert sessions.episode_summary(kinds).head().modal_kind == "web"
 
 
+def test_redaction_is_computed_once_and_what_is_searched_first_loses_nothing(spark):
+    """A filter on the number of redactions takes no step over; odd letters and spaces of patterns without case are found too."""
+    lines = ["Ali B\u0130N Abu said", "Ali b\u0131n\u2003Abu", "x ALAMAT: y", "a ADDr - z", "call 60\u20031 2 or 601234567890", "+60-12 345 6789", "I saw Nurul Huda", "Dato Sri Azman", "No. 3, Jalan Ampang 5,", "50450 Kuala Lumpur,", "next", "", "plain", "900101-14-5555", "a@b.co", "3.1234, 101.1234", "Audited by: Tan Ah"]
+    df = spark.createDataFrame([("\n".join(lines),), ("plain",), (None,)], "text string")
+    out = redaction.redact(df).where("redactions > 0")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == len(redaction.STEPS) and out.count() == 1
+    bare = spark.createDataFrame([(x,) for x in lines], "x string")
+    for p, _ in redaction.STEPS:
+        assert bare.where(F.col("x").rlike(p) & ~F.col("x").rlike(redaction.NEEDS[p])).count() == 0
+    assert bare.where(F.col("x").rlike(redaction.PATRONYMIC)).count() == 2
+
+
+def test_addresses_are_carried_on_in_long_texts(spark):
+    """As a walk from line to line, and in a text of many lines."""
+    goes = ["Jalan A 1,", "Jalan A 1", "12345 x", "x", "x,", "", "total 3", "Perak,", "Jalan B 2,"]
+    import random
+
+    r = random.Random(4)
+    texts = ["\n".join(r.choice(goes) for _ in range(n)) for n in [8] * 60 + [3000]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {x.id: x.clean.split("\n") for x in redaction.redact(df).collect()}
+    for i, t in enumerate(texts):
+        want, left, comma = [], 0, False
+        for x in t.split("\n"):
+            if x.startswith("Jalan"):
+                clean, left, comma = ("[ADDRESS]," if x.endswith(",") else "[ADDRESS]"), 3, x.endswith(",")
+            elif left and x and x != "total 3" and (comma or "12345" in x or "Perak" in x):
+                clean, left, comma = "[ADDRESS]", left - 1, x.endswith(",")
+            else:
+                clean, left = x, 0
+            want.append(clean)
+        assert got[i] == want
+
+
 def test_sessions_end_within_a_second_of_the_limit(spark):
     rows = [("a", "x", "2024-01-01 10:00:00.25"), ("b", "x", "2024-01-01 10:10:00.25"), ("c", "x", "2024-01-01 10:20:00.250001"), ("d", None, "2024-01-01 10:00:00"), ("e", None, "2024-01-01 10:30:00.9"), ("f", None, "2024-01-01 11:00:00.9")]
     for stretch in (300, 86_400):
