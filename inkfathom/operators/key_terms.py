@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkfathom.functions.redaction import redact
 from inkfathom.functions.text import key_words
 from inkfathom.functions.wordlists import GIVEN_NAMES
+from inkfathom.tables import table
 
 TOP, LEAST_DF, MOST_SHARE = 5, 2, 0.25
 
@@ -28,12 +29,12 @@ def redacted_terms(rows: DataFrame, id_col: str = "id", text_col: str = "text")
 
 def scored_terms(rows: DataFrame, id_col: str = "id", text_col: str = "text", excluded: DataFrame | None = None) -> DataFrame:
     """id, term, tf, df, weight, rank (1 is best, ties alphabetically) of the best terms; excluded has a column term."""
-    tf = _counts(rows, id_col, text_col)
-    if excluded is not None:
-        tf = tf.join(excluded.select("term").distinct(), "term", "left_anti")
+    tf = table(_counts(rows, id_col, text_col), "key-terms")  # read twice: texts are taken apart once
     n = rows.select(F.count("*").alias("n"))  # one row
     df = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).where((F.col("df") >= LEAST_DF) & (F.col("df") <= F.greatest(F.lit(float(LEAST_DF)), MOST_SHARE * F.col("n"))))
-    scored = tf.join(df, "term").withColumn("weight", F.round(F.col("tf") * F.log(F.col("n") / F.col("df")), 9)).drop("n")
+    if excluded is not None:
+        df = df.join(excluded.select("term").distinct(), "term", "left_anti")
+    scored = tf.join(df.hint("shuffle_hash"), "term").withColumn("weight", F.round(F.col("tf") * F.log(F.col("n") / F.col("df")), 9)).drop("n")
     order = Window.partitionBy(id_col).orderBy(F.desc("weight"), "term")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP)
 

@@ -578,3 +578,13 @@ def test_allow_list_needs_suffixes(spark):
     none = spark.createDataFrame([], "rule string, kind string")
     got = {r.given: (r.domain, r.error) for r in links.allow_targets(given, none, spark.createDataFrame([("com",)], "tld string")).collect()}
     assert got == {"https://a.b.com/x": (None, "no suffix list"), "": (None, "no suffix list")}
+
+
+def test_key_terms_take_texts_apart_once(spark):
+    """Terms are counted from the texts once, and redaction's steps stand in the plan once each; what is excluded is no term, repeated ids are one text."""
+    df = spark.createDataFrame([(1, "alpha beta beta Nurul Huda"), (1, "alpha gamma"), (2, "alpha gamma mail me@x.com"), (3, "beta huda"), (4, None), (5, ""), (6, "other"), (7, "words")], "id long, text string")
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan(key_terms.scored_terms(df))
+    assert plan(key_terms.redacted_terms(df)).count("regexp_replace(") == len(redaction.STEPS)
+    got = {(r.id, r.term): (r.tf, r.df) for r in key_terms.scored_terms(df, excluded=spark.createDataFrame([("alpha",)], "term string")).collect()}
+    assert got == {(1, "beta"): (2, 2), (1, "huda"): (1, 2), (3, "beta"): (1, 2), (3, "huda"): (1, 2), (1, "gamma"): (1, 2), (2, "gamma"): (1, 2)}
