@@ -588,3 +588,18 @@ def test_key_terms_take_texts_apart_once(spark):
     assert plan(key_terms.redacted_terms(df)).count("regexp_replace(") == len(redaction.STEPS)
     got = {(r.id, r.term): (r.tf, r.df) for r in key_terms.scored_terms(df, excluded=spark.createDataFrame([("alpha",)], "term string")).collect()}
     assert got == {(1, "beta"): (2, 2), (1, "huda"): (1, 2), (3, "beta"): (1, 2), (3, "huda"): (1, 2), (1, "gamma"): (1, 2), (2, "gamma"): (1, 2)}
+
+
+def test_few_lines_meet_the_matcher(monkeypatch):
+    """Against every pair compared by a matcher; matchers are made for pairs that share nearly all letters only."""
+    import difflib
+    import random
+
+    r = random.Random(6)
+    one = ["".join(r.choice("abcdefgh0123") for _ in range(r.choice([0, 5, 12, 20, 60]))) for _ in range(40)]
+    two = [x if k % 3 else x[:-1] + "z" if x else x for k, x in enumerate(one)] + one[::-1]
+    want = [[x == y or (min(len(x), len(y)) >= 12 and [c for c in x if c.isdigit()] == [c for c in y if c.isdigit()] and difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() >= 0.9) for y in two] for x in one]
+    made, real = [], difflib.SequenceMatcher
+    monkeypatch.setattr(sequences.difflib, "SequenceMatcher", lambda *a, **k: made.append(1) or real(*a, **k))
+    assert sequences.alike(one, two).tolist() == want and len(made) < 60
+    assert sequences.alike([], two).shape == (0, len(two)) and sequences.alike(one, []).shape == (len(one), 0)
