@@ -603,3 +603,25 @@ def test_few_lines_meet_the_matcher(monkeypatch):
     monkeypatch.setattr(sequences.difflib, "SequenceMatcher", lambda *a, **k: made.append(1) or real(*a, **k))
     assert sequences.alike(one, two).tolist() == want and len(made) < 60
     assert sequences.alike([], two).shape == (0, len(two)) and sequences.alike(one, []).shape == (len(one), 0)
+
+
+def test_sets_are_counted_by_blocks(spark, monkeypatch):
+    """Whatever the size of a block, the pairs are those of all sets compared; no pair of tokens is joined and no set carried."""
+    import random
+
+    r = random.Random(8)
+    base = [[f"w{k}" for k in r.sample(range(120), r.choice([10, 20, 60]))] for _ in range(25)]
+    sets = base + [r.sample(x, max(10, int(len(x) * 0.9))) + [f"v{k}" for k in range(r.choice([0, 1, 30]))] for x in base] + [base[0], ["few"]]
+    rows = [(i, sorted(set(t)), None) for i, t in enumerate(sets)]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>, dhash string")
+    good = lambda a, b: min(len(a), len(b)) >= 10 and len(a & b) / min(len(a), len(b)) >= 0.85
+    tokens = {i: set(t) for i, t, _ in rows}
+    want = {(a, b, len(tokens[a] & tokens[b])) for a in tokens for b in tokens if a < b and b != 50 and good(tokens[a], tokens[b])}
+    for size in (duplicates.BLOCK, 300):
+        monkeypatch.setattr(duplicates, "BLOCK", size)
+        pairs = duplicates.exact_candidates(df)
+        assert "both" in pairs.columns and {(x.a, x.b, x.both) for x in pairs.collect() if x.b != 50} == want
+        assert "array_intersect" not in duplicates.links(df, pairs)._jdf.queryExecution().optimizedPlan().toString()
+        found = duplicates.contained_candidates(df.where("id < 25"), df.where("id >= 25"))
+        assert {(x.x, x.y, x.both) for x in found.collect() if x.y != 50} == {p for p in want if p[0] < 25 <= p[1]}
+    assert duplicates.contained_candidates(df, df.where("id < 0")).count() == 0
