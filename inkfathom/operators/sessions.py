@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 # Seconds that end a session, from an app and without one; members that make an episode; a majority.
 GAP_APP, GAP_NONE = 600, 1800
@@ -15,31 +16,41 @@ MAJORITY_OF, MAJORITY = 3, 0.60
 STRETCH = 86_400
 
 
+def _micros(rows: DataFrame, name: str) -> Column:
+    """Microseconds of a column of times; those without a zone are not read in the session's, whose clocks change."""
+    if not isinstance(rows.schema[name].dataType, TimestampNTZType):
+        return F.unix_micros(F.col(name).cast("timestamp"))
+    since = F.col(name) - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return (since.cast("interval second").cast("decimal(20, 6)") * 1_000_000).cast("long")
+
+
 def sessions(rows: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """Adds session (first member's id), part and size to rows (id, source_app, captured_at) in runs of two or more.
 
-    Rows without a time are in none. A gap of exactly the limit does not end a session. Rows are ordered within stretches of
-    time of a source, and stretches among each other, so that a source that gives a third of all rows is no single task.
+    Rows without a time are in none; of rows at one time, one without an id comes last. A gap of exactly the limit does not end
+    a session. Rows are ordered within stretches of time of a source, and stretches among each other, so that a source that
+    gives a third of all rows is no single task. A session is told by its source and the time of its start, as an id may be null.
     """
-    timed = rows.where("captured_at is not null").withColumn("_source", F.coalesce("source_app", F.lit("")))
-    timed = timed.withColumn("_stretch", F.floor(F.unix_seconds(F.col("captured_at").cast("timestamp")) / stretch))
+    timed = rows.where("captured_at is not null").withColumns({"_source": F.coalesce("source_app", F.lit("")), "_at": _micros(rows, "captured_at")})
+    timed = timed.withColumn("_stretch", F.floor(F.col("_at") / (stretch * 1_000_000)))
     limit = F.when(F.col("_source") == "", GAP_NONE).otherwise(GAP_APP)
-    key, before = ["_source", "_stretch"], Window.partitionBy("_source").orderBy("_stretch")
-    ends = timed.groupBy(*key).agg(F.max("captured_at").alias("_last"))
+    key, before, order = ["_source", "_stretch"], Window.partitionBy("_source").orderBy("_stretch"), ["_at", F.asc_nulls_last("id")]
+    ends = timed.groupBy(*key).agg(F.max("_at").alias("_last"))
     ends = ends.select(*key, F.lag("_last").over(before).alias("_ahead"))
-    inside = Window.partitionBy(*key).orderBy("captured_at", "id")
-    gap = F.timestamp_diff("MICROSECOND", F.coalesce(F.lag("captured_at").over(inside), F.col("_ahead")), F.col("captured_at"))  # whole seconds would let a part of one pass
+    inside = Window.partitionBy(*key).orderBy(*order)
+    gap = F.col("_at") - F.coalesce(F.lag("_at").over(inside), F.col("_ahead"))  # whole seconds would let a part of one pass
     marked = timed.join(ends, key).withColumn("_starts", F.coalesce(gap > limit * 1_000_000, F.lit(True)))
-    marked = marked.withColumn("_own", F.last(F.when(F.col("_starts"), F.struct("id")), ignorenulls=True).over(inside)).drop("_ahead")
+    marked = marked.withColumn("_own", F.last(F.when(F.col("_starts"), F.struct("_at", "id")), ignorenulls=True).over(inside)).drop("_ahead")
     # What is before a stretch's first start belongs to the session that the stretches before left open.
-    opened = marked.groupBy(*key).agg(F.max(F.when(F.col("_starts"), F.struct("captured_at", "id"))).alias("_open"))
-    opened = opened.select(*key, F.last("_open.id", ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
-    named = marked.join(opened, key).withColumn("session", F.coalesce("_own.id", "_carried")).drop("_own", "_carried", "_starts")
-    counts = named.groupBy("_source", "session", "_stretch").agg(F.count("*").alias("_n"))
-    one = Window.partitionBy("_source", "session")
-    counts = counts.select("_source", "session", "_stretch", F.coalesce(F.sum("_n").over(one.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(one).alias("size")).where("size >= 2")
-    out = named.join(counts, ["_source", "session", "_stretch"])
-    part = F.col("_before") + F.row_number().over(Window.partitionBy("_source", "_stretch", "session").orderBy("captured_at", "id"))
+    opened = marked.groupBy(*key).agg(F.max(F.when(F.col("_starts"), F.struct("_at", "id"))).alias("_open"))
+    opened = opened.select(*key, F.last("_open", ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    named = marked.join(opened, key).withColumn("_start", F.coalesce("_own", "_carried")).drop("_own", "_carried", "_starts")
+    named = named.withColumns({"session": F.col("_start.id"), "_start": F.col("_start._at")})
+    counts = named.groupBy("_source", "_start", "_stretch").agg(F.count("*").alias("_n"))
+    one = Window.partitionBy("_source", "_start")
+    counts = counts.select("_source", "_start", "_stretch", F.coalesce(F.sum("_n").over(one.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(one).alias("size")).where("size >= 2")
+    out = named.join(counts, ["_source", "_start", "_stretch"])
+    part = F.col("_before") + F.row_number().over(Window.partitionBy("_source", "_stretch", "_start").orderBy(*order))
     return out.withColumn("part", part.cast("int")).select(*rows.columns, "session", "part", "size")
 
 

@@ -214,6 +214,27 @@ def test_topics_stop_where_sessions_end(spark):
     assert sessions.inherited_topics(tagged).count() == 0
 
 
+def test_sessions_that_begin_without_an_id_are_their_own(spark):
+    """A session whose first member has no id does not go on as the one before it, in another stretch or in the same; its topics go to nobody."""
+    rows = [("a", "x", "2024-01-01 10:00:00"), ("b", "x", "2024-01-01 10:05:00"), (None, "x", "2024-01-02 10:00:00"), ("c", "x", "2024-01-02 10:05:00"), (None, "x", "2024-01-02 12:00:00"), ("d", "x", "2024-01-02 12:00:00"), ("e", "x", "2024-01-02 12:05:00")]
+    got = sessions.sessions(captures(spark, rows))
+    assert {r.id: (r.session, r.part, r.size) for r in got.where("id is not null").collect()} == {"a": ("a", 1, 2), "b": ("a", 2, 2), "c": (None, 2, 2), "d": ("d", 1, 3), "e": ("d", 3, 3)}
+    none = F.array().cast("array<string>")
+    tagged = got.select("id", "session", none.alias("topics"), F.when(F.col("id") == "a", F.array(F.lit("pinned"))).otherwise(none).alias("added"), none.alias("removed"))
+    assert {r.id for r in sessions.inherited_topics(tagged).collect()} == {"a", "b"}
+
+
+def test_sessions_do_not_mind_clocks_that_change(spark):
+    """Times without a zone are as far apart as they read, whatever the session's zone."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = sessions.sessions(captures(spark, [("a", "x", "2024-03-10 01:55:00"), ("b", "x", "2024-03-10 02:04:00"), ("c", "x", "2024-03-10 03:05:00"), ("d", "x", "2024-11-03 00:58:00"), ("e", "x", "2024-11-03 02:00:00")]))
+        assert {r.id: (r.session, r.size) for r in got.collect()} == {"a": ("a", 2), "b": ("a", 2)}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 # ---- rules ----
 def ruled(spark, rows):
     return spark.createDataFrame(rows, "app string, qr_types array<string>, domains array<string>, text string, lang string").transform(rules.prepared)
