@@ -1,7 +1,7 @@
 """Rules as data, compiled to column expressions that also say why they match.
 
 A rule names apps (package prefixes), qr_types, domains (suffixes), text patterns (text_min distinct ones), code_langs
-("*" is any), mode any or all, and patterns that must match also. Input columns: app, qr_types, domains, text, lang, and low as `prepared` gives it.
+("*" is any), mode any or all, and patterns that must match also. Input columns: app, qr_types, domains, text, lang, and what `prepared` adds.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ import re
 import tomllib
 from collections.abc import Iterable
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cache, reduce
+from re import _constants, _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,10 +25,84 @@ KINDS = ("chat", "social", "web", "email", "receipt", "document", "code", "slide
 CAMERA = r"(?i)^(IMG|PXL|MVIMG)_\d{8}_\d{6}"
 
 
+#: Ways to spell a pattern that are looked at, and parts of words of a pattern that are searched for, at most; a pattern with more is tried on every text.
+MOST_SPELLED, MOST_PARTS = 2000, 8
+_ALNUM = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+
+
 class RuleError(ValueError):
     """A rule that can't be used, and why."""
 
 
+class _NotSpelled(Exception):
+    """A pattern of which it is not known what its matches contain."""
+
+
+def _spelled(parsed: Iterable) -> list[tuple[str | None, ...]]:
+    """Every way in which a pattern can be spelled: letters and figures, " " where certainly none is next, None for what is not known."""
+    char = lambda c: (c if c in _ALNUM else " ",)
+    out: list[tuple[str | None, ...]] = [()]
+    for op, av in parsed:
+        some: list[tuple[str | None, ...]] = [(None,)]
+        if op is _constants.LITERAL:
+            some = [char(chr(av))]
+        elif op is _constants.IN and all(o is _constants.LITERAL or (o, a) == (_constants.CATEGORY, _constants.CATEGORY_SPACE) for o, a in av):
+            some = list({char(chr(a)) if o is _constants.LITERAL else (" ",) for o, a in av})
+        elif op is _constants.AT and av is _constants.AT_BOUNDARY:
+            some = [(" ",)]
+        elif op is _constants.SUBPATTERN:
+            if av[1] or av[2]:
+                raise _NotSpelled
+            some = _spelled(av[3])
+        elif op is _constants.BRANCH:
+            some = [x for p in av[1] for x in _spelled(p)]
+        elif op in (_constants.MAX_REPEAT, _constants.MIN_REPEAT) and av[:2] == (0, 1):
+            some = [(), *_spelled(av[2])]
+        elif op in (_constants.MAX_REPEAT, _constants.MIN_REPEAT) and av[0] and set(_spelled(av[2])) == {(" ",)}:
+            some = [(" ",)]
+        if len(out) * len(some) > MOST_SPELLED:
+            raise _NotSpelled
+        out = [a + b for a in out for b in some]
+    return out
+
+
+@cache
+def needs(pattern: str) -> tuple[frozenset[str], frozenset[str]] | None:
+    """(words, parts) of which every text with a match has one: a word between other signs than a-z and 0-9, or a part of one.
+
+    None if there is no such list, or the pattern is one that Python and Java may read differently.
+    """
+    if re.search(r"&&|\[\^?\]|\[[^\]]*\[|\\(?![bdswBDSW])\w", pattern):
+        return None
+    try:
+        parsed = _parser.parse(pattern)
+        if parsed.state.flags & ~re.UNICODE:
+            return None
+        ways = _spelled(parsed)
+    except (_NotSpelled, re.error):
+        return None
+    words, parts = set(), set()
+    for way in ways:
+        runs = re.findall(r"(?<=( ))?([a-z0-9]+)(?=( ))?", "".join("?" if c is None else c for c in way))
+        whole, some = ([r for a, r, b in runs if a and b], [r for _, r, _ in runs if len(r) > 2])
+        if whole:
+            words.add(max(whole, key=len))
+        elif some:
+            parts.add(max(some, key=len))
+        else:
+            return None
+    return (frozenset(words), frozenset(parts)) if len(parts) <= MOST_PARTS else None
+
+
+def _can_match(pattern: str) -> Column:
+    """Whether the text has what every match of a lower-case pattern has; much faster than the pattern, which few texts then meet."""
+    known = needs(pattern)
+    if known is None:
+        return F.lit(True)
+    words = [F.arrays_overlap("_words", F.array(*[F.lit(w) for w in sorted(known[0])]))] if known[0] else []
+    return reduce(lambda a, b: a | b, words + [F.contains("low", F.lit(p)) for p in sorted(known[1])])
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
@@ -60,7 +135,7 @@ class Rule:
         quote = lambda p: F.concat(F.lit("'"), F.trim(F.regexp_extract("text", "(?iU)" + p, 0)), F.lit("'"))
         # A lower-case pattern over the lower-case text (column low) is several times as fast as one that minds no case.
         plain = lambda p: not re.search(r"(?<!\\)[A-Z]", p)
-        has = lambda p: F.col("low").rlike("(?U)" + p) if plain(p) else F.col("text").rlike("(?iU)" + p)
+        has = lambda p: _can_match(p) & F.col("low").rlike("(?U)" + p) if plain(p) else F.col("text").rlike("(?iU)" + p)
         checks: list[tuple[Column, Column]] = []
         if self.code_langs:
             hit = F.col("lang").isNotNull() if "*" in self.code_langs else F.col("lang").isin(*self.code_langs)
@@ -89,8 +164,8 @@ class Rule:
 
 
 def prepared(rows: DataFrame) -> DataFrame:
-    """Rows with the column low, the text in lower case, which rules read; once for all of them."""
-    return rows.withColumn("low", F.lower("text"))
+    """Rows with what rules read, once for all of them: low, the text in lower case, and _words, its runs of a-z and 0-9."""
+    return rows.withColumn("low", F.lower("text")).withColumn("_words", F.array_distinct(F.split("low", "[^a-z0-9]+", -1)))
 
 
 def load(toml: str | None = None) -> tuple[list[Rule], list[Rule]]:

@@ -269,6 +269,26 @@ def test_kind_order(spark):
     assert [r.k.kind for r in got] == ["chat", "photo", "slide", "screenshot", "document", "slide"]
 
 
+def test_patterns_are_tried_on_texts_that_can_match(spark, monkeypatch):
+    """What a pattern needs is known or it is tried on every text; no match of a built-in rule is lost by it, whatever signs are around."""
+    import random
+    import re
+
+    assert rules.needs(r"\b(full[- ]time|years? of age|ab\s+c?)\b") == ({"full", "years", "year", "ab"}, set())
+    assert rules.needs(r"\bgpt-?\d") == ({"gpt"}, {"gpt"}) and rules.needs(r"\bfoo\b.?bar") == ({"foo"}, set()) and rules.needs(r"\d(steps)\b") == (set(), {"steps"})
+    assert [rules.needs(p) for p in ("!!", "[0-9]{4}", "(?i)word", "[a&&[b]]x", "[a[b]]x", r"\Qword\E", "word|[0-9]", "(?:word)?", r"\x41bcd", "(?=word)")] == [None] * 10
+    r, (kinds, topics) = random.Random(3), rules.load()
+    patterns = [p for x in kinds + topics for p in (*x.text, *x.also)]
+    words = sorted({w for p in patterns for w in re.findall(r"[a-z0-9]+", re.sub(r"\\[a-z]", " ", p))} | {"cyber security", "gpt-4", "12 steps", "3,000 langkah", "3 jan", "att&ck", "transaction  id"})
+    phrases = [q for p in patterns for q in re.findall(r"[a-z]+(?:[ -][a-z]+)+", p)]
+    texts = ["".join(r.choice(words if r.random() < 0.7 else phrases) + r.choice([" ", " ", " ", "-", "", "\n", "\u00e9", "_", "/", "\u017f", "\u0301", "\u0130"]) for _ in range(12)).replace("a", r.choice("aA")) for _ in range(600)] + ["", None]
+    df = ruled(spark, [(None, [], [], t, None) for t in texts])
+    found = lambda: [(x.k, x.t) for x in df.select(rules.classify(kinds).alias("k"), rules.topics(topics).alias("t")).collect()]
+    got = found()
+    monkeypatch.setattr(rules, "_can_match", lambda p: F.lit(True))
+    assert got == found() and len({t for _, x in got for t in x}) == 8
+
+
 def test_final_topics(spark):
     found = F.create_map(F.lit("a"), F.lit("rule"), F.lit("b"), F.lit("rule"))
     got = spark.range(1).select(rules.final_topics(found, F.array(F.lit("c"), F.lit("a")), F.array(F.lit("b"))).alias("t")).head().t
