@@ -20,7 +20,7 @@ def content_id(content: Column) -> Column:
 
 def key_words(text: Column) -> Column:
     """Candidate key terms of a text, in order and with repeats."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z][a-z'-]{3,}"), F.lit(0))
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z][a-z'-]{3,}+"), F.lit(0))
     stripped = F.transform(found, lambda w: F.struct(w.alias("w"), F.btrim(w, F.lit("'-")).alias("s")))
     return F.transform(F.filter(stripped, lambda x: ~x["s"].isin(*STOP_WORDS)), lambda x: x["s"])
 

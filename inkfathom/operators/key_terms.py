@@ -11,10 +11,8 @@ from inkfathom.functions.wordlists import GIVEN_NAMES
 from inkfathom.tables import table
 
 TOP, LEAST_DF, MOST_SHARE = 5, 2, 0.25
-
-
-def _counts(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return rows.select(id_col, F.explode(key_words(F.col(text_col))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+#: Terms whose counts are broadcast at most.
+BROADCAST = 2_000_000
 
 
 def redacted_terms(rows: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -27,16 +25,32 @@ def redacted_terms(rows: DataFrame, id_col: str = "id", text_col: str = "text")
     return lost.select("term").union(given).distinct()
 
 
-def scored_terms(rows: DataFrame, id_col: str = "id", text_col: str = "text", excluded: DataFrame | None = None) -> DataFrame:
-    """id, term, tf, df, weight, rank (1 is best, ties alphabetically) of the best terms; excluded has a column term."""
-    tf = table(_counts(rows, id_col, text_col), "key-terms")  # read twice: texts are taken apart once
-    n = rows.select(F.count("*").alias("n"))  # one row
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).where((F.col("df") >= LEAST_DF) & (F.col("df") <= F.greatest(F.lit(float(LEAST_DF)), MOST_SHARE * F.col("n"))))
+def scored_terms(rows: DataFrame, id_col: str = "id", text_col: str = "text", excluded: DataFrame | None = None, broadcast: int = BROADCAST) -> DataFrame:
+    """id, term, tf, df, weight, rank (1 is best, ties alphabetically) of the best terms; excluded has a column term.
+
+    Texts are taken apart once. Terms meet their counts where they lie if these are at most `broadcast`, else in hash joins, and
+    are dealt by id once, as numbers, to be counted and ranked. Texts of one id are one.
+    """
+    words = table(rows.select(id_col, key_words(F.col(text_col)).alias("_terms")), "key-terms")
+    n = F.lit(words.count())
+    several = table(words.groupBy(id_col).agg(F.count("*").alias("_rows")).where("_rows > 1"), "several-texts")
+    own = F.explode(F.array_distinct("_terms")).alias("term")
+    if several.isEmpty():
+        once = words.select(own)
+    else:
+        ids = several.select(F.col(id_col).alias("_id"), "_rows")
+        marked = words.join(ids, words[id_col].eqNullSafe(ids["_id"]), "left").drop("_id")
+        once = marked.where("_rows is null").select(own).union(marked.where("_rows is not null").select(id_col, own).distinct().select("term"))
+    df = once.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= LEAST_DF) & (F.col("df") <= F.greatest(F.lit(float(LEAST_DF)), MOST_SHARE * n)))
     if excluded is not None:
         df = df.join(excluded.select("term").distinct(), "term", "left_anti")
-    scored = tf.join(df.hint("shuffle_hash"), "term").withColumn("weight", F.round(F.col("tf") * F.log(F.col("n") / F.col("df")), 9)).drop("n")
-    order = Window.partitionBy(id_col).orderBy(F.desc("weight"), "term")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP)
+    df = table(df.orderBy("term").withColumn("_t", F.monotonically_increasing_id()), "term-counts")  # numbers in the order of terms
+    df = F.broadcast(df) if df.count() <= broadcast else df.hint("shuffle_hash")
+    met = words.select(id_col, F.explode("_terms").alias("term")).join(df, "term").select(id_col, "_t", "df").repartition(id_col)
+    scored = met.groupBy(id_col, "_t", "df").agg(F.count("*").alias("tf")).withColumn("weight", F.round(F.col("tf") * F.log(n / F.col("df")), 9))
+    order = Window.partitionBy(id_col).orderBy(F.desc("weight"), "_t")
+    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP)
+    return best.join(df.select("_t", "term"), "_t").select("term", id_col, "tf", "df", "weight", "rank")
 
 
 def key_terms(rows: DataFrame, id_col: str = "id", text_col: str = "text", stop: DataFrame | None = None) -> DataFrame:

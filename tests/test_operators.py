@@ -144,6 +144,15 @@ def test_stable_ids(spark):
     assert got == {"a": "grp-2", "b": "grp-3", "c": "grp-cccccccc", "d": "grp-dddddddd"}
 
 
+def test_terms_meet_their_counts_in_either_way_and_texts_of_one_id_are_one(spark):
+    """Few terms are broadcast, many are joined by hash; terms are dealt by id alone, not first by themselves."""
+    rows = [(1, "alpha alpha beta"), (1, "alpha gamma"), (2, "beta gamma"), (None, "delta alpha"), (None, "delta delta"), (3, "delta"), (4, None), (5, "other words"), *[(k, "filler") for k in range(6, 20)]]
+    df = spark.createDataFrame(rows, "id int, text string")
+    got = [sorted(((r.id or 0, r.term, r.tf, r.df, r.rank) for r in key_terms.scored_terms(df, broadcast=b).collect())) for b in (0, 100)]
+    want = [(0, "alpha", 1, 2, 2), (0, "delta", 3, 2, 1), (1, "alpha", 3, 2, 1), (1, "beta", 1, 2, 2), (1, "gamma", 1, 2, 3), (2, "beta", 1, 2, 1), (2, "gamma", 1, 2, 2), (3, "delta", 1, 2, 1)]
+    assert got == [want, want]
+
+
 # ---- sessions ----
 def captures(spark, rows):
     return spark.createDataFrame(rows, "id string, source_app string, t string").withColumn("captured_at", F.col("t").cast("timestamp_ntz")).drop("t")
