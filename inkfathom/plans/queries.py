@@ -43,12 +43,14 @@ _ITEMS = """items AS (
 )"""
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def items(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None, *shown: str) -> DataFrame:
+    """documents: what stands for the table, with columns shown instead of its texts, so that no text goes through the joins."""
     events = read(spark, sf_dir, "events").groupBy("event_id").agg(F.min("ts").alias("captured_at"))
     labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    out = read(spark, sf_dir, "documents").join(events, F.col("doc_id") == F.col("event_id"), "left").join(labels, "doc_id", "left")
+    documents = read(spark, sf_dir, "documents") if documents is None else documents
+    out = documents.join(events, F.col("doc_id") == F.col("event_id"), "left").join(labels, "doc_id", "left")
     return out.select(
-        F.col("doc_id").alias("id"), "text", "lang", "n_chars", F.when(F.col("source") != "src0", F.col("source")).alias("app"), "captured_at",
+        F.col("doc_id").alias("id"), *(shown or ["text"]), "lang", "n_chars", F.when(F.col("source") != "src0", F.col("source")).alias("app"), "captured_at",
         "quality", "toxic", (F.coalesce("toxic", F.lit(0)) == 1).alias("has_secrets"), F.when(F.col("quality") == 0, "failed").otherwise("ok").alias("status"),
     )
 
@@ -719,7 +721,8 @@ def content_line_counts(spark, sf_dir):
 
 @query()
 def shown_hits(spark, sf_dir):
-    return search.hits(items(spark, sf_dir).select("id", "app", "captured_at", "text"))
+    excerpts = search.hits(read(spark, sf_dir, "documents"))
+    return items(spark, sf_dir, excerpts, "redactions", "excerpt").select("id", "app", "captured_at", "redactions", "excerpt")
 
 
 # ---- sequences and streams ----

@@ -152,3 +152,9 @@ def test_rules_links_and_hosts_of_queries(spark, duck):
 def test_every_query_is_tested():
     tested = {"redacted_documents", "shown_hits", "scrubbed_documents", "key_terms_of_documents", "links_in_pages", "minhash_signatures", "built_in_rules", "program_texts", "result_cards", "links_over_lines", "misread_hosts", "stable_group_ids", "scroll_sequences"}
     assert set(QUERIES) - set(ORACLES) == tested  # scroll_sequences: test_operators.py
+
+
+def test_excerpts_not_texts_go_through_the_joins_of_shown_hits(spark):
+    """Redaction lies below the join with events."""
+    plan = QUERIES["shown_hits"](spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftOuter") < plan.index("regexp_replace(")
